@@ -30,7 +30,7 @@ CODE = "rod193"
 
 def micro(column: str) -> Column:
     """Rounded to six places; sums of doubles depend on their order in the last bits."""
-    return (F.floor(F.col(column) * 1e6 + 0.5) / 1e6).alias(column)
+    return F.expr(f"floor({column} * 1e6D + 0.5D) / 1e6D as {column}")
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -42,7 +42,7 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 def dedup_quotes(spark, sf):
     return fixtures.deduped_quotes(spark, sf).select(
-        "ISIN", "BizDt", "SctySrs", F.col("TtlTrfVal").try_cast("double").alias("turnover")
+        "ISIN", F.col("BizDt").cast("string").alias("BizDt"), "SctySrs", F.col("TtlTrfVal").alias("turnover")
     )
 
 
@@ -52,7 +52,7 @@ def series_filter(spark, sf):
 
 
 def hash_key(spark, sf):
-    typed = silver.typed_quotes(fixtures.bronze_quotes(spark, sf))
+    typed = silver.typed_quotes(fixtures.quotes(spark, sf))
     return typed.select(
         "ISIN", "business_date",
         row_hash(["data_source_code", "ISIN", "ticker_symbol", "business_date"]).alias("hash_key"),
@@ -60,11 +60,17 @@ def hash_key(spark, sf):
 
 
 def daily_returns(spark, sf):
-    typed = silver.typed_quotes(fixtures.bronze_quotes(spark, sf))
+    typed = silver.typed_quotes(fixtures.quotes(spark, sf))
     change = daily_return(F.col("closing_price"), F.col("previous_closing_price"))
     return typed.select("ISIN", "business_date", "total_turnover_value", change.alias("pnl_percentage"))
 
 
+def typed_text(spark, sf):
+    """Every raw column through text and back."""
+    typed = silver.typed_quotes(fixtures.bronze_quotes(spark, sf))
+    return typed.drop("ingestion_date_time", "expiry_date")
+
+
 def silver_rows(spark, sf):
     return fixtures.silver_quotes(spark, sf).drop("ingestion_date_time", "silver_load_date_time", "expiry_date")
 
@@ -95,19 +101,17 @@ def union_batches(spark, sf):
 
 def anti_join_new_rows(spark, sf):
     """A third of the batch has no ISIN; rows the target holds, null key or not, stay out."""
-    raw = fixtures.bronze_quotes(spark, sf)
+    raw = fixtures.quotes(spark, sf)
     unkeyed = raw.withColumn("ISIN", F.when(F.col("SctySrs") != "BE", F.col("ISIN")))
-    batch = dedup.keep_first(
-        unkeyed, ["ISIN", "BizDt"], [F.col("TtlTrfVal").try_cast("double").desc_nulls_last()]
-    )
-    existing = unkeyed.filter(F.col("BizDt") < "1998-07-01").select("ISIN", "BizDt")
+    batch = dedup.keep_first(unkeyed, ["ISIN", "BizDt"], [F.col("TtlTrfVal").desc_nulls_last()])
+    existing = unkeyed.filter(F.col("BizDt") < F.lit(dt.date(1998, 7, 1))).select("ISIN", "BizDt")
     return merge.new_rows(batch, existing, ["ISIN", "BizDt"]).select(
-        "ISIN", "BizDt", F.col("TtlTrfVal").try_cast("double").alias("turnover")
+        "ISIN", F.col("BizDt").cast("string").alias("BizDt"), F.col("TtlTrfVal").alias("turnover")
     )
 
 
 def hash_dedup_append(spark, sf):
-    quotes = silver.to_silver(fixtures.bronze_quotes(spark, sf))
+    quotes = silver.to_silver(fixtures.quotes(spark, sf))
     held = quotes.filter(F.col("business_date") <= F.lit(SINCE)).select("hash_key")
     return merge.new_rows_by_hash(quotes, held).select("hash_key", "security_series", "total_turnover_value")
 
@@ -132,14 +136,14 @@ def incremental_files(spark, sf):
 
 
 def incremental_scan(spark, sf):
-    raw = fixtures.bronze_quotes(spark, sf)
+    raw = fixtures.quotes(spark, sf)
     return tables.read_since(raw, "BizDt", SINCE).select(
-        "ISIN", "BizDt", F.col("ClsPric").try_cast("double").alias("closing_price")
+        "ISIN", F.col("BizDt").cast("string").alias("BizDt"), F.col("ClsPric").alias("closing_price")
     )
 
 
 def high_water_mark(spark, sf):
-    return control.high_water_mark(silver.equity_series(silver.typed_quotes(fixtures.bronze_quotes(spark, sf))))
+    return control.high_water_mark(silver.equity_series(silver.typed_quotes(fixtures.quotes(spark, sf))))
 
 
 def watermark_upsert(spark, sf):
@@ -153,7 +157,7 @@ def watermark_upsert(spark, sf):
 
 
 def row_counts(spark, sf):
-    raw, unique = fixtures.bronze_quotes(spark, sf), fixtures.deduped_quotes(spark, sf)
+    raw, unique = fixtures.quotes(spark, sf), fixtures.deduped_quotes(spark, sf)
     return audit.row_counts(bronze=raw, deduplicated=unique, silver=silver.equity_series(unique, "SctySrs"))
 
 
@@ -161,33 +165,33 @@ def row_counts(spark, sf):
 
 
 def avg_return(spark, sf):
-    quotes = fixtures.silver_quotes(spark, sf).withColumnRenamed("ticker_symbol", "stock_code")
+    quotes = fixtures.silver_table(spark, sf).withColumnRenamed("ticker_symbol", "stock_code")
     return _rounded(returns.avg_return(quotes), "avg_pnl_percentage")
 
 
 def avg_return_joinback(spark, sf):
-    quotes = fixtures.silver_quotes(spark, sf).withColumnRenamed("ticker_symbol", "stock_code")
+    quotes = fixtures.silver_table(spark, sf).withColumnRenamed("ticker_symbol", "stock_code")
     joined = returns.with_avg_return(quotes.select("ISIN", "stock_code", "business_date", "pnl_percentage"))
     return _rounded(joined, "avg_pnl_percentage")
 
 
 def ema_series(spark, sf):
-    return ema.ema_series(fixtures.silver_quotes(spark, sf))
+    return ema.ema_series(fixtures.silver_table(spark, sf))
 
 
 def ema_final(spark, sf):
-    return ema.ema_final(fixtures.silver_quotes(spark, sf))
+    return ema.ema_final(fixtures.silver_table(spark, sf))
 
 
 def ema_resumed(spark, sf):
     """Averages up to a date, then continued from them: equal to one run over everything."""
-    quotes = fixtures.silver_quotes(spark, sf)
+    quotes = fixtures.silver_table(spark, sf)
     before = quotes.filter(F.col("business_date") <= F.lit(SINCE))
     return gold.refresh_ema(quotes, gold.build_ema(before))
 
 
 def gold_table(spark, sf):
-    built = fixtures.gold_quotes(spark, sf)
+    built = fixtures.gold_quotes(fixtures.silver_table(spark, sf))
     return _rounded(
         built.drop("gold_load_date_time", "ingestion_date_time", "expiry_date"), "avg_pnl_percentage"
     )
@@ -197,7 +201,7 @@ def gold_table(spark, sf):
 
 
 def stock_catalog(spark, sf):
-    return serving.stock_catalog(fixtures.gold_prices(spark, sf))
+    return serving.stock_catalog(fixtures.gold_table(spark, sf))
 
 
 def suggest(spark, sf):
@@ -209,26 +213,26 @@ def suggest_by_name(spark, sf):
 
 
 def search(spark, sf):
-    return _rounded(serving.search(fixtures.gold_prices(spark, sf), "Red g", 100), "avg_pnl_percentage")
+    return _rounded(serving.search(fixtures.gold_table(spark, sf), "Red g", 100), "avg_pnl_percentage")
 
 
 def latest(spark, sf):
-    return _rounded(serving.latest(fixtures.gold_prices(spark, sf), CODE), "avg_pnl_percentage")
+    return _rounded(serving.latest(fixtures.gold_table(spark, sf), CODE), "avg_pnl_percentage")
 
 
 def history(spark, sf):
-    return serving.history(fixtures.gold_prices(spark, sf), CODE, dt.date(1996, 1, 1), dt.date(2000, 12, 31))
+    return serving.history(fixtures.gold_table(spark, sf), CODE, dt.date(1996, 1, 1), dt.date(2000, 12, 31))
 
 
 def indicators_of(spark, sf):
-    quotes = fixtures.silver_quotes(spark, sf)
-    return serving.indicators(gold.enriched(quotes), CODE, 10, gold.build_ema(quotes))
+    """The average is looked up in its side table, which is computed here from silver."""
+    side = gold.build_ema(fixtures.silver_table(spark, sf))
+    return serving.indicators(fixtures.gold_table(spark, sf), CODE, 10, side)
 
 
 def details(spark, sf):
     """The nested record as flat rows: one per price row of the code."""
-    quotes = fixtures.gold_quotes(spark, sf)
-    found = serving.details(quotes, CODE, limit=30)
+    found = serving.details(fixtures.gold_table(spark, sf), CODE, limit=30)
     # the fields of "latest" are taken out before the explode: Spark 4.1 loses them behind it
     flat = found.select(
         F.col("latest.stock_name").alias("stock_name"),
@@ -247,24 +251,24 @@ def details(spark, sf):
 
 
 def gainers(spark, sf):
-    return _rounded(serving.gainers(fixtures.gold_prices(spark, sf)), "avg_pnl_percentage")
+    return _rounded(serving.gainers(fixtures.gold_table(spark, sf)), "avg_pnl_percentage")
 
 
 def losers(spark, sf):
-    return _rounded(serving.losers(fixtures.gold_prices(spark, sf)), "avg_pnl_percentage")
+    return _rounded(serving.losers(fixtures.gold_table(spark, sf)), "avg_pnl_percentage")
 
 
 def gainers_of_the_day(spark, sf):
-    return _rounded(serving.gainers(fixtures.gold_prices(spark, sf), 50, "pnl_percentage"), "avg_pnl_percentage")
+    return _rounded(serving.gainers(fixtures.gold_table(spark, sf), 50, "pnl_percentage"), "avg_pnl_percentage")
 
 
 def daily_rollup(spark, sf):
-    return _rounded(serving.daily_rollup(fixtures.gold_prices(spark, sf)), "avg_pnl_percentage")
+    return _rounded(serving.daily_rollup(fixtures.gold_table(spark, sf)), "avg_pnl_percentage")
 
 
 def overview(spark, sf):
     """The nested record as flat rows: one per gainer and loser."""
-    record = serving.overview(fixtures.gold_prices(spark, sf))
+    record = serving.overview(fixtures.gold_table(spark, sf))
     total = ["latest_business_date", "tracked_stocks", micro("average_pnl_percentage")]
     sides = [
         record.select(*total, F.lit(side).alias("side"), F.posexplode(side).alias("position", "row"))
@@ -277,19 +281,19 @@ def overview(spark, sf):
 
 
 def latest_date(spark, sf):
-    return serving.latest_date(fixtures.gold_prices(spark, sf))
+    return serving.latest_date(fixtures.gold_table(spark, sf))
 
 
 def tracked_stocks(spark, sf):
-    return serving.tracked_stocks(fixtures.gold_prices(spark, sf))
+    return serving.tracked_stocks(fixtures.gold_table(spark, sf))
 
 
 def market_average(spark, sf):
-    return _rounded(serving.market_average(fixtures.gold_prices(spark, sf)), "average_pnl_percentage")
+    return _rounded(serving.market_average(fixtures.gold_table(spark, sf)), "average_pnl_percentage")
 
 
 def load_status(spark, sf):
-    fixtures.gold_prices(spark, sf).createOrReplaceTempView("serving_quotes")
+    fixtures.gold_table(spark, sf).createOrReplaceTempView("serving_quotes")
     return serving.status(spark, "serving_quotes")
 
 
@@ -385,37 +389,37 @@ _NARROW = ["ISIN", "business_date", "hash_key", "closing_price", "pnl_percentage
 
 
 def sma(spark, sf):
-    rows = fixtures.silver_quotes(spark, sf).select(_NARROW)
+    rows = fixtures.silver_table(spark, sf).select(_NARROW)
     return _rounded(indicators.sma(rows).select("hash_key", "sma_7"), "sma_7")
 
 
 def volatility(spark, sf):
-    rows = fixtures.silver_quotes(spark, sf).select(_NARROW)
+    rows = fixtures.silver_table(spark, sf).select(_NARROW)
     return _rounded(indicators.volatility(rows).select("hash_key", "volatility_7"), "volatility_7")
 
 
 def price_change(spark, sf):
-    rows = fixtures.silver_quotes(spark, sf).select(_NARROW)
+    rows = fixtures.silver_table(spark, sf).select(_NARROW)
     return indicators.price_change(rows).select("hash_key", "price_change", "price_change_percentage")
 
 
 def normalised_price(spark, sf):
-    rows = fixtures.silver_quotes(spark, sf).select(_NARROW)
+    rows = fixtures.silver_table(spark, sf).select(_NARROW)
     scaled = indicators.normalised_price(rows).select("hash_key", "price_zscore", "price_minmax")
     return _rounded(scaled, "price_zscore")
 
 
 def stock_performance(spark, sf):
-    serving.create_views(fixtures.gold_prices(spark, sf), "report_")
+    serving.create_views(fixtures.gold_table(spark, sf), "report_")
     return _rounded(spark.table("report_stock_performance"), "avg_pnl_percentage")
 
 
 def dq_duplicates(spark, sf):
-    return quality.duplicates(silver.typed_quotes(fixtures.bronze_quotes(spark, sf)))
+    return quality.duplicates(silver.typed_quotes(fixtures.quotes(spark, sf)))
 
 
 def dq_missing_codes(spark, sf):
-    raw = silver.typed_quotes(fixtures.bronze_quotes(spark, sf)).withColumnRenamed("ticker_symbol", "stock_code")
+    raw = silver.typed_quotes(fixtures.quotes(spark, sf)).withColumnRenamed("ticker_symbol", "stock_code")
     holes = raw.withColumn("stock_code", F.when(F.col("security_series") != "BE", F.col("stock_code")))
     named = holes.withColumn(
         "stock_name", F.when(F.col("security_series") == "SM", F.lit(" ")).otherwise(F.col("financial_instrument_name"))
@@ -424,7 +428,7 @@ def dq_missing_codes(spark, sf):
 
 
 def dq_invalid_prices(spark, sf):
-    quotes = silver.typed_quotes(fixtures.bronze_quotes(spark, sf))
+    quotes = silver.typed_quotes(fixtures.quotes(spark, sf))
     odd = quotes.withColumns(
         {
             "high_price": F.when(F.col("total_trading_volume") == 7, F.col("low_price") / 2).otherwise(F.col("high_price")),
@@ -436,11 +440,11 @@ def dq_invalid_prices(spark, sf):
 
 
 def dq_missing_dates(spark, sf):
-    return quality.missing_dates(fixtures.silver_quotes(spark, sf))
+    return quality.missing_dates(fixtures.silver_table(spark, sf))
 
 
 def dq_row_counts(spark, sf):
-    return _rounded(quality.row_count_alarms(fixtures.silver_quotes(spark, sf)), "expected_count")
+    return _rounded(quality.row_count_alarms(fixtures.silver_table(spark, sf)), "expected_count")
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -453,6 +457,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "series_filter": series_filter,
         "hash_key": hash_key,
         "daily_return": daily_returns,
+        "typed_text": typed_text,
         "silver": silver_rows,
         "align_schema": align_schema,
         "union_batches": union_batches,

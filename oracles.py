@@ -98,6 +98,13 @@ FROM bronze""",
         "daily_return": _BRONZE_WITH + """
 SELECT isin AS ISIN, d AS business_date, turnover AS total_turnover_value,
        (c - p) / nullif(p, 0) * 100 AS pnl_percentage
+FROM bronze""",
+        "typed_text": _BRONZE_WITH + """
+SELECT d AS trading_date, d AS business_date, 'SYN' AS data_source_code, isin AS ISIN, code AS ticker_symbol,
+       series AS security_series, name AS financial_instrument_name, o AS open_price, h AS high_price,
+       o AS low_price, c AS closing_price, c AS last_price, p AS previous_closing_price,
+       volume AS total_trading_volume, turnover AS total_turnover_value,
+       trades AS total_number_of_transactions_executed
 FROM bronze""",
         "silver": _SILVER_WITH + """
 SELECT d AS trading_date, d AS business_date, 'SYN' AS data_source_code, isin AS ISIN, code AS ticker_symbol,

@@ -1,70 +1,114 @@
 """The supplied star-schema tables as daily quotes.
 
 A line item is a quote of its part: the part is the security, the ship date the
-trading day, and the return flag the series.  Bronze columns are text, as in
-the daily files.
+trading day, and the return flag the series.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .operators.dedup import dedup_quotes, series_preference
-from .operators.ema import ema_series
-from .plans.gold import build_gold, enriched
+from .plans.gold import build_ema, build_gold
 from .plans.silver import to_silver
+from .session import shared_dir
+
+
+_schemas: dict[str, T.StructType] = {}
+_tables: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A supplied table.  Its schema is read from the files once per session, not by every query."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
-def bronze_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One bronze-shaped row per line item, before deduplication."""
-    lines = table(spark, sf_dir, "lineitem")
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt out to all cores when the input is fewer files than cores.
+
+    A table of one small file with one row group is read by a single task, and
+    everything up to the first shuffle would run there.  A table of many files
+    is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *columns) if len(df.inputFiles()) < cores else df
+
+
+def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One raw quote per line item, before deduplication, with the types the tables have."""
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
-    close = F.col("l_extendedprice") / F.col("l_quantity")
-    day = F.to_date("l_shipdate").cast("string")
-    part = F.col("p_partkey").cast("string")
+    close = "l_extendedprice / l_quantity"
     columns = {
-        "TradDt": day,
-        "BizDt": day,
-        "Src": F.lit("SYN"),
-        "ISIN": F.concat(F.lit("IN"), F.lpad(part, 8, "0")),
-        "TckrSymb": F.concat(F.upper(F.split_part("p_name", F.lit(" "), F.lit(2))), part),
-        "SctySrs": F.when(F.col("l_returnflag") == "A", "EQ").when(F.col("l_returnflag") == "N", "SM").otherwise("BE"),
-        "FinInstrmNm": F.concat("p_name", F.lit(" "), part),
-        "OpnPric": close * (1 - F.col("l_discount")),
-        "HghPric": close * (1 + F.col("l_tax")),
-        "LwPric": close * (1 - F.col("l_discount")),
+        "TradDt": "to_date(l_shipdate)",
+        "BizDt": "to_date(l_shipdate)",
+        "Src": "'SYN'",
+        "ISIN": "concat('IN', lpad(cast(p_partkey as string), 8, '0'))",
+        "TckrSymb": "concat(upper(split_part(p_name, ' ', 2)), p_partkey)",
+        "SctySrs": "case l_returnflag when 'A' then 'EQ' when 'N' then 'SM' else 'BE' end",
+        "FinInstrmNm": "concat(p_name, ' ', p_partkey)",
+        "OpnPric": f"{close} * (1 - l_discount)",
+        "HghPric": f"{close} * (1 + l_tax)",
+        "LwPric": f"{close} * (1 - l_discount)",
         "ClsPric": close,
         "LastPric": close,
-        "PrvsClsgPric": F.col("p_retailprice"),
-        "TtlTradgVol": F.col("l_quantity").cast("bigint"),
-        "TtlTrfVal": F.col("l_extendedprice"),
-        "TtlNbOfTxsExctd": F.col("l_linenumber"),
+        "PrvsClsgPric": "p_retailprice",
+        "TtlTradgVol": "cast(l_quantity as bigint)",
+        "TtlTrfVal": "l_extendedprice",
+        "TtlNbOfTxsExctd": "cast(l_linenumber as bigint)",
     }
     joined = lines.join(parts, lines["l_partkey"] == parts["p_partkey"])
-    return joined.select(*[c.cast("string").alias(name) for name, c in columns.items()])
+    return joined.selectExpr(*[f"{expression} as {name}" for name, expression in columns.items()])
+
+
+def bronze_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as the raw table holds it: every column text."""
+    raw = quotes(spark, sf_dir)
+    return raw.selectExpr(*[f"cast({c} as string) as {c}" for c in raw.columns])
 
 
 def deduped_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per security and day.  Series and turnover decide alone here: turnover is unique within a
     security's day, so no other column has to be read for the choice."""
     order = [series_preference(F.col("SctySrs")), F.col("TtlTrfVal").try_cast("double").desc_nulls_last()]
-    return dedup_quotes(bronze_quotes(spark, sf_dir), order)
+    return dedup_quotes(quotes(spark, sf_dir), order)
 
 
 def silver_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver, computed from the line items."""
     return to_silver(deduped_quotes(spark, sf_dir))
 
 
-def gold_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold without its moving average, for the queries that do not show one."""
-    return enriched(silver_quotes(spark, sf_dir))
+def stored(df: DataFrame, name: str) -> DataFrame:
+    path = f"{shared_dir(df.sparkSession)}/{name}_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def silver_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver as a stored table.  It is written by the first query of a session
+    that needs it, as the daily load writes it before averages and gold are built."""
+    key = (spark.sparkContext.applicationId, sf_dir, "silver")
+    if key not in _tables:
+        _tables[key] = stored(silver_quotes(spark, sf_dir), "silver")
+    return _tables[key]
+
+
+def gold_quotes(silver: DataFrame) -> DataFrame:
+    """Gold, computed from silver."""
+    return build_gold(silver, build_ema(silver))
 
 
-def gold_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    silver = silver_quotes(spark, sf_dir)
-    return build_gold(silver, ema_series(silver).select("hash_key", "ema_7"))
+def gold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold as a stored table, for the serving queries; written once per session like silver."""
+    key = (spark.sparkContext.applicationId, sf_dir, "gold")
+    if key not in _tables:
+        _tables[key] = stored(gold_quotes(silver_table(spark, sf_dir)), "gold")
+    return _tables[key]

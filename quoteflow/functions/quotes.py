@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def row_hash(columns: Sequence[str]) -> Column:
     """SHA-256 (hex) over the columns as text, joined by a pipe, nulls as ''."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    parts = ", ".join(f"coalesce(cast(`{c}` as string), '')" for c in columns)
+    return F.expr(f"sha2(concat_ws('|', {parts}), 256)")
 
 
 def daily_return(close: Column, previous: Column) -> Column:

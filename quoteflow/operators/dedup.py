@@ -44,7 +44,8 @@ def quote_preference(columns: Sequence[str]) -> list[Column]:
 
 def dedup_quotes(df: DataFrame, order: Sequence[Column] | None = None) -> DataFrame:
     """One raw row per security and business date."""
-    return keep_first(df, BRONZE_KEY, order or quote_preference(df.columns))
+    # the date first: it sorts by value where security codes, alike in their first bytes, need comparing
+    return keep_first(df, BRONZE_KEY[::-1], order or quote_preference(df.columns))
 
 
 def latest_per_key(df: DataFrame, key: str, date: str, tiebreak: Sequence[Column]) -> DataFrame:

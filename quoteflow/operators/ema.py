@@ -34,13 +34,14 @@ def ema_column(period: int) -> str:
 
 
 def _rows(df, group_col, target_col, value_col, row_id, span_days) -> DataFrame:
-    """Known-key rows, hash-distributed by (series, block) and sorted by time within it."""
+    """The needed columns, hash-distributed by (series, block)."""
     day = F.unix_date(F.col(target_col).cast("date"))
     # rows without a date come first, as in an ascending sort
     block = F.coalesce(F.floor(day / span_days).cast("int"), F.lit(-(2**31)))
+    # rows without a series are not scanned; they are dealt out evenly
+    block = F.when(F.col(group_col).isNotNull(), block).otherwise(F.pmod(F.xxhash64(row_id), F.lit(4096)).cast("int"))
     return (
-        df.filter(F.col(group_col).isNotNull())
-        .select(
+        df.select(
             F.col(row_id).alias("_id"),
             F.col(group_col).alias("_key"),
             F.col(target_col).alias("_at"),
@@ -74,7 +75,7 @@ def _summarise(alpha: float):
                     if current is not None:
                         done.append((current, block_now, count, first, last))
                     current, block_now, count, first, last = key, block, 0, None, None
-                if x is not None:
+                if x is not None and key is not None:
                     last = x if last is None else alpha * x + keep * last
                     if count == 0:
                         first = x
@@ -128,7 +129,7 @@ def _scan(alpha: float):
             for key, block, x, before in zip(*columns):
                 if key != key_now or block != block_now:
                     key_now, block_now, average = key, block, before
-                if x is not None:
+                if x is not None and key is not None:
                     average = x if average is None else alpha * x + keep * average
                 averages.append(average)
             yield pa.RecordBatch.from_arrays(
@@ -192,10 +193,7 @@ def ema_series(
         .sortWithinPartitions(*_TIME_ORDER)
         .mapInArrow(_scan(alpha), _fields(rows, "_id", "_key", "_at", "_x", _ema=T.DoubleType()))
     )
-    no_series = df.filter(F.col(group_col).isNull()).select(
-        row_id, group_col, target_col, F.col(value_col).cast("double"), F.lit(None).cast("double")
-    )
-    return scanned.union(no_series).toDF(row_id, group_col, target_col, value_col, ema_column(period))
+    return scanned.toDF(row_id, group_col, target_col, value_col, ema_column(period))
 
 
 def ema_closing(
@@ -214,6 +212,7 @@ def ema_closing(
     rows = _rows(df, group_col, target_col, value_col, row_id, span_days)
     return (
         _linked_blocks(rows, alpha, opening)
+        .filter(F.col("_key").isNotNull())
         .groupBy(F.col("_key").alias(group_col))
         .agg(F.max_by("_after", "_block").alias(ema_column(period)))
     )

@@ -96,7 +96,7 @@ def load_gold(spark: SparkSession, silver: str, ema: str, table: str, control: s
     else:
         gold = build_gold(source, averages)
     gold, written = counted(gold, "gold_written", "business_date")
-    publish(gold, table, ["business_date"])
+    publish(gold, table, ["business_date"], sort_by=["stock_code"])
     layer, name = table.split(".")
     put_watermark(spark, control, layer, name, written.get["last"])
     return {"rows_written": written.get["rows"]}

@@ -8,6 +8,7 @@ date filters reach the table's ``business_date`` partitions.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -51,8 +52,22 @@ def _columns(names: list[str]) -> list[Column]:
     return [F.col("ISIN").alias("isin") if n == "isin" else F.col(n) for n in names]
 
 
-def _has_code(stock_code: str) -> Column:
-    return F.upper("stock_code") == F.upper(F.lit(stock_code))
+def spellings(catalog: DataFrame, stock_code: str) -> list[str]:
+    """The codes of the catalog equal to this one but for upper and lower case."""
+    found = catalog.filter(F.upper("stock_code") == F.upper(F.lit(stock_code))).select("stock_code").distinct()
+    return sorted(row[0] for row in found.collect())
+
+
+def _has_code(stock_code: str | Sequence[str]) -> Column:
+    """Rows of one code, upper and lower case alike.
+
+    That comparison looks at every row.  Given a list of exact codes (see
+    ``spellings``), the filter goes to the parquet reader instead, which skips
+    the row groups without them; gold files are sorted by code for that.
+    """
+    if isinstance(stock_code, str):
+        return F.upper("stock_code") == F.upper(F.lit(stock_code))
+    return F.col("stock_code").isin(list(stock_code))
 
 
 def _newest_first() -> list[Column]:
@@ -108,7 +123,7 @@ def search(gold: DataFrame, query: str | None, limit: int = DEFAULT_LIMIT, wildc
 # --- one security ---
 
 
-def latest(gold: DataFrame, stock_code: str) -> DataFrame:
+def latest(gold: DataFrame, stock_code: str | Sequence[str]) -> DataFrame:
     """Latest summary of one code; no row when it is unknown."""
     return (
         gold.filter(_has_code(stock_code)).orderBy(*_newest_first()).limit(1).select(*_columns(SUMMARY))
@@ -123,7 +138,7 @@ def fetch_latest(gold: DataFrame, stock_code: str) -> Row:
     return row
 
 
-def _prices(gold: DataFrame, stock_code: str, start: dt.date | None, end: dt.date | None, limit: int) -> DataFrame:
+def _prices(gold: DataFrame, stock_code: str | Sequence[str], start: dt.date | None, end: dt.date | None, limit: int) -> DataFrame:
     check_range(start, end)
     rows = gold.filter(_has_code(stock_code))
     if start is not None:
@@ -135,7 +150,7 @@ def _prices(gold: DataFrame, stock_code: str, start: dt.date | None, end: dt.dat
 
 def history(
     gold: DataFrame,
-    stock_code: str,
+    stock_code: str | Sequence[str],
     start: dt.date | None = None,
     end: dt.date | None = None,
     limit: int = DEFAULT_HISTORY,
@@ -145,7 +160,7 @@ def history(
 
 
 def indicators(
-    gold: DataFrame, stock_code: str, limit: int = DEFAULT_LIMIT, ema: DataFrame | None = None, period: int = 7
+    gold: DataFrame, stock_code: str | Sequence[str], limit: int = DEFAULT_LIMIT, ema: DataFrame | None = None, period: int = 7
 ) -> DataFrame:
     """Newest closes of one code with their moving average.
 
@@ -174,7 +189,7 @@ def _as_array(rows: DataFrame) -> DataFrame:
 
 def details(
     gold: DataFrame,
-    stock_code: str,
+    stock_code: str | Sequence[str],
     start: dt.date | None = None,
     end: dt.date | None = None,
     limit: int = DEFAULT_LIMIT,

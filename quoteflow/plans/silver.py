@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,13 +20,15 @@ from ..sources.tables import append, ensure_table, read_since
 def typed_quotes(bronze: DataFrame) -> DataFrame:
     """The kept columns under their silver names and types; text that is no such value becomes null."""
 
-    def column(raw: str, name: str, kind: T.DataType) -> Column:
-        if raw not in bronze.columns:
-            return F.lit(None).cast(kind).alias(name)
-        value = F.col(raw)
-        return (value if isinstance(kind, T.StringType) else value.try_cast(kind)).alias(name)
+    types = dict(bronze.dtypes)
 
-    return bronze.select(*[column(raw, name, kind) for raw, (name, kind) in SILVER_COLUMNS.items()])
+    def column(raw: str, name: str, kind: T.DataType) -> str:
+        wanted = kind.simpleString()
+        if raw not in types:
+            return f"cast(null as {wanted}) as {name}"
+        return f"{raw} as {name}" if types[raw] == wanted else f"try_cast({raw} as {wanted}) as {name}"
+
+    return bronze.selectExpr(*[column(raw, name, kind) for raw, (name, kind) in SILVER_COLUMNS.items()])
 
 
 def equity_series(df: DataFrame, column: str = "security_series", series: Sequence[str] = EQUITY_SERIES) -> DataFrame:

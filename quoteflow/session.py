@@ -14,6 +14,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",
+    # without it every Column call records its call site, which costs more than planning the query
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -26,15 +28,20 @@ def build_session(app_name: str = "quoteflow", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+_own_folders: list[tempfile.TemporaryDirectory] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint folder.
 
     Only a local session, where driver and executors are one machine, may fall
-    back to a temporary folder of its own.
+    back to a temporary folder of its own, which goes away with the process.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return tempfile.mkdtemp(prefix="quoteflow-")
+    if not _own_folders:
+        _own_folders.append(tempfile.TemporaryDirectory(prefix="quoteflow-", ignore_cleanup_errors=True))
+    return _own_folders[0].name
