@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..audit import counted
+from ..audit import counted, measured
 from ..control import put_watermark
-from ..operators.ema import ema_column, ema_final, ema_series, ema_table
+from ..operators.ema import DEFAULT_SPAN_DAYS, choose_span, ema_column, ema_final, ema_series, ema_table
 from ..operators.returns import with_avg_return
 from ..schema import GOLD_RENAMES
-from ..sources.tables import publish, table_exists
+from ..sources.tables import publish, read_table, table_exists
 
 EMA_MODES = {"series": ema_series, "final": ema_final}
 
 
-def build_ema(silver: DataFrame, period: int = 7, mode: str = "series") -> DataFrame:
+def build_ema(
+    silver: DataFrame, period: int = 7, mode: str = "series", span_days: int = DEFAULT_SPAN_DAYS
+) -> DataFrame:
     """``(hash_key, ema_<period>)``.
 
     ``series`` holds the average as of each row, ``final`` the security's last
@@ -23,7 +25,7 @@ def build_ema(silver: DataFrame, period: int = 7, mode: str = "series") -> DataF
     """
     if mode not in EMA_MODES:
         raise ValueError(f"mode must be one of {', '.join(EMA_MODES)}")
-    return ema_table(EMA_MODES[mode](silver, period))
+    return ema_table(EMA_MODES[mode](silver, period, span_days=span_days))
 
 
 def enriched(silver: DataFrame) -> DataFrame:
@@ -78,25 +80,25 @@ def refresh_gold(silver: DataFrame, ema: DataFrame, previous: DataFrame) -> Data
 
 def load_ema(spark: SparkSession, silver: str, table: str, period: int = 7, mode: str = "series",
              incremental: bool = False) -> dict:
-    source = spark.table(silver)
+    source = read_table(spark, silver)
     if incremental and mode == "series" and table_exists(spark, table):
-        ema = refresh_ema(source, spark.table(table), period)
+        ema = refresh_ema(source, read_table(spark, table), period)
     else:
-        ema = build_ema(source, period, mode)
+        ema = build_ema(source, period, mode, choose_span(source))
     ema, written = counted(ema, "ema_written")
     publish(ema, table)
-    return {"rows_written": written.get["rows"]}
+    return {"rows_written": measured(written)["rows"]}
 
 
 def load_gold(spark: SparkSession, silver: str, ema: str, table: str, control: str, incremental: bool = False) -> dict:
     """Gold published, then its watermark."""
-    source, averages = spark.table(silver), spark.table(ema)
+    source, averages = read_table(spark, silver), read_table(spark, ema)
     if incremental and table_exists(spark, table):
-        gold = refresh_gold(source, averages, spark.table(table))
+        gold = refresh_gold(source, averages, read_table(spark, table))
     else:
         gold = build_gold(source, averages)
     gold, written = counted(gold, "gold_written", "business_date")
     publish(gold, table, ["business_date"], sort_by=["stock_code"])
     layer, name = table.split(".")
-    put_watermark(spark, control, layer, name, written.get["last"])
-    return {"rows_written": written.get["rows"]}
+    put_watermark(spark, control, layer, name, measured(written)["last"])
+    return {"rows_written": measured(written)["rows"]}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize, normalize_text
 from ..operators.dedup import latest_per_key
 from ..operators.ema import ema_column
-from ..sources.tables import table_exists
+from ..sources.tables import read_table, table_exists
 
 # Limits of the query service and its messages
 DEFAULT_LIMIT = 20
@@ -285,7 +285,7 @@ def status(spark: SparkSession, table: str) -> DataFrame:
         return spark.createDataFrame([(False, False, None)], schema)
     if not available:
         return spark.createDataFrame([(True, False, None)], schema)
-    return latest_date(spark.table(table)).select(
+    return latest_date(read_table(spark, table)).select(
         F.lit(True).alias("database_reachable"), F.lit(True).alias("gold_table_available"), "latest_business_date"
     )
 

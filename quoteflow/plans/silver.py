@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..audit import counted
+from ..audit import counted, measured
 from ..control import get_watermark, put_watermark
 from ..functions import daily_return, row_hash
 from ..operators.merge import new_rows_by_hash, split_rejects
 from ..schema import EQUITY_SERIES, HASH_COLUMNS, SILVER_COLUMNS, SILVER_SCHEMA
-from ..sources.tables import append, ensure_table, read_since
+from ..sources.tables import append, ensure_table, read_since, read_table
 
 
 def typed_quotes(bronze: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def load_silver(
     layer, name = table.split(".")
     watermark = get_watermark(spark, control, layer, name)
     again = list(reprocess_dates)
-    source = spark.table(bronze)
+    source = read_table(spark, bronze)
     batch = read_since(source, "BizDt", watermark)
     if watermark is not None and again:
         batch = source.filter(
@@ -66,13 +66,13 @@ def load_silver(
         )
     ensure_table(spark, table, SILVER_SCHEMA, ["business_date"])
     silver, _ = split_rejects(to_silver(batch), ["ISIN", "business_date"])
-    silver, read = counted(silver, "silver_read", "business_date")
-    held = spark.table(table)
+    read, last = silver.agg(F.count(F.lit(1)), F.max("business_date")).first()
+    held = read_table(spark, table)
     # rows of the batch lie after the watermark, so older partitions cannot hold them
     since = read_since(held, "business_date", watermark)
     if watermark is not None and again:
         since = held.filter((F.col("business_date") > F.lit(watermark)) | F.col("business_date").isin(again))
     fresh, written = counted(new_rows_by_hash(silver, since), "silver_written")
     append(fresh, table, ["business_date"])
-    put_watermark(spark, control, layer, name, read.get["last"])
-    return {"rows_read": read.get["rows"], "rows_written": written.get["rows"]}
+    put_watermark(spark, control, layer, name, last)
+    return {"rows_read": read, "rows_written": measured(written)["rows"]}

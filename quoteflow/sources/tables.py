@@ -17,6 +17,12 @@ def table_exists(spark: SparkSession, table: str) -> bool:
     return spark.catalog.tableExists(table)
 
 
+def read_table(spark: SparkSession, table: str) -> DataFrame:
+    """The table as it is now: a session remembers file listings, and another one may have written since."""
+    spark.catalog.refreshTable(table)
+    return spark.table(table)
+
+
 def ensure_database(spark: SparkSession, table: str) -> None:
     """The database part of ``database.table``, made if missing."""
     if "." in table:
