@@ -191,7 +191,8 @@ def ema_resumed(spark, sf):
 
 
 def gold_table(spark, sf):
-    built = fixtures.gold_quotes(fixtures.silver_table(spark, sf))
+    quotes = fixtures.silver_table(spark, sf)
+    built = gold.build_gold(quotes, gold.build_ema(quotes))
     return _rounded(
         built.drop("gold_load_date_time", "ingestion_date_time", "expiry_date"), "avg_pnl_percentage"
     )
@@ -225,9 +226,7 @@ def history(spark, sf):
 
 
 def indicators_of(spark, sf):
-    """The average is looked up in its side table, which is computed here from silver."""
-    side = gold.build_ema(fixtures.silver_table(spark, sf))
-    return serving.indicators(fixtures.gold_table(spark, sf), CODE, 10, side)
+    return serving.indicators(fixtures.gold_table(spark, sf), CODE, 10, fixtures.ema_table(spark, sf))
 
 
 def details(spark, sf):

@@ -101,14 +101,17 @@ def silver_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tables[key]
 
 
-def gold_quotes(silver: DataFrame) -> DataFrame:
-    """Gold, computed from silver."""
-    return build_gold(silver, build_ema(silver))
+def ema_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The side table of moving averages, stored like silver."""
+    key = (spark.sparkContext.applicationId, sf_dir, "ema")
+    if key not in _tables:
+        _tables[key] = stored(build_ema(silver_table(spark, sf_dir)), "ema")
+    return _tables[key]
 
 
 def gold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold as a stored table, for the serving queries; written once per session like silver."""
     key = (spark.sparkContext.applicationId, sf_dir, "gold")
     if key not in _tables:
-        _tables[key] = stored(gold_quotes(silver_table(spark, sf_dir)), "gold")
+        _tables[key] = stored(build_gold(silver_table(spark, sf_dir), ema_table(spark, sf_dir)), "gold")
     return _tables[key]
