@@ -48,6 +48,28 @@ def invalid_prices(df: DataFrame) -> DataFrame:
     )
 
 
+def findings(df: DataFrame, keys: Sequence[str] = ("ISIN", "business_date")) -> DataFrame:
+    """``(check, findings)``: how many keys or rows fail each check, in one result."""
+
+    def counted(check: str, found: DataFrame, number=None) -> DataFrame:
+        number = F.count(F.lit(1)) if number is None else number
+        return found.agg(F.lit(check).alias("check"), F.coalesce(number, F.lit(0)).cast("bigint").alias("findings"))
+
+    codes = missing_codes(df)
+    parts = [
+        counted("duplicate_rows", duplicates(df, keys)),
+        counted("duplicate_hashes", duplicates(df, ["hash_key"])),
+        *[counted(c, codes, F.max(c)) for c in codes.columns if c != "row_count"],
+        counted("invalid_prices", price_problems(df).filter(F.size("price_problems") > 0)),
+        counted("missing_days", missing_dates(df), F.sum("missing_days")),
+        counted("unexpected_row_counts", row_count_alarms(df).filter("unexpected")),
+    ]
+    first, *rest = parts
+    for part in rest:
+        first = first.unionByName(part)
+    return first
+
+
 def missing_dates(df: DataFrame, key: str = "ISIN", date: str = "business_date") -> DataFrame:
     """Market days a security skipped, as gaps between its consecutive rows.
 

@@ -10,7 +10,7 @@ from ..control import put_watermark
 from ..operators.ema import DEFAULT_SPAN_DAYS, choose_span, ema_column, ema_final, ema_series, ema_table
 from ..operators.returns import with_avg_return
 from ..schema import GOLD_RENAMES
-from ..sources.tables import publish, read_table, table_exists
+from ..sources.tables import publish, read_table
 
 EMA_MODES = {"series": ema_series, "final": ema_final}
 
@@ -78,25 +78,17 @@ def refresh_gold(silver: DataFrame, ema: DataFrame, previous: DataFrame) -> Data
     return previous.join(touched, "ISIN", "left_anti").unionByName(rebuilt.select(previous.columns))
 
 
-def load_ema(spark: SparkSession, silver: str, table: str, period: int = 7, mode: str = "series",
-             incremental: bool = False) -> dict:
+def load_ema(spark: SparkSession, silver: str, table: str, period: int = 7, mode: str = "series") -> dict:
+    """All averages computed and published."""
     source = read_table(spark, silver)
-    if incremental and mode == "series" and table_exists(spark, table):
-        ema = refresh_ema(source, read_table(spark, table), period)
-    else:
-        ema = build_ema(source, period, mode, choose_span(source))
-    ema, written = counted(ema, "ema_written")
+    ema, written = counted(build_ema(source, period, mode, choose_span(source)), "ema_written")
     publish(ema, table)
     return {"rows_written": measured(written)["rows"]}
 
 
-def load_gold(spark: SparkSession, silver: str, ema: str, table: str, control: str, incremental: bool = False) -> dict:
-    """Gold published, then its watermark."""
-    source, averages = read_table(spark, silver), read_table(spark, ema)
-    if incremental and table_exists(spark, table):
-        gold = refresh_gold(source, averages, read_table(spark, table))
-    else:
-        gold = build_gold(source, averages)
+def load_gold(spark: SparkSession, silver: str, ema: str, table: str, control: str) -> dict:
+    """All of gold computed and published, then its watermark."""
+    gold = build_gold(read_table(spark, silver), read_table(spark, ema))
     gold, written = counted(gold, "gold_written", "business_date")
     publish(gold, table, ["business_date"], sort_by=["stock_code"])
     layer, name = table.split(".")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import SNAPSHOT_DROPS, SNAPSHOT_RENAMES
-from ..sources.nested import flatten_records
+from ..sources.nested import flatten_records, read_payloads
+from ..sources.tables import overwrite, read_table
 from .bronze import with_governance_columns
 
 PARTITION = "ingestion_date"
@@ -27,3 +30,13 @@ def snapshot_silver(bronze: DataFrame) -> DataFrame:
         .withColumn("processed_timestamp", F.current_timestamp())
         .withColumn(PARTITION, F.to_date(PARTITION))
     )
+
+
+def load_snapshot(
+    spark: SparkSession, paths: str | Sequence[str], bronze: str, silver: str, source_system: str,
+    run_id: str | None = None,
+) -> None:
+    """Saved payloads into the raw snapshot table and the clean one, a partition per load date."""
+    raw = snapshot_bronze(read_payloads(spark, paths), source_system, run_id)
+    overwrite(raw, bronze, [PARTITION])
+    overwrite(snapshot_silver(read_table(spark, bronze)), silver, [PARTITION])

@@ -85,6 +85,18 @@ def overwrite(
     writer.saveAsTable(table)
 
 
+def overwrite_partitions(
+    df: DataFrame, table: str, partition_by: Sequence[str], sort_by: Sequence[str] = (), format: str = "parquet"
+) -> None:
+    """The partitions occurring in ``df`` replaced, all others kept.  The same write twice is the same as once."""
+    spark = df.sparkSession
+    ensure_table(spark, table, df.schema, partition_by, format)
+    add_columns(spark, table, df.schema)
+    aligned = align_schema(df, spark.table(table).schema)
+    writer = _laid_out(aligned, partition_by, sort_by).write.option("partitionOverwriteMode", "dynamic")
+    writer.mode("overwrite").insertInto(table)
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
     """Partitioned, snappy-compressed parquet.  With dynamic partition overwrite only the dates in ``df`` are replaced."""
     writer = _laid_out(df, partition_by).write.mode(mode).option("compression", "snappy")

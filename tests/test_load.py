@@ -28,7 +28,7 @@ def land_day(folder, n, codes="ABC"):
 
 
 def tables_for(database):
-    return Tables(**{f: f"{database('db')}.{f}" for f in ("bronze", "rejects", "silver", "ema", "gold", "control", "runs")})
+    return Tables(**{f: f"{database('db')}.{f}" for f in ("bronze", "rejects", "silver", "ema", "gold", "control", "runs", "checks")})
 
 
 def test_watermarks(spark, database):
@@ -78,9 +78,39 @@ def test_append_bronze_without_rejects_is_null_safe(spark, database):
 
 
 def snapshot_of(spark, names):
-    gold = spark.table(names.gold)
-    columns = ["ISIN", "stock_code", "business_date", "closing_price", "avg_pnl_percentage", "ema_7", "hash_key"]
-    return values(gold, *columns)
+    gold = spark.table(names.gold).withColumn("mean", F.round("avg_pnl_percentage", 9))
+    return values(gold, "ISIN", "stock_code", "business_date", "closing_price", "mean", "ema_7", "hash_key")
+
+
+def test_unused_average_return_is_not_joined(spark, database, tmp_path):
+    names = tables_for(database)
+    land_day(tmp_path, 0)
+    run_daily(spark, str(tmp_path), names, incremental=True)
+    plan = spark.table(names.gold).select("stock_code", "ema_7")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert spark.table(names.gold).filter("avg_pnl_percentage is not null").count() == 3
+
+
+def test_broken_off_gold_load_is_repaired(spark, database, tmp_path):
+    """Rows and state written, view and watermark not: the next load overwrites them."""
+    from quoteflow.plans import incremental as module
+
+    names = tables_for(database)
+    land_day(tmp_path, 0)
+    run_daily(spark, str(tmp_path), names, incremental=True)
+    before = snapshot_of(spark, names)
+    land_day(tmp_path, 1)
+    create_views = module._create_views
+    module._create_views = lambda *args: 1 / 0
+    try:
+        with pytest.raises(ZeroDivisionError):
+            run_daily(spark, str(tmp_path), names, incremental=True)
+    finally:
+        module._create_views = create_views
+    assert snapshot_of(spark, names) == before
+    run_daily(spark, str(tmp_path), names, incremental=True)
+    full = values(build_ema(spark.table(names.silver)), "hash_key", "ema_7")
+    assert values(spark.table(names.gold), "hash_key", "ema_7") == full and len(full) == 6
 
 
 @pytest.mark.parametrize("incremental", [False, True])
@@ -88,7 +118,7 @@ def test_daily_load(spark, database, tmp_path, incremental):
     names = tables_for(database)
     land_day(tmp_path, 0)
     first = run_daily(spark, str(tmp_path), names, incremental=incremental)
-    assert (first["bronze"]["rows_written"], first["silver"]["rows_written"], first["gold"]["rows_written"]) == (3, 3, 3)
+    assert [first[s]["rows_written"] for s in ("bronze", "silver", "gold")] == [3, 3, 3]
 
     # no new file: nothing is added, gold stays equal
     before = snapshot_of(spark, names)
@@ -104,7 +134,9 @@ def test_daily_load(spark, database, tmp_path, incremental):
     assert control.get_watermark(spark, names.control, *names.gold.split(".")) == DATES[2]
     assert values(spark.table(names.ema), "hash_key", "ema_7") == values(
         build_ema(spark.table(names.silver)), "hash_key", "ema_7")
-    assert spark.table(names.runs).filter("status = 'succeeded'").count() == 12
+    assert spark.table(names.runs).filter("status = 'succeeded'").count() == (12 if incremental else 15)
+    assert spark.table(names.checks).filter("check = 'duplicate_rows' and findings = 0").count() == 3
+    assert spark.table(names.checks).filter("check = 'missing_days'").agg(F.sum("findings")).first()[0] == 0
     a = {r["business_date"]: r["ema_7"] for r in spark.table(names.gold).filter("stock_code = 'A'").collect()}
     assert a[DATES[1]] == 0.25 * 11.0 + 0.75 * 10.0
 
@@ -197,6 +229,19 @@ def test_running_averages_equal_the_batch_and_set_late_rows_aside(spark, tmp_pat
     assert 8 not in got and got[9] == 0.25 * 8.0 + 0.75 * (0.25 * 4.0 + 0.75 * 2.0)
 
 
+def test_snapshot_tables(spark, database, tmp_path):
+    import json
+
+    from quoteflow.plans.snapshot import load_snapshot
+
+    (tmp_path / "p.json").write_text(json.dumps({"data": [{"symbol": "X", "change": 1, "meta": {"isin": "I"}}]}))
+    bronze, clean = f"{database('s')}.raw", f"{database('s')}.clean"
+    for _ in range(2):
+        load_snapshot(spark, str(tmp_path / "p.json"), bronze, clean, "SYN")
+    assert values(spark.table(clean), "stock_name", "ISIN", "source_system") == [("X", "I", "SYN")]
+    assert "change" in spark.table(bronze).columns and "change" not in spark.table(clean).columns
+
+
 def test_stream_dedup(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     feed(spark, source, [("a", at(1), 1.0, 1), ("a", at(1), 1.0, 1), ("b", at(2), 1.0, 2)])
