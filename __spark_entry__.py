@@ -18,7 +18,7 @@ import oracles
 from quoteflow import audit, control, fixtures
 from quoteflow.functions import daily_return, row_hash
 from quoteflow.operators import align, dedup, ema, indicators, merge, quality, returns
-from quoteflow.plans import gold, serving, silver, snapshot
+from quoteflow.plans import gold, incremental, serving, silver, snapshot
 from quoteflow.session import shared_dir
 from quoteflow.sources import html, listing, nested, quotefiles, tables
 from quoteflow.streaming.dedup import dedup_stream
@@ -175,6 +175,15 @@ def avg_return_joinback(spark, sf):
     return _rounded(joined, "avg_pnl_percentage")
 
 
+def avg_return_increment(spark, sf):
+    """Return totals up to a date, the later rows' totals added."""
+    quotes = fixtures.silver_table(spark, sf).withColumnRenamed("ticker_symbol", "stock_code")
+    held = incremental.return_totals(quotes.filter(F.col("business_date") <= F.lit(SINCE)))
+    new = incremental.return_totals(tables.read_since(quotes, "business_date", SINCE))
+    totals = incremental.add_totals(held, new).withColumn("avg_pnl_percentage", F.try_divide("total", "days"))
+    return _rounded(totals.drop("total", "days"), "avg_pnl_percentage")
+
+
 def ema_series(spark, sf):
     return ema.ema_series(fixtures.silver_table(spark, sf))
 
@@ -446,6 +455,10 @@ def dq_row_counts(spark, sf):
     return _rounded(quality.row_count_alarms(fixtures.silver_table(spark, sf)), "expected_count")
 
 
+def dq_findings(spark, sf):
+    return quality.findings(fixtures.gold_table(spark, sf))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return gainers(spark, "/root/testdata/sf0.001")
 
@@ -469,6 +482,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "row_counts": row_counts,
         "avg_return": avg_return,
         "avg_return_joinback": avg_return_joinback,
+        "avg_return_increment": avg_return_increment,
         "ema_series": ema_series,
         "ema_final": ema_final,
         "ema_resumed": ema_resumed,
@@ -508,6 +522,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dq_invalid_prices": dq_invalid_prices,
         "dq_missing_dates": dq_missing_dates,
         "dq_row_counts": dq_row_counts,
+        "dq_findings": dq_findings,
     }
 
 

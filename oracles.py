@@ -173,6 +173,8 @@ SELECT 'bronze' AS stage, count(*) AS row_count FROM bronze
 UNION ALL SELECT 'deduplicated', count(*) FROM uniq
 UNION ALL SELECT 'silver', count(*) FROM silver""",
         "avg_return": _GOLD_WITH + f"""
+SELECT isin AS ISIN, code AS stock_code, {_micro('m')} AS avg_pnl_percentage FROM mean""",
+        "avg_return_increment": _GOLD_WITH + f"""
 SELECT isin AS ISIN, code AS stock_code, {_micro('m')} AS avg_pnl_percentage FROM mean""",
         "avg_return_joinback": _GOLD_WITH + f"""
 SELECT isin AS ISIN, code AS stock_code, d AS business_date, pnl AS pnl_percentage,
@@ -340,4 +342,21 @@ expected AS (
 SELECT business_date, row_count, {_micro('e')} AS expected_count,
        coalesce(abs(row_count - e) > 0.5 * e, false) AS unexpected
 FROM expected""",
+        "dq_findings": _SILVER_WITH + """,
+calendar AS (SELECT d, row_number() OVER (ORDER BY d) AS n FROM (SELECT DISTINCT d FROM silver)),
+present AS (
+  SELECT n - lag(n) OVER (PARTITION BY isin ORDER BY n) - 1 AS gap
+  FROM (SELECT DISTINCT isin, d FROM silver) JOIN calendar USING (d)),
+counts AS (SELECT d, count(*) AS r FROM silver GROUP BY d),
+expected AS (SELECT r, avg(r) OVER (ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS e FROM counts)
+SELECT 'duplicate_rows' AS "check",
+       (SELECT count(*) FROM (SELECT 1 FROM silver GROUP BY isin, d HAVING count(*) > 1)) AS findings
+UNION ALL SELECT 'duplicate_hashes', (SELECT count(*) FROM (SELECT 1 FROM silver GROUP BY k HAVING count(*) > 1))
+UNION ALL SELECT 'missing_isin', (SELECT count(*) FROM silver WHERE coalesce(trim(isin), '') = '')
+UNION ALL SELECT 'missing_stock_code', (SELECT count(*) FROM silver WHERE coalesce(trim(code), '') = '')
+UNION ALL SELECT 'missing_stock_name', (SELECT count(*) FROM silver WHERE coalesce(trim(name), '') = '')
+UNION ALL SELECT 'invalid_prices',
+       (SELECT count(*) FROM silver WHERE o <= 0 OR h <= 0 OR c <= 0 OR h < o OR c < o OR c > h OR c IS NULL)
+UNION ALL SELECT 'missing_days', (SELECT CAST(coalesce(sum(gap), 0) AS BIGINT) FROM present WHERE gap > 0)
+UNION ALL SELECT 'unexpected_row_counts', (SELECT count(*) FROM expected WHERE abs(r - e) > 0.5 * e)""",
     }

@@ -120,7 +120,7 @@ def publish(
     version = f"{name}__{dt.datetime.now(dt.timezone.utc):%Y%m%d%H%M%S%f}_{uuid.uuid4().hex[:6]}"
     overwrite(df, f"{database}.{version}", partition_by, sort_by)
     spark.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM {database}.{version}")
-    versions = sorted(t.name for t in spark.catalog.listTables(database, f"{name}__*"))
+    versions = sorted(t.name for t in spark.catalog.listTables(database, f"{name}__*") if not t.isTemporary)
     for old in versions[: -(keep + 1)]:
         spark.sql(f"DROP TABLE IF EXISTS {database}.{old}")
     return f"{database}.{version}"
