@@ -463,7 +463,18 @@ def entry(spark: SparkSession) -> DataFrame:
     return gainers(spark, "/root/testdata/sf0.001")
 
 
+# the training-data operators are an addition that may be absent
+try:
+    from quoteflow.llm import queries as llm
+except ImportError:
+    llm = None
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {**_quote_queries(), **(llm.queries() if llm else {})}
+
+
+def _quote_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "dedup_quotes": dedup_quotes,
         "series_filter": series_filter,
@@ -527,4 +538,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return {**oracles.oracle_sql(), **(llm.oracle_sql() if llm else {})}
