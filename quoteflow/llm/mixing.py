@@ -4,8 +4,8 @@ The tokens of every (source, language, topic) cell are summed once; raking then
 cells alone.  A round is one job: each source's factor is set from its own cells, and the sums over
 sources come back as one number for each (language, topic), a table of at most ``most_margins``
 rows, on which the language and topic factors are set.  Sources may be any number; they never leave the cluster.
-Cells keep the same weight per token, so a document's weight is its cell's, and its
-chance of being sampled is that weight over the largest.
+A document's weight is its cell's.  Its chance of being sampled is min(1, c * weight), with the c at
+which the expected tokens are the ``budget`` share of all: two jobs over the cells find it.
 """
 
 from __future__ import annotations
@@ -42,13 +42,13 @@ def tempered(margin: dict[str, float], exponent: float) -> dict[str, float]:
 
 
 def mix(docs: DataFrame, exponent: float = 0.9, targets: dict[str, dict[str, float]] | None = None, seed: int = 4,
-        rounds: int = 100, tolerance: float = 1e-6, most_margins: int = 10_000) -> DataFrame:
+        budget: float = 0.9, rounds: int = 100, tolerance: float = 1e-6, most_margins: int = 10_000) -> DataFrame:
     """``docs`` with ``tokens, topic, weight, probability, sampled``: a row per row, in columns beside its own.
 
     ``targets`` holds target shares of tokens under ``lang`` and ``topic``; where it has none, and for sources, the target is
     the tokens' own share to the power ``exponent``, made to sum to 1.  Raking sets source, then language, then topic margins, until no
     factor moves by more than ``tolerance`` or ``rounds`` are done.  ``weight`` is the raked weight of a token,
-    ``probability`` the weight over the largest, ``sampled`` a draw by a hash of doc_id and ``seed``.
+    ``probability`` the chance that makes the expected tokens ``budget`` of all, ``sampled`` a draw by a hash of doc_id and ``seed``.
 
     Null sources, languages and texts are parts of their own (``""``); a text without words has no tokens and its cell's weight, or
     probability 1 where the cell has no token at all.  Rows that repeat an id are drawn alike.  An empty table gives no rows.
@@ -69,13 +69,13 @@ def mix(docs: DataFrame, exponent: float = 0.9, targets: dict[str, dict[str, flo
         "cells",
     )
     factors = keep(rake(cells, exponent, targets or {}, rounds, tolerance, most_margins), "cell-weights")
-    best = factors.agg(F.max("weight")).first()[0] or 1.0
+    scale = calibrated(factors, budget)
     # Spark broadcasts the cells where they are below its size limit, and shuffles beyond it
     met = marked.join(factors, (F.col("_source") == F.col("cell_source")) & (F.col("_lang") == F.col("cell_lang")) & (F.col("topic") == F.col("cell_topic")), "left")
-    chance = F.coalesce(F.col("weight") / best, F.lit(1.0))
+    chance = F.coalesce(F.least(F.col("weight") * scale, F.lit(1.0)), F.lit(1.0))
     draw = F.xxhash64(F.lit(seed), "doc_id").bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53))
     return met.withColumn("probability", chance).withColumn("sampled", draw < F.col("probability")).drop(
-        "_source", "_lang", "cell_source", "cell_lang", "cell_topic"
+        "_source", "_lang", "cell_source", "cell_lang", "cell_topic", "cell_tokens"
     )
 
 
@@ -87,7 +87,7 @@ def _margin(cells: DataFrame, column: str, most: int) -> dict[str, float]:
 
 
 def rake(cells: DataFrame, exponent: float, targets: dict[str, dict[str, float]], rounds: int, tolerance: float, most: int) -> DataFrame:
-    """Cells ``source, lang, topic, tokens`` to ``cell_source, cell_lang, cell_topic, weight``."""
+    """Cells ``source, lang, topic, tokens`` to ``cell_source, cell_lang, cell_topic, cell_tokens, weight``."""
     langs, topics = _margin(cells, "lang", most), _margin(cells, "topic", most)
     if len(langs) * len(topics) > most:
         raise ValueError(f"more than {most} pairs of language and topic")
@@ -126,5 +126,19 @@ def rake(cells: DataFrame, exponent: float, targets: dict[str, dict[str, float]]
             break
     return factored(a, b).select(
         F.col("source").alias("cell_source"), F.col("lang").alias("cell_lang"), F.col("topic").alias("cell_topic"),
-        (F.col("f") * F.col("s")).alias("weight"),
+        F.col("tokens").alias("cell_tokens"), (F.col("f") * F.col("s")).alias("weight"),
     )
+
+
+def calibrated(factors: DataFrame, budget: float, steps: int = 64) -> float:
+    """The scale c at which sum(tokens * min(1, c * weight)) is ``budget`` of sum(tokens), to a relative 1e-3 of c or better."""
+    found = factors.where("weight > 0").agg(F.min("weight"), F.max("weight"), F.sum("cell_tokens")).first()
+    if found[0] is None or budget >= 1:
+        return 1.0 / (found[0] or 1.0)
+    low, high, goal = 0.0, 1.0 / found[0], budget * float(found[2])
+    for _ in range(2):
+        tried = [low + (high - low) * i / steps for i in range(1, steps + 1)]
+        sums = factors.agg(*[F.sum(F.col("cell_tokens") * F.least(F.lit(1.0), F.col("weight") * c)).alias(f"at_{i}") for i, c in enumerate(tried)]).first()
+        at = next((i for i, n in enumerate(sums) if n >= goal), steps - 1)
+        low, high = (tried[at - 1] if at else low), tried[at]
+    return high
