@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, hidden_markov, minhash_dedup, mixing, nearest, toxicity
+from . import byte_bpe, exact_dedup, hidden_markov, minhash_dedup, mixing, nearest, quality, secrets, toxicity, warc
 from .common import table
 
 
@@ -17,10 +17,19 @@ def tokenizer() -> tuple[dict[bytes, int], str]:
     return byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_and_read(spark, table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "sampled")
@@ -39,6 +48,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -50,13 +63,23 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    named = [op2_exact_dedup, op4_mixing, op5_hidden_markov, op6_toxicity, op7_byte_bpe, op9_nearest, op10_minhash_dedup]
+    named = [op1_warc, op2_exact_dedup, op3_quality, op4_mixing, op5_hidden_markov, op6_toxicity, op7_byte_bpe, op8_secrets, op9_nearest, op10_minhash_dedup]
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
 _PLAIN = r"translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')"
 
 ORACLES = {
+    "op1_warc": """
+        WITH rows AS (
+            SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS payload_bytes,
+                min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+            FROM pages),
+        typed AS (SELECT *, payload_bytes >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first AS again FROM rows)
+        SELECT page_id, payload_bytes, sha256(payload) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN again THEN first END AS refers_to
+        FROM typed
+    """,
     "op2_exact_dedup": f"""
         WITH rows AS (SELECT doc_id, length(coalesce(text, '')) AS n, {_PLAIN} AS plain FROM documents),
         best AS (
@@ -69,8 +92,8 @@ ORACLES = {
     "op9_nearest": """
         WITH usable AS (
             SELECT vec_id, min(embedding::DOUBLE[]) AS v FROM embeddings
-            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-              AND len(list_filter(embedding, x -> x <> 0)) > 0
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
             GROUP BY vec_id),
         scored AS (
             SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
