@@ -13,9 +13,10 @@ similarity 0.8 is found with probability 0.9998, one of 0.9 with 1 - 1e-7.
   a count says more of copies than of common phrases, and a large group of copies must not outweigh its few edits.
 * Texts of equal words are one node: a hot text is one row from then on.
 * Inside a band, documents are compared with a pivot first, in three rounds with other
-  pivots, and what these links leave in different components is compared pair
-  by pair.  So a large group costs a few comparisons for each document, and no pair
-  of a band goes without a link or a path that makes it needless.
+  pivots.  A band whose members are linked by then is done; in the others, every pair
+  that is not linked yet is compared: pair by pair where a band has at most ``SMALL`` members, else in blocks of about
+  ``BLOCK`` documents, as products of their shingle matrices, which give out links and never pairs.
+  So no pair of a band goes without a link or a path that makes it needless.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,7 @@ from .common import keep
 from .components import components
 
 WIDTH, SLOT_BITS, SLICES = 5, 20, 64
+SMALL, BLOCK = 64, 512
 _TABLE = 1 << 16
 _SEED = 0xD1B54A32D192ED03
 _FACTORS = tokens.mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(_SEED)) | np.uint64(1)
@@ -203,6 +206,72 @@ def _similar(idf, threshold: float):
     return run
 
 
+def similar_blocks(left: list, right: list | None, threshold: float, columns: int = 4096) -> list[tuple[int, int]]:
+    """Positions of all pairs of ``left`` and ``right`` (None: of ``left`` itself, each pair once) at or above ``threshold``.
+
+    A document is its distinct shingles, counts and the shingles' idf.  The n-th occurrence of a shingle is a column of its own, so the sum of
+    minima is a product of 0/1 matrices weighted by idf.
+    """
+    both = left + (right or [])
+    marks, weights, owner = [], [], []
+    for at, (shingles, counts, idf) in enumerate(both):
+        copies = np.repeat(np.arange(len(counts)), counts)
+        nth = np.arange(len(copies)) - np.repeat(np.cumsum(counts) - counts, counts)
+        marks.append(tokens.mix(shingles[copies] + nth.astype(np.uint64) * _FACTORS[62]))
+        weights.append(idf[copies].astype(np.float64))
+        owner.append(np.full(len(copies), at))
+    totals = np.array([w.sum() for w in weights])
+    marks, weights, owner = np.concatenate(marks), np.concatenate(weights), np.concatenate(owner)
+    _, first, column, times = np.unique(marks, return_index=True, return_inverse=True, return_counts=True)
+    # a column that one document alone has adds to no pair
+    place = np.cumsum(times > 1) - 1
+    shared = times[column] > 1
+    rows, at, weight = owner[shared], place[column[shared]], weights[first][times > 1]
+    order = np.argsort(at, kind="stable")
+    rows, at = rows[order], at[order]
+    n = len(left)
+    common = np.zeros((n, len(right) if right else n))
+    for low in range(0, len(weight), columns):
+        part = slice(*np.searchsorted(at, [low, low + columns]))
+        matrix = np.zeros((len(both), min(columns, len(weight) - low)), np.float32)
+        matrix[rows[part], at[part] - low] = 1
+        common += (matrix[:n] * weight[low : low + columns].astype(np.float32)) @ (matrix[n:] if right else matrix).T
+    needed = threshold * (totals[:n, None] + (totals[n:] if right else totals)[None, :] - common)
+    # single precision only picks; the picked pairs are added up in double precision
+    picked = np.argwhere(common >= needed * (1 - 1e-4))
+    out = []
+    for i, j in picked.tolist():
+        a, b = both[i], both[n + j if right else j]
+        if right or i < j:
+            _, x, y = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+            exact = (np.minimum(a[1][x], b[1][y]) * a[2][x].astype(np.float64)).sum()
+            if exact >= threshold * (totals[i] + totals[n + j if right else j] - exact) - 1e-9:
+                out.append((i, j))
+    return out
+
+
+def _block_links(idf, threshold: float):
+    """Maps the members of two parts of a band (``node, root, part, i, j, text``) to links ``a, b`` across roots."""
+
+    def run(members: pd.DataFrame) -> pd.DataFrame:
+        table = idf.value
+        i, j = members["i"].iloc[0], members["j"].iloc[0]
+        members = members.sort_values("node")
+        sides = [members[members["part"] == p] for p in ((i,) if i == j else (i, j))]
+        described = []
+        for side in sides:
+            found = [(s, c, table[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]) for _, _, s, c in _documents(side["text"].tolist())]
+            described.append(found)
+        out = []
+        if all(described):
+            pairs = similar_blocks(described[0], described[1] if len(described) > 1 else None, threshold)
+            nodes, roots = [s["node"].tolist() for s in sides], [s["root"].tolist() for s in sides]
+            out = [tuple(sorted((nodes[0][x], nodes[-1][y]))) for x, y in pairs if roots[0][x] != roots[-1][y]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=object)
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.8, bands: int = 12,
                     rows: int = 3, pivot_rounds: int = 3) -> DataFrame:
     """A row per row of ``docs``: ``key, class_id, kept``.
@@ -240,29 +309,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
         return keep(both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(idf, threshold), "a string, b string"), name)
 
     near = F.least("total_a", "total_b") >= F.greatest("total_a", "total_b") * threshold * (1 - 1e-6)
-    links, roots = None, None
-    for turn in range(pivot_rounds + 1):
-        placed = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn(
-            "root", F.coalesce("root", "node")
-        )
-        if turn:
-            placed = keep(placed, "placed")
-            # only bands whose members are not yet linked to each other
-            apart = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-            placed = placed.join(apart.select("band"), "band")
-        left = placed.select("band", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("total").alias("total_a"))
-        right = placed.select("band", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("total").alias("total_b"))
-        if turn < pivot_rounds:
-            # the first round takes the smallest node of a band, the later ones one chosen by hash
-            order = F.struct(F.lit(0) if not turn else F.xxhash64("a", "band", F.lit(turn)), "a", "root_a", "total_a")
-            pivots = left.groupBy("band").agg(F.min(order).alias("p")).select("band", "p.a", "p.root_a", "p.total_a")
-            met = pivots.join(right, "band").where(F.col("root_a") != F.col("root_b"))
-        else:
-            met = left.join(right, "band").where(F.col("root_a") < F.col("root_b"))
-        pairs = met.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = links_among(pairs, "links")
+
+    def pairs_of(left: DataFrame, right: DataFrame, apart) -> DataFrame:
+        a = left.select("band", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("total").alias("total_a"))
+        b = right.select("band", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("total").alias("total_b"))
+        return a.join(b, "band").where(apart & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    links, placed = None, members.withColumn("root", F.col("node"))
+    for turn in range(pivot_rounds):
+        # the first round takes the smallest node of a band, the later ones one chosen by hash
+        order = F.struct(F.lit(0).cast("long") if not turn else F.xxhash64("node", "band", F.lit(turn)), "node", "root", "total")
+        pivots = placed.groupBy("band").agg(F.min(order).alias("p")).select("band", "p.node", "p.root", "p.total")
+        found = links_among(pairs_of(pivots, placed, F.col("root_a") != F.col("root_b")), "links")
         links = found if links is None else links.unionByName(found)
-        roots = components(links)
+        placed = _unlinked(members, components(links))
+    small = placed.where(F.col("n") <= SMALL)
+    rest = links_among(pairs_of(small, small, F.col("root_a") < F.col("root_b")), "links")
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = placed.where(F.col("n") > SMALL).withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), parts - 1))
+    )
+    dealt = dealt.select("band", "node", "root", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    blocks = dealt.join(texts, "node").groupBy("band", "i", "j").applyInPandas(_block_links(idf, threshold), "a string, b string")
+    roots = components(links.unionByName(rest).unionByName(keep(blocks, "block-links")))
     classes = nodes.join(roots, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), F.col("key").alias("own")
     )
@@ -276,6 +345,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     )
 
 
+def _unlinked(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of bands that are not yet linked throughout, with their ``root`` and the band's size ``n``."""
+    placed = keep(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    apart = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low != high")
+    return keep(placed.join(apart.select("band", "n"), "band"), "unlinked")
+
+
 def _texts(plain: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node, text`` of the wanted nodes, each once."""
 
