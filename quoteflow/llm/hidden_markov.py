@@ -54,27 +54,32 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _symbols(known: dict[bytes, tuple[int, int]], alphabet: int, ends: int):
     """Maps ``row, text`` to symbols and what the dictionary says of a text's words."""
     outside, end = alphabet, alphabet + 1
-    logs = {w: math.log10(c + 1) for w, (_, c) in known.items()}
+    place = {w: i for w, (i, _) in known.items()}
+    # by place; the last one is that of words beyond the dictionary
+    logs = np.log10(np.array([c for _, c in known.values()] + [0], float) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unknown = len(place)
         for batch in batches:
             symbols, seen, plain, beyond, rare, number = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = words(text)
-                found = [known.get(w) for w in own]
-                missing = Counter(w for w, f in zip(own, found) if f is None)
-                ids = [outside if f is None or f[0] >= alphabet else f[0] for f in found]
-                ids.append(end)
-                symbols.append(np.array(ids, np.int32))
-                number.append(len(ids))
+                at = np.fromiter([place.get(w, unknown) for w in own], np.int64, len(own))
+                missing = Counter([own[i] for i in np.flatnonzero(at == unknown).tolist()])
+                value = logs[at]
+                symbols.append(np.append(np.minimum(at, outside), end).astype(np.int32))
+                number.append(len(own) + 1)
                 seen.append(len(own) - missing.total() + (ends > 0))
-                values = [logs[w] for w, f in zip(own, found) if f is not None]
-                plain.append(math.fsum(values) + math.log10(ends + 1))
-                beyond.append(math.fsum(logs[w] for w, f in zip(own, found) if f is not None and f[0] >= alphabet))
-                rare.append([{"word": w, "n": n} for w, n in missing.items()])
+                plain.append(float(value.sum()) + math.log10(ends + 1))
+                beyond.append(float(value[at >= alphabet].sum()))
+                rare.append(list(missing.items()))
+            kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+            lists = pa.ListArray.from_arrays(
+                np.cumsum([0, *map(len, rare)]).astype(np.int32),
+                pa.StructArray.from_arrays([pa.array([w for r in rare for w, _ in r], pa.binary()), pa.array([n for r in rare for _, n in r], pa.int64())], names=["word", "n"]))
+            arrays = pa.ListArray.from_arrays(np.cumsum([0, *number]).astype(np.int32), pa.array(np.concatenate(symbols) if symbols else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(number, pa.int64()), pa.array(seen, pa.int64()), pa.array(plain, pa.float64()), pa.array(beyond, pa.float64()),
-                 pa.array(symbols, pa.list_(pa.int32())), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
+                [batch.column(0), pa.array(number, pa.int64()), pa.array(seen, pa.int64()), pa.array(plain, pa.float64()), pa.array(beyond, pa.float64()), arrays, lists.cast(kind)],
                 names=["row", "n_tokens", "seen", "plain", "beyond", "symbols", "rare"])
 
     return run
