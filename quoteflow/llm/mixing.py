@@ -11,6 +11,7 @@ which the expected tokens are the ``budget`` share of all: two jobs over the cel
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,14 +23,20 @@ WORDS = r"[^\x20\x09-\x0D]+"
 TOPICS = ("licence", "contact", "table", "link", "markup", "prose")
 
 
+#: What tells the topics apart.
+NOTICES = ("Licensed under", "All rights reserved", "Copyright")
+MARKS = ("###", "***", "%%%", "&&&", "$$$")
+
+
 def topic(text: Column) -> Column:
     """The topic of a text by its form, the first of ``TOPICS`` that holds.  Every test is linear in the text's length."""
+    holds = lambda parts: reduce(Column.__or__, [text.contains(p) for p in parts])
     return (
-        F.when(text.rlike(r"(?i)licensed under|all rights reserved|copyright"), "licence")
-        .when(text.rlike(r"\w@\w+\.\w"), "contact")
+        F.when(holds(NOTICES), "licence")
+        .when(text.contains("@") & text.rlike(r"\w@\w+\.\w"), "contact")
         .when(F.char_length(text) - F.char_length(F.translate(text, "|", "")) >= 5, "table")
-        .when(text.contains("http://") | text.contains("https://"), "link")
-        .when(text.rlike(r"[#*%&$]{3}"), "markup")
+        .when(holds(("http://", "https://")), "link")
+        .when(holds(MARKS), "markup")
         .otherwise("prose")
     )
 
