@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text worked on at once, and the longest piece, in bytes, that is merged in a matrix.
-CHUNK, LONGEST = 4 << 20, 256
+CHUNK, LONGEST = 2 << 20, 256
 _BUCKETS = 1 << 17
 
 
@@ -233,7 +233,7 @@ def _encode(ranks: dict[bytes, int], pattern: str):
                 if size >= CHUNK:
                     out.extend(rows(waiting))
                     waiting, size = [], 0
-                    if len(known) > 500_000:
+                    if len(known) > 200_000:
                         known.clear()
             out.extend(rows(waiting))
             columns = list(zip(*out)) or [[]] * 3
