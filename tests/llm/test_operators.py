@@ -1,0 +1,342 @@
+"""Each operator against brute force, and on odd rows."""
+
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from quoteflow.llm import byte_bpe, exact_dedup, hidden_markov, minhash_dedup, mixing, nearest, quality, secrets, tokens, toxicity, trees, warc
+from quoteflow.llm.common import new_folder
+from quoteflow.llm.components import components
+from rows_llm import BASE, label_rows, no_documents, odd_documents
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect() if r["doc_id"] is not None}
+
+
+# --- exact deduplication ---
+
+
+def test_exact_groups_on_odd_rows(spark):
+    rows = exact_dedup.exact_groups(odd_documents(spark)).collect()
+    assert len(rows) == 14
+    found = {r["doc_id"]: r for r in rows}
+    assert (found[1]["keep_id"], found[1]["kept"], found[3]["kept"], found[1]["group_size"]) == (3, False, True, 2)
+    assert [found[i]["keep_id"] for i in (4, 5, 6)] == [6, 6, 6]
+    assert sum(r["kept"] for r in rows if r["doc_id"] == 9) == 0 and found[8]["group_size"] == 3
+    assert found[4]["text_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert exact_dedup.exact_groups(no_documents(spark)).count() == 0
+
+
+def test_equal_digests_of_different_texts_stay_apart(spark):
+    weak = exact_dedup.exact_groups(odd_documents(spark), digest=lambda text: F.lit("same"))
+    strong = exact_dedup.exact_groups(odd_documents(spark))
+    columns = ["doc_id", "keep_id", "group_size", "kept"]
+    assert sorted(map(repr, weak.select(columns).collect())) == sorted(map(repr, strong.select(columns).collect()))
+
+
+# --- near duplicates ---
+
+
+def shingle_counts(text):
+    _, _, data, begins = next(tokens.blocks([text]))
+    words, at = tokens.hashes(data, begins, marks=False)
+    return collections.Counter(minhash_dedup._shingles(words).tolist()) if len(words) else collections.Counter()
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    draw = random.Random(5)
+    texts = []
+    for _ in range(6):
+        base = [f"t{draw.randrange(5000)}" for _ in range(150)]
+        for _ in range(12):
+            copy = list(base)
+            for _ in range(draw.randrange(0, 6)):
+                copy[draw.randrange(150)] = f"z{draw.randrange(9999)}"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(docs).collect()}
+    idf = minhash_dedup.slot_idf(docs)
+    weights = [{s: n * float(idf[s >> 44]) for s, n in shingle_counts(t).items()} for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(weights):
+        for j in range(i):
+            b = weights[j]
+            common = sum(min(a[s], b[s]) for s in a.keys() & b.keys())
+            if common >= 0.8 * (sum(a.values()) + sum(b.values()) - common):
+                low, high = sorted((root(i), root(j)))
+                parent[high] = low
+    assert found == {i: root(i) for i in range(len(texts))}
+    assert 6 < len(set(found.values())) < len(texts)
+
+
+def test_near_duplicates_on_odd_rows(spark):
+    rows = minhash_dedup.near_duplicates(odd_documents(spark)).collect()
+    found = {r["doc_id"]: r["class_id"] for r in rows}
+    assert len(rows) == 14 and found[1] == found[2] == found[3] == 1 and found[8] == found[9] == 8
+    assert [found[i] for i in (4, 5, 6, 7, 11)] == [4, 5, 6, 7, 11]
+    assert minhash_dedup.near_duplicates(no_documents(spark)).count() == 0
+
+
+def test_blocks_give_the_links_of_all_pairs():
+    draw = np.random.default_rng(1)
+    base = np.concatenate([draw.integers(1, 1 << 60, 80), np.repeat(draw.integers(1, 1 << 60, 5), 3)]).astype(np.uint64)
+
+    def document(edits):
+        shingles = base.copy()
+        shingles[draw.choice(len(base), edits, replace=False)] = draw.integers(1, 1 << 60, edits)
+        each, counts = np.unique(shingles, return_counts=True)
+        return each, counts, (1 + (each % 7) / 14).astype(np.float32)
+
+    def similarity(a, b):
+        _, x, y = np.intersect1d(a[0], b[0], return_indices=True)
+        common = (np.minimum(a[1][x], b[1][y]) * a[2][x].astype(float)).sum()
+        return common / ((a[1] * a[2].astype(float)).sum() + (b[1] * b[2].astype(float)).sum() - common)
+
+    docs = [document(int(draw.integers(0, 25))) for _ in range(60)]
+    expected = {(i, j) for i in range(60) for j in range(i + 1, 60) if similarity(docs[i], docs[j]) >= 0.8}
+    assert set(minhash_dedup.similar_blocks(docs, None, 0.8, columns=50)) == expected and expected
+    across = {(i, j) for i in range(30) for j in range(30) if similarity(docs[i], docs[30 + j]) >= 0.8}
+    assert set(minhash_dedup.similar_blocks(docs[:30], docs[30:], 0.8, columns=64)) == across
+
+
+def test_samples_agree_as_often_as_weighted_jaccard():
+    draw = np.random.default_rng(3)
+    shingles = np.sort(draw.integers(1, 1 << 62, 300).astype(np.uint64))
+    a, b = np.ones(300, np.float32), np.ones(300, np.float32)
+    a[:40], b[40:70] = 4, 3
+    found = minhash_dedup.weighted_samples([(shingles, a), (shingles, b)], 60, minhash_dedup._draws())
+    expected = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+    assert abs((found[0] == found[1]).mean() - expected) < 4 * math.sqrt(expected * (1 - expected) / 60)
+
+
+def test_components_of_a_path_and_a_star(spark):
+    links = [(f"p{i:02}", f"p{i + 1:02}") for i in range(40)] + [("s0", f"s{i}") for i in range(1, 30)]
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert found["p40"] == "p00" and {found[f"s{i}"] for i in range(1, 30)} == {"s0"}
+
+
+# --- byte-level BPE ---
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    from quoteflow.llm.queries import tokenizer
+
+    return tokenizer()
+
+
+def test_bpe_equals_the_public_library(spark, vocabulary):
+    import tiktoken
+
+    ranks, pattern = vocabulary
+    public = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    docs = odd_documents(spark)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    rows = byte_bpe.encode(docs, ranks, pattern).collect()
+    assert len(rows) == 14
+    for r in rows:
+        ids = public.encode_ordinary(texts[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+    assert byte_bpe.encode(no_documents(spark), ranks, pattern).count() == 0
+
+
+def test_three_ways_to_merge_agree(spark, vocabulary):
+    ranks, pattern = vocabulary
+    words = sorted({w for t in ("unbelievable naïveté aaaaaaaaaa 123456 !!?? Straßenbahn", BASE) for w in byte_bpe.splitter(pattern)(t)})
+    folded = {r["word"]: r["ids"] for r in byte_bpe.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), ranks).collect()}
+    matrix = byte_bpe.Merges(ranks)
+    for word in words:
+        raw = word.encode()
+        assert folded[word] == byte_bpe.merged(raw, ranks) == matrix.encode([raw])[0] == matrix.of_length([raw])[0]
+
+
+# --- language model ---
+
+
+def test_forward_equals_all_paths_and_training_helps(spark):
+    model = hidden_markov.first_model(np.array([5.0, 3.0, 2.0, 1.0]), 2)
+    sequence = [0, 2, 1, 3]
+    total = 0.0
+    for path in range(16):
+        states = [path >> i & 1 for i in range(4)]
+        p = model.start[states[0]] * model.emit[sequence[0], states[0]]
+        for a, b, symbol in zip(states, states[1:], sequence[1:]):
+            p *= model.move[a, b] * model.emit[symbol, b]
+        total += p
+    values, offsets = np.array(sequence * 2, np.int32), np.array([0, 4, 8])
+    owner, padded, active = next(hidden_markov._sequences(values, offsets, None))
+    assert np.allclose(np.exp(hidden_markov.forward(model, padded, active)), total)
+    draw = np.random.default_rng(2)
+    rows = [(draw.integers(2 * (i % 2), 2 * (i % 2) + 2, 30).tolist(),) for i in range(40)]
+    _, history = hidden_markov.baum_welch(spark.createDataFrame(rows, "symbols array<int>"), model, 4)
+    assert history == sorted(history) and history[-1] > history[0]
+
+
+def test_language_model_scores(spark, monkeypatch):
+    monkeypatch.setattr(hidden_markov, "DICTIONARY", 50)
+    docs = odd_documents(spark).where("doc_id is not null and doc_id != 9")
+    rows = by_id(hidden_markov.score(docs, alphabet=20, rounds=1))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    counts, ends = collections.Counter(), 0
+    for i, text in texts.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update(hidden_markov.words(text))
+            ends += 1
+    counts[None] = ends
+    n, v = sum(counts.values()), len(counts)
+    for i, text in texts.items():
+        every = [*hidden_markov.words(text), None]
+        assert rows[i]["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in every), rel=1e-9)
+        assert (rows[i]["n_tokens"], rows[i]["n_known"], rows[i]["train_tokens"]) == (len(every), sum(counts[w] > 0 for w in every), n)
+        assert rows[i]["score"] < 0
+    assert hidden_markov.score(no_documents(spark)).count() == 0
+
+
+# --- nearest vectors ---
+
+
+def test_nearest_equals_brute_force(spark):
+    draw = np.random.default_rng(4)
+    vectors = {i: draw.normal(size=8).round(2).tolist() for i in range(300)}
+    vectors |= {i: [1.0] * 8 for i in range(300, 340)}
+    bad = [(400, None), (401, [0.0] * 8), (402, [float("nan")] * 8), (403, [1.0, None]), (404, []), (None, [1.0] * 8), (405, [float("inf")] * 8)]
+    rows = spark.createDataFrame([*vectors.items(), *bad, (300, [1.0] * 8)], "vec_id bigint, embedding array<double>")
+    found = collections.defaultdict(list)
+    for r in nearest.nearest(rows).collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for query in range(0, 340, 20):
+        every = sorted((-sum(a * b for a, b in zip(vectors[query], v)), i) for i, v in vectors.items() if i != query)[:20]
+        assert [(i, v) for i, v, _ in sorted(found[query])] == [(n + 1, i) for n, (_, i) in enumerate(every)]
+    assert set(found) == set(range(0, 340, 20))
+    assert nearest.nearest(rows.limit(0)).count() == 0
+
+
+def test_bounds_hold():
+    draw = np.random.default_rng(6)
+    a, b = draw.normal(size=(20, 64)), draw.normal(size=(50, 64)) * draw.uniform(0.01, 100, (50, 1))
+    low, high = nearest.bounds(a, b)
+    assert (low <= a @ b.T).all() and (a @ b.T <= high).all()
+
+
+# --- mixing ---
+
+
+def test_raking_meets_its_targets(spark):
+    draw = random.Random(8)
+    docs = spark.createDataFrame(
+        [(i, " ".join(["word"] * draw.randrange(1, 60)) + ("###" if i % 4 == 0 else ""), draw.choice(["en", "de"]), draw.choice("abc")) for i in range(600)],
+        "doc_id bigint, text string, lang string, source string")
+    mixed = mixing.mix(docs, targets={"lang": {"en": 0.8, "de": 0.2}}, budget=0.5).toPandas()
+    weighted = mixed.tokens * mixed.weight
+    share = weighted.groupby(mixed.lang).sum() / weighted.sum()
+    assert share["en"] == pytest.approx(0.8, abs=1e-4)
+    sources = mixed.groupby("source").tokens.sum() ** 0.9
+    assert np.allclose(weighted.groupby(mixed.source).sum() / weighted.sum(), sources / sources.sum(), atol=1e-4)
+    assert (mixed.tokens * mixed.probability).sum() == pytest.approx(0.5 * mixed.tokens.sum(), rel=0.01)
+    assert mixed.sampled.mean() == pytest.approx(mixed.probability.mean(), abs=0.1)
+
+
+def test_mixing_on_odd_rows(spark):
+    mixed = mixing.mix(odd_documents(spark))
+    assert mixed.count() == 14 and mixed.columns.count("tokens") == 1
+    assert mixed.where("probability is null or sampled is null").count() == 0
+    assert mixing.mix(no_documents(spark)).count() == 0
+
+
+# --- classifiers and secrets ---
+
+
+def test_toxicity_and_quality_learn(spark):
+    draw = random.Random(9)
+    rows, marks = [], []
+    for i in range(1500):
+        words = [f"w{draw.randrange(300)}" for _ in range(draw.randrange(5, 60))]
+        toxic, good = int(i % 5 == 0), int(i % 3 != 0)
+        if toxic:
+            words[draw.randrange(len(words))] = draw.choice(["vile", "foulish", "foulest"])
+        rows.append((i, " | ".join(words) if not good else " ".join(words)))
+        marks.append((i, good, toxic))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
+    scored = by_id(toxicity.score(docs, toxicity.train(docs, labels)))
+    held = [i for i in range(1500) if scored[i]["held_out"]]
+    assert held and sum(scored[i]["predicted"] == marks[i][2] for i in held) > 0.97 * len(held)
+    scored = by_id(quality.score(docs, labels))
+    held = [i for i in range(1500) if scored[i]["held_out"]]
+    assert held and sum(scored[i]["predicted"] == marks[i][1] for i in held) > 0.97 * len(held)
+
+
+def test_classifiers_on_odd_rows(spark):
+    docs, labels = odd_documents(spark), label_rows(spark)
+    assert toxicity.score(docs, toxicity.train(docs, labels)).where("score between 0 and 1").count() == 14
+    assert quality.score(docs, labels).where("score between 0 and 1").count() == 14
+    assert quality.score(no_documents(spark), labels).count() == 0
+    assert toxicity.score(no_documents(spark), toxicity.train(no_documents(spark), labels)).count() == 0
+    model = toxicity.train(docs, labels)
+    assert toxicity.without_toxic(docs, model).columns == docs.columns
+
+
+def test_isotonic_is_monotone_and_trees_learn():
+    draw = np.random.default_rng(7)
+    x = draw.normal(size=(2000, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    boosted = trees.boost(x, y, np.ones(2000))
+    assert ((boosted.margin(x) > 0) == y).mean() > 0.98
+    assert ((trees.forest(x, y).probability(x) > 0.5) == y).mean() > 0.95
+    score, chance = trees.isotonic(boosted.margin(x), y, np.ones(2000))
+    assert (np.diff(score) >= 0).all() and (np.diff(chance) >= 0).all()
+
+
+def test_secrets(spark):
+    draw = random.Random(3)
+    key = lambda n: "".join(draw.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f"some words password={key(18)} and more") for i in range(60)]
+    rows += [(i, f"card {draw.randrange(10**15, 10**16)} paid, see https://example.com/{key(14)}") for i in range(60, 120)]
+    found = by_id(secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert all(found[i]["n_secrets"] == 1 for i in range(60)) and all(found[i]["n_secrets"] == 0 for i in range(60, 120))
+    span = found[0]["findings"][0]
+    assert rows[0][1][span["start"] - 9 : span["start"]] == "password="
+    assert secrets.scan(odd_documents(spark)).count() == 14 and secrets.scan(no_documents(spark)).count() == 0
+
+
+# --- archives ---
+
+
+def test_archives_and_index(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LINES", 7)
+    body = "<p>" + "é" * 80
+    pages = [(i, f"http://h{i % 3}.example.com/{i % 10}", body if i % 4 == 0 else f"<p>{i}" * 30) for i in range(100)]
+    pages += [(200, None, None), (201, "no address\r\nX: y", "short"), (202, "http://hot.example.com/", "short"), (None, "http://x.org", "z" * 200)]
+    pages += [(300 + i, "http://hot.example.com/", f"{i}" * 150) for i in range(40)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    rows = {r["page_id"]: r for r in warc.archive_and_read(spark, df).collect()}
+    assert len(rows) == len(pages)
+    assert rows[0]["record_type"] == "response" and rows[4]["record_type"] == "revisit" and rows[4]["refers_to"] == 0
+    assert rows[4]["payload_bytes"] == len(body.encode()) and rows[4]["payload_digest"] == hashlib.sha256(body.encode()).hexdigest()
+    assert {rows[i]["record_type"] for i in (200, 201, 202)} == {"response"} and rows[200]["payload_bytes"] == 0
+    assert rows[201]["url"] == "no address\r\nX: y"
+    folder = new_folder(spark, "warc")
+    captures = warc.write_archives(df, folder)
+    top = warc.write_index(captures, folder, 3)
+    wanted = spark.createDataFrame([("com,example,hot)/",), ("com,example,none)/",)], "key string")
+    assert warc.find_captures(wanted, top, folder).count() == 41
+    assert warc.archive_and_read(spark, df.limit(0)).count() == 0
+
+
+def test_capture_keys():
+    assert warc.capture_key("HTTP://A.Example.com:80/x?y#z") == "com,example,a)/x?y"
+    assert warc.capture_key("https://b.org:8443") == "org,b:8443)/"
+    assert warc.capture_key(None) == "" and warc.capture_key("plain") == "plain"
