@@ -18,7 +18,7 @@ import oracles
 from quoteflow import audit, control, fixtures
 from quoteflow.functions import daily_return, row_hash
 from quoteflow.operators import align, dedup, ema, indicators, merge, quality, returns
-from quoteflow.plans import gold, incremental, serving, silver, snapshot
+from quoteflow.plans import bronze, gold, incremental, serving, silver, snapshot
 from quoteflow.session import shared_dir
 from quoteflow.sources import html, listing, nested, quotefiles, tables
 from quoteflow.streaming.dedup import dedup_stream
@@ -75,6 +75,32 @@ def silver_rows(spark, sf):
     return fixtures.silver_quotes(spark, sf).drop("ingestion_date_time", "silver_load_date_time", "expiry_date")
 
 
+def load_silver(spark, sf):
+    """The silver load itself, twice: rows of 1995 and later, then the older ones, some with unreadable dates or no ISIN.
+
+    Every row of the series comes out as loaded or with the reason why not, but for a row hash's further rows.
+    """
+    layer = f"load_{uuid.uuid4().hex[:12]}"
+    raw = fixtures.quotes(spark, sf).withColumn("BizDt", F.trunc("BizDt", "month")).withColumn("TradDt", F.col("BizDt"))
+    volume = F.col("TtlTradgVol")
+    faulty = raw.withColumns({
+        "ISIN": F.when(volume != 8, F.col("ISIN")),
+        "BizDt": F.when(volume == 7, F.date_format("BizDt", "dd/MM/yyyy")).otherwise(F.col("BizDt").cast("string")),
+    })
+    text = faulty.selectExpr(*[f"cast({c} as string) as {c}" for c in faulty.columns])
+    recent = F.col("TradDt") >= "1995-01-01"
+    for part in (recent, ~recent):
+        tables.append(bronze.with_audit_columns(text.filter(part), "lineitem"), f"{layer}.raw")
+        silver.load_silver(spark, f"{layer}.raw", f"{layer}.quotes", f"{layer}.state")
+    loaded = spark.table(f"{layer}.quotes").select(
+        F.lit("loaded").alias("outcome"), "ISIN", F.col("business_date").cast("string").alias("day"), F.col("total_turnover_value").alias("turnover")
+    )
+    left_out = spark.table(f"{layer}.quotes_rejected").select(
+        F.col("reason").alias("outcome"), "ISIN", F.col("BizDt").alias("day"), F.col("TtlTrfVal").cast("double").alias("turnover")
+    )
+    return loaded.unionByName(left_out)
+
+
 def align_schema(spark, sf):
     lines = fixtures.table(spark, sf, "lineitem")
     text = lines.select(
@@ -367,7 +393,8 @@ def parquet_scan(spark, sf):
 
 def _events(spark, sf):
     schema = fixtures.table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    # a glob, as the reader takes a plain path for a folder: this one finds a file or a folder of part files
+    return spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
 
 
 def ema_stream(spark, sf):
@@ -471,10 +498,10 @@ except ImportError:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**_quote_queries(), **(llm.queries() if llm else {})}
+    return {**quote_queries(), **(llm.queries() if llm else {})}
 
 
-def _quote_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def quote_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "dedup_quotes": dedup_quotes,
         "series_filter": series_filter,
@@ -482,6 +509,7 @@ def _quote_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "daily_return": daily_returns,
         "typed_text": typed_text,
         "silver": silver_rows,
+        "load_silver": load_silver,
         "align_schema": align_schema,
         "union_batches": union_batches,
         "anti_join_new_rows": anti_join_new_rows,

@@ -113,6 +113,18 @@ SELECT d AS trading_date, d AS business_date, 'SYN' AS data_source_code, isin AS
        volume AS total_trading_volume, turnover AS total_turnover_value,
        trades AS total_number_of_transactions_executed, k AS hash_key, pnl AS pnl_percentage
 FROM silver""",
+        "load_silver": _BRONZE_WITH + """,
+raw AS (
+  SELECT CASE WHEN volume <> 8 THEN isin END AS isin, date_trunc('month', d)::DATE AS d, code, series, turnover, c, volume FROM bronze
+  WHERE series IN ('EQ', 'SM')),
+marked AS (
+  SELECT *, CASE WHEN isin IS NULL OR volume = 7 THEN 'incomplete' WHEN d < DATE '1995-01-01' THEN 'late' END AS reason FROM raw),
+loaded AS (
+  SELECT * FROM marked WHERE reason IS NULL
+  QUALIFY row_number() OVER (PARTITION BY isin, code, d ORDER BY series, turnover DESC, c) = 1)
+SELECT 'loaded' AS outcome, isin AS ISIN, CAST(d AS VARCHAR) AS day, turnover FROM loaded
+UNION ALL SELECT reason, isin, CASE WHEN volume = 7 THEN strftime(d, '%d/%m/%Y') ELSE CAST(d AS VARCHAR) END, turnover
+FROM marked WHERE reason IS NOT NULL""",
         "align_schema": """
 SELECT l_orderkey,
        CASE WHEN l_returnflag <> 'R' THEN CAST(l_shipdate AS DATE) END AS day,
@@ -330,11 +342,14 @@ problems AS (
 SELECT problem, count(*) AS row_count FROM problems GROUP BY problem""",
         "dq_missing_dates": _SILVER_WITH + """,
 calendar AS (SELECT d, row_number() OVER (ORDER BY d) AS n FROM (SELECT DISTINCT d FROM silver)),
-present AS (
-  SELECT isin, d, n, lag(d) OVER w AS before, lag(n) OVER w AS m
-  FROM (SELECT DISTINCT isin, d FROM silver) JOIN calendar USING (d) WINDOW w AS (PARTITION BY isin ORDER BY n))
-SELECT isin AS ISIN, before AS gap_after, d AS gap_before, n - m - 1 AS missing_days
-FROM present WHERE n - m - 1 > 0""",
+absent AS (
+  SELECT s.isin, c.n FROM (SELECT DISTINCT isin FROM silver) s CROSS JOIN calendar c
+  ANTI JOIN silver p ON p.isin = s.isin AND p.d = c.d),
+runs AS (
+  SELECT isin, min(n) AS low, max(n) AS high, count(*) AS days
+  FROM (SELECT isin, n, n - row_number() OVER (PARTITION BY isin ORDER BY n) AS run FROM absent) GROUP BY isin, run)
+SELECT isin AS ISIN, a.d AS gap_after, b.d AS gap_before, days AS missing_days
+FROM runs LEFT JOIN calendar a ON a.n = low - 1 LEFT JOIN calendar b ON b.n = high + 1""",
         "dq_row_counts": _SILVER_WITH + f""",
 counts AS (SELECT d AS business_date, count(*) AS row_count FROM silver GROUP BY d),
 expected AS (
@@ -344,9 +359,7 @@ SELECT business_date, row_count, {_micro('e')} AS expected_count,
 FROM expected""",
         "dq_findings": _SILVER_WITH + """,
 calendar AS (SELECT d, row_number() OVER (ORDER BY d) AS n FROM (SELECT DISTINCT d FROM silver)),
-present AS (
-  SELECT n - lag(n) OVER (PARTITION BY isin ORDER BY n) - 1 AS gap
-  FROM (SELECT DISTINCT isin, d FROM silver) JOIN calendar USING (d)),
+present AS (SELECT DISTINCT isin, d FROM silver WHERE isin IS NOT NULL),
 counts AS (SELECT d, count(*) AS r FROM silver GROUP BY d),
 expected AS (SELECT r, avg(r) OVER (ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS e FROM counts)
 SELECT 'duplicate_rows' AS "check",
@@ -357,6 +370,6 @@ UNION ALL SELECT 'missing_stock_code', (SELECT count(*) FROM silver WHERE coales
 UNION ALL SELECT 'missing_stock_name', (SELECT count(*) FROM silver WHERE coalesce(trim(name), '') = '')
 UNION ALL SELECT 'invalid_prices',
        (SELECT count(*) FROM silver WHERE o <= 0 OR h <= 0 OR c <= 0 OR h < o OR c < o OR c > h OR c IS NULL)
-UNION ALL SELECT 'missing_days', (SELECT CAST(coalesce(sum(gap), 0) AS BIGINT) FROM present WHERE gap > 0)
+UNION ALL SELECT 'missing_days', (SELECT count(DISTINCT isin) FROM present) * (SELECT count(*) FROM calendar) - (SELECT count(*) FROM present)
 UNION ALL SELECT 'unexpected_row_counts', (SELECT count(*) FROM expected WHERE abs(r - e) > 0.5 * e)""",
     }

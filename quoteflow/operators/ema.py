@@ -180,25 +180,6 @@ def _linked_blocks(rows: DataFrame, alpha: float, opening: DataFrame | None) ->
     )
 
 
-def choose_span(
-    df: DataFrame, group_col: str = "ISIN", target_col: str = "business_date", rows_per_block: int = 1_000_000
-) -> int:
-    """Block length in days so that the heaviest series has about ``rows_per_block`` rows per block.
-
-    Runs one job: counts per series and default block, combined before the
-    shuffle; a single number comes back.  Needed only where a series may hold
-    many rows per day; with one row per day the default length is safe.
-    """
-    block = F.floor(F.unix_date(F.col(target_col).cast("date")) / DEFAULT_SPAN_DAYS)
-    heaviest = (
-        df.filter(F.col(group_col).isNotNull()).groupBy(group_col, block).agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.max("n")).first()[0]
-    )
-    if not heaviest or heaviest <= rows_per_block:
-        return DEFAULT_SPAN_DAYS
-    return max(1, DEFAULT_SPAN_DAYS * rows_per_block // heaviest)
-
-
 def _checked(df: DataFrame, row_id: str, value_col: str) -> DataFrame:
     return require_columns(df, [row_id, value_col], "the moving average")
 

@@ -71,26 +71,27 @@ def findings(df: DataFrame, keys: Sequence[str] = ("ISIN", "business_date")) ->
 
 
 def missing_dates(df: DataFrame, key: str = "ISIN", date: str = "business_date") -> DataFrame:
-    """Market days a security skipped, as gaps between its consecutive rows.
+    """Market days a security has no row for, as runs between its rows, before its first and after its last.
 
-    The market calendar is the set of dates in ``df``.  Every date gets its
-    ordinal; a gap is a jump of more than one between neighbouring rows.  No
-    security-by-date grid is formed, and the output has at most a row per input
-    row.  The calendar has a row per day, so its window and broadcast are small
-    however large the table is.
+    The market calendar is the set of dates in ``df``; a run before the first row has
+    no ``gap_after``, one after the last no ``gap_before``.  Every date gets its
+    ordinal; a gap is a jump of more than one.  No security-by-date grid is
+    formed, and the output has at most a row per input row and one per security.
+    The calendar has a row per day, so its window is small however large the table is.
     """
     days = df.select(date).where(F.col(date).isNotNull()).distinct()
     calendar = days.withColumn("_ordinal", F.row_number().over(Window.orderBy(date)))
-    present = df.select(key, date).distinct().join(F.broadcast(calendar), date)
+    present = df.select(key, date).distinct().join(calendar, date)
     history = Window.partitionBy(key).orderBy("_ordinal")
-    return (
-        present.withColumns(
-            {"gap_after": F.lag(date).over(history), "_previous": F.lag("_ordinal").over(history)}
-        )
-        .withColumn("missing_days", F.col("_ordinal") - F.col("_previous") - 1)
-        .filter("missing_days > 0")
-        .select(key, "gap_after", F.col(date).alias("gap_before"), F.col("missing_days").cast("bigint"))
+    until = present.withColumns(
+        {"gap_after": F.lag(date).over(history), "_previous": F.coalesce(F.lag("_ordinal").over(history), F.lit(0))}
+    ).select(key, "gap_after", F.col(date).alias("gap_before"), (F.col("_ordinal") - F.col("_previous") - 1).alias("missing_days"))
+    ends = present.groupBy(key).agg(F.max(date).alias("gap_after"), F.max("_ordinal").alias("_ordinal")).select(
+        key, "gap_after", F.lit(None).cast(df.schema[date].dataType).alias("gap_before"),
+        (calendar.agg(F.max("_ordinal")).scalar() - F.col("_ordinal")).alias("missing_days"),
     )
+    gaps = until.unionByName(ends).filter("missing_days > 0")
+    return gaps.withColumn("missing_days", F.col("missing_days").cast("bigint"))
 
 
 def row_count_alarms(df: DataFrame, date: str = "business_date", days: int = 20, tolerance: float = 0.5) -> DataFrame:

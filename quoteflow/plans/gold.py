@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..audit import counted, measured
 from ..control import put_watermark
-from ..operators.ema import DEFAULT_SPAN_DAYS, choose_span, ema_column, ema_final, ema_series, ema_table
+from ..operators.ema import DEFAULT_SPAN_DAYS, ema_column, ema_final, ema_series, ema_table
 from ..operators.returns import with_avg_return
 from ..schema import GOLD_RENAMES
 from ..sources.tables import publish, read_table
@@ -56,7 +56,8 @@ def refresh_ema(silver: DataFrame, previous: DataFrame, period: int = 7) -> Data
             F.lit(False),
         ).alias("_late"),
     )
-    placed = marked.join(state, "ISIN")
+    # null-safe: rows without a security keep their null average
+    placed = marked.join(state.withColumnRenamed("ISIN", "_isin"), F.col("ISIN").eqNullSafe(F.col("_isin"))).drop("_isin")
     computed = ema_series(
         placed.filter(~known | F.col("_late")),
         period,
@@ -81,7 +82,7 @@ def refresh_gold(silver: DataFrame, ema: DataFrame, previous: DataFrame) -> Data
 def load_ema(spark: SparkSession, silver: str, table: str, period: int = 7, mode: str = "series") -> dict:
     """All averages computed and published."""
     source = read_table(spark, silver)
-    ema, written = counted(build_ema(source, period, mode, choose_span(source)), "ema_written")
+    ema, written = counted(build_ema(source, period, mode), "ema_written")
     publish(ema, table)
     return {"rows_written": measured(written)["rows"]}
 

@@ -8,6 +8,7 @@ date filters reach the table's ``business_date`` partitions.
 from __future__ import annotations
 
 import datetime as dt
+import logging
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -18,6 +19,8 @@ from ..operators.dedup import latest_per_key
 from ..operators.ema import ema_column
 from ..sources.tables import read_table, table_exists
 
+_log = logging.getLogger(__name__)
+
 # Limits of the query service and its messages
 DEFAULT_LIMIT = 20
 MAX_LIMIT = 100
@@ -39,8 +42,14 @@ class StockNotFound(LookupError):
         super().__init__(NOT_FOUND_MESSAGE.format(stock_code))
 
 
-def bounded_limit(requested: int) -> int:
-    return DEFAULT_LIMIT if requested <= 0 else min(requested, MAX_LIMIT)
+def bounded_limit(requested: int, max_limit: int | None = MAX_LIMIT) -> int:
+    """The limit of a request: the default for none, ``max_limit`` at most (None: no bound).  A cut is logged."""
+    if requested <= 0:
+        return DEFAULT_LIMIT
+    if max_limit is not None and requested > max_limit:
+        _log.warning("limit %d cut to %d", requested, max_limit)
+        return max_limit
+    return requested
 
 
 def check_range(start: dt.date | None, end: dt.date | None) -> None:
@@ -86,7 +95,7 @@ def stock_catalog(gold: DataFrame) -> DataFrame:
     return newest.select(*_columns(["stock_code", "stock_name", "isin"]))
 
 
-def suggest(catalog: DataFrame, query: str | None, limit: int = DEFAULT_SUGGESTIONS) -> DataFrame:
+def suggest(catalog: DataFrame, query: str | None, limit: int = DEFAULT_SUGGESTIONS, max_limit: int | None = SUGGESTION_LIMIT) -> DataFrame:
     """Catalog entries whose code or name holds the text: equal codes first, then
     codes and then names starting with it.  No text, no suggestions."""
     text = normalize_text(query)
@@ -97,7 +106,7 @@ def suggest(catalog: DataFrame, query: str | None, limit: int = DEFAULT_SUGGESTI
     return (
         catalog.filter(code.contains(wanted) | name.contains(wanted))
         .orderBy(rank, name, code, "isin")
-        .limit(min(bounded_limit(limit), SUGGESTION_LIMIT))
+        .limit(bounded_limit(limit, max_limit))
     )
 
 
@@ -113,11 +122,14 @@ def name_contains(query: str | None, wildcards: bool = False) -> Column:
     return name.like(f"%{text}%") if wildcards else name.contains(F.lit(text))
 
 
-def search(gold: DataFrame, query: str | None, limit: int = DEFAULT_LIMIT, wildcards: bool = False) -> DataFrame:
+def search(gold: DataFrame, query: str | None, limit: int = DEFAULT_LIMIT, wildcards: bool = False,
+           max_limit: int | None = MAX_LIMIT) -> DataFrame:
     """Latest summary per code among rows whose name holds the text, by code."""
     wanted = gold.filter(name_contains(query, wildcards)).select(*_columns(SUMMARY), "hash_key")
     newest = latest_per_key(wanted, "stock_code", "business_date", [F.col("hash_key")])
-    return newest.select(SUMMARY).orderBy(F.col("stock_code").asc_nulls_last()).limit(bounded_limit(limit))
+    return newest.select(SUMMARY).orderBy(F.col("stock_code").asc_nulls_last()).limit(
+        bounded_limit(limit, max_limit)
+    )
 
 
 # --- one security ---
@@ -138,14 +150,15 @@ def fetch_latest(gold: DataFrame, stock_code: str) -> Row:
     return row
 
 
-def _prices(gold: DataFrame, stock_code: str | Sequence[str], start: dt.date | None, end: dt.date | None, limit: int) -> DataFrame:
+def _prices(gold: DataFrame, stock_code: str | Sequence[str], start: dt.date | None, end: dt.date | None, limit: int,
+            max_limit: int | None = MAX_LIMIT) -> DataFrame:
     check_range(start, end)
     rows = gold.filter(_has_code(stock_code))
     if start is not None:
         rows = rows.filter(F.col("business_date") >= F.lit(start))
     if end is not None:
         rows = rows.filter(F.col("business_date") <= F.lit(end))
-    return rows.orderBy(*_newest_first()).limit(bounded_limit(limit))
+    return rows.orderBy(*_newest_first()).limit(bounded_limit(limit, max_limit))
 
 
 def history(
@@ -154,9 +167,10 @@ def history(
     start: dt.date | None = None,
     end: dt.date | None = None,
     limit: int = DEFAULT_HISTORY,
+    max_limit: int | None = MAX_LIMIT,
 ) -> DataFrame:
     """Newest price rows of one code within the inclusive date range."""
-    return _prices(gold, stock_code, start, end, limit).select(PRICES)
+    return _prices(gold, stock_code, start, end, limit, max_limit).select(PRICES)
 
 
 def indicators(
@@ -233,7 +247,8 @@ def daily_rollup(gold: DataFrame) -> DataFrame:
 
 
 def movers(
-    gold: DataFrame, gainers: bool = True, limit: int = DEFAULT_LIMIT, by: str = "avg_pnl_percentage"
+    gold: DataFrame, gainers: bool = True, limit: int = DEFAULT_LIMIT, by: str = "avg_pnl_percentage",
+    max_limit: int | None = MAX_LIMIT,
 ) -> DataFrame:
     """Top securities of the last date, highest first for gainers, lowest first for losers.
 
@@ -243,7 +258,7 @@ def movers(
     last_day = gold.filter(F.col("business_date") == gold.select(F.max("business_date")).scalar())
     ranked = daily_rollup(last_day).filter(F.col(by).isNotNull())
     order = F.col(by).desc() if gainers else F.col(by).asc()
-    return ranked.select(SUMMARY).orderBy(order, "stock_code", "isin").limit(bounded_limit(limit))
+    return ranked.select(SUMMARY).orderBy(order, "stock_code", "isin").limit(bounded_limit(limit, max_limit))
 
 
 def gainers(gold: DataFrame, limit: int = DEFAULT_LIMIT, by: str = "avg_pnl_percentage") -> DataFrame:

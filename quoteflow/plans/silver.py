@@ -15,6 +15,7 @@ from ..functions import daily_return, row_hash
 from ..operators.merge import new_rows_by_hash, split_rejects
 from ..schema import EQUITY_SERIES, HASH_COLUMNS, SILVER_COLUMNS, SILVER_SCHEMA
 from ..sources.tables import append, ensure_table, read_since, read_table
+from .bronze import append_rejects
 
 
 def typed_quotes(bronze: DataFrame) -> DataFrame:
@@ -47,13 +48,28 @@ def to_silver(bronze: DataFrame) -> DataFrame:
     )
 
 
+def set_aside(raw: DataFrame, watermark: dt.date | None, again: Sequence[dt.date], since: dt.datetime | None) -> DataFrame:
+    """The raw rows that a load leaves out, with a ``reason``: ``incomplete`` without ISIN or a readable date, ``late`` where
+    dated at or before the watermark.  Only rows that arrived after ``since``, when the load before looked."""
+    date = F.col("BizDt").try_cast("date")
+    complete = (F.coalesce(F.btrim("ISIN"), F.lit("")) != "") & date.isNotNull()
+    late = F.lit(False) if watermark is None else (date <= F.lit(watermark)) & ~date.isin(list(again))
+    if since is not None and "_ingested_at" in raw.columns:
+        raw = raw.filter(F.col("_ingested_at") > F.lit(since))
+    marked = raw.withColumn("reason", F.when(~complete, "incomplete").when(late, "late"))
+    return marked.filter(F.col("reason").isNotNull())
+
+
 def load_silver(
-    spark: SparkSession, bronze: str, table: str, control: str, reprocess_dates: Iterable[dt.date] = ()
+    spark: SparkSession, bronze: str, table: str, control: str, reprocess_dates: Iterable[dt.date] = (),
+    rejects: str | None = None,
 ) -> dict:
     """Raw rows after the watermark into the silver table, then the new watermark.
 
     The watermark is the latest date of the filtered batch before the merge, so
-    a batch of known rows still advances it.
+    a batch of known rows still advances it.  Rows of the series that cannot be
+    loaded, or come too late, go to ``rejects`` (``<table>_rejected``) with a reason;
+    ``reprocess_dates`` loads late ones.
     """
     layer, name = table.split(".")
     watermark = get_watermark(spark, control, layer, name)
@@ -65,9 +81,14 @@ def load_silver(
             (F.col("BizDt").try_cast("date") > F.lit(watermark)) | F.col("BizDt").try_cast("date").isin(again)
         )
     ensure_table(spark, table, SILVER_SCHEMA, ["business_date"])
+    held = read_table(spark, table)
+    before = held.agg(F.max("silver_load_date_time")).first()[0]
+    aside = set_aside(equity_series(source, "SctySrs"), watermark, again, before)
+    left_out = {r["reason"]: r["n"] for r in aside.groupBy("reason").agg(F.count("*").alias("n")).collect()}
+    if left_out:
+        append_rejects(aside, rejects or f"{table}_rejected")
     silver, _ = split_rejects(to_silver(batch), ["ISIN", "business_date"])
     read, last = silver.agg(F.count(F.lit(1)), F.max("business_date")).first()
-    held = read_table(spark, table)
     # rows of the batch lie after the watermark, so older partitions cannot hold them
     since = read_since(held, "business_date", watermark)
     if watermark is not None and again:
@@ -75,4 +96,7 @@ def load_silver(
     fresh, written = counted(new_rows_by_hash(silver, since), "silver_written")
     append(fresh, table, ["business_date"])
     put_watermark(spark, control, layer, name, last)
-    return {"rows_read": read, "rows_written": measured(written)["rows"]}
+    return {
+        "rows_read": read, "rows_written": measured(written)["rows"],
+        "rows_incomplete": left_out.get("incomplete", 0), "rows_late": left_out.get("late", 0),
+    }

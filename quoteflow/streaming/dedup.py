@@ -13,7 +13,8 @@ def dedup_stream(
 ) -> DataFrame:
     """One row per key, where copies arrive within ``delay`` of each other.
 
-    State is kept per key only that long.  The event time is made a zoned
+    State is kept per key only that long.  A row more than ``delay`` behind the newest one is dropped whether or not its
+    key was seen: choose the delay no shorter than rows may be late.  The event time is made a zoned
     timestamp, which watermarks need.
     """
     timed = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from rows import day, silver, values
 
-from quoteflow.operators.ema import choose_span, ema_closing, ema_final, ema_series, ema_table
+from quoteflow.operators.ema import ema_closing, ema_final, ema_series, ema_table
 
 
 def fold(prices, period=7, start=None):
@@ -117,12 +117,11 @@ def test_one_series_with_a_third_of_the_rows(spark):
     assert all(g == pytest.approx(e, rel=1e-9) for g, e in zip(got, fold(prices)))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        out = ema_series(rows, span_days=choose_span(rows, rows_per_block=500))
+        out = ema_series(rows, span_days=64)
         held = _rows_per_task(out)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert sum(held) == 10_000 and sum(1 for n in held if n) > 1
-    assert choose_span(rows) == 8192
 
 
 def _rows_per_task(df):

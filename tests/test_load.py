@@ -28,7 +28,7 @@ def land_day(folder, n, codes="ABC"):
 
 
 def tables_for(database):
-    return Tables(**{f: f"{database('db')}.{f}" for f in ("bronze", "rejects", "silver", "ema", "gold", "control", "runs", "checks")})
+    return Tables(**{f: f"{database('db')}.{f}" for f in ("bronze", "rejects", "silver", "silver_rejects", "ema", "gold", "control", "runs", "checks")})
 
 
 def test_watermarks(spark, database):
@@ -249,7 +249,7 @@ def test_quality_checks(spark):
     assert values(quality.invalid_prices(df), "problem", "row_count") == [
         ("close_missing", 1), ("close_outside_range", 2), ("high_below_low", 1), ("not_positive", 1)]
     assert values(quality.missing_dates(df), "ISIN", "gap_after", "gap_before", "missing_days") == [
-        ("A", DATES[0], DATES[2], 1)]
+        ("A", DATES[0], DATES[2], 1), ("B", None, DATES[1], 1), ("B", DATES[1], None, 1)]
 
 
 def test_row_count_alarm(spark):

