@@ -46,3 +46,20 @@ def labelled_sample(labels: DataFrame, label: str, modulus: int, remainder: int,
         part = part.withColumn("weight", F.lit(max(1.0, totals.get(value, 0) / per_class)))
         picked = part if picked is None else picked.unionByName(part)
     return picked
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of ``counts`` whose ``n`` is at or above the least value that leaves at most ``most`` rows.
+
+    The value comes from a histogram of some two thousand buckets (exact below 1,024), so no task or driver sees more than ``most`` rows.
+    """
+    n = F.col("n")
+    bucket = F.when(n < 1024, n).otherwise(1024 + F.floor(F.log(n / 1024) * 64)).cast("long")
+    sizes = {r["bucket"]: r["size"] for r in counts.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("size")).collect()}
+    total, least = 0, None
+    for value in sorted(sizes, reverse=True):
+        total += sizes[value]
+        if total > most:
+            break
+        least = value
+    return counts.where(F.lit(False) if least is None else bucket >= least)

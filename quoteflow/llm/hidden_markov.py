@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, keep
+from .common import held_out, keep, most_frequent
 
 #: Words known to every task, the longest of them in bytes, positions worked on at once, and the longest training sequence.
 DICTIONARY, LONGEST, POSITIONS, SEQUENCE = 1 << 17, 64, 300_000, 1 << 16
@@ -242,8 +242,8 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", states: int
     counts = every.where("word is not null")
     ends = every.where("word is null").agg(F.sum("n")).first()[0] or 0
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()
-    top = [(bytes(r["word"]), r["n"]) for r in top]
+    top = most_frequent(counts.where(F.length("word") <= LONGEST), DICTIONARY).collect()
+    top = sorted(((bytes(r["word"]), r["n"]) for r in top), key=lambda w: (-w[1], w[0]))
     known = {w: (i, n) for i, (w, n) in enumerate(top)}
     alphabet = min(alphabet, len(top))
     inside = sum(n for _, n in top[:alphabet])

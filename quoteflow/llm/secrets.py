@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
-from .common import keep
+from .common import keep, most_frequent
 from .hidden_markov import _count
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z_+/\-]*\d)[A-Za-z0-9][A-Za-z0-9_+/\-]{11,}={0,2}")
@@ -127,8 +127,8 @@ def frequent_words(docs: DataFrame, text: str = "text") -> Language:
     """The ``DICTIONARY`` most frequent words, counted over all documents."""
     counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_count, "word binary, n bigint").where("word is not null")
     words = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.col("word").cast("string").alias("word"), "n")
-    plain = words.where(F.col("word").rlike(r"^\p{L}{2,24}$")).orderBy(F.desc("n"), "word").limit(DICTIONARY)
-    return Language([(r["word"], r["n"]) for r in plain.collect()])
+    plain = keep(words.where(F.col("word").rlike(r"^\p{L}{2,24}$")), "plain-words")
+    return Language(sorted((r["word"], r["n"]) for r in most_frequent(plain, DICTIONARY).collect()))
 
 
 def train(docs: DataFrame, findings: DataFrame, language: Language, text: str = "text", key: str = "doc_id") -> trees.Forest | None:
