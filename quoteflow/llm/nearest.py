@@ -116,9 +116,9 @@ def nearest(rows: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "em
     deal = F.xxhash64("ids")
     blocks = "size int, ids binary, vectors binary"
     queries = points.where(F.pmod("id", F.lit(every)) == 0).mapInArrow(_pack, blocks).select(
-        "*", F.pmod(deal, F.lit(query_groups)).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(candidate_groups - 1))).alias("c")
+        "*", F.pmod(deal, F.lit(query_groups)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(candidate_groups - 1))).alias("c")
     )
-    # candidates fall into groups by their id, so that groups are even
+    # candidates fall into groups by their id, so that groups are even; keys have one type on both sides, as rows are dealt by its hash
     candidates = points.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(candidate_groups)).cast("int")).select(
         "id", "vector", "c", F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))).alias("q")
     )

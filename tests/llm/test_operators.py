@@ -208,7 +208,15 @@ def test_language_model_scores(spark, monkeypatch):
 # --- nearest vectors ---
 
 
-def test_nearest_equals_brute_force(spark):
+@pytest.fixture
+def many_partitions(spark):
+    """Rows dealt over several partitions, as on large tables."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_nearest_equals_brute_force(spark, many_partitions):
     draw = np.random.default_rng(4)
     vectors = {i: draw.normal(size=8).round(2).tolist() for i in range(300)}
     vectors |= {i: [1.0] * 8 for i in range(300, 340)}
