@@ -48,6 +48,16 @@ def labelled_sample(labels: DataFrame, label: str, modulus: int, remainder: int,
     return picked
 
 
+def sample_texts(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
+    """``wanted`` (a bounded table of ids, ``doc_id`` and more) with the ``text`` of each id.
+
+    An id that stands in several rows gives one row, with the least of its texts, so the result is as bounded as ``wanted``.
+    """
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(wanted), "doc_id")
+    others = [c for c in wanted.columns if c != "doc_id"]
+    return rows.groupBy("doc_id", *others).agg(F.min("text").alias("text")).select("doc_id", "text", *others)
+
+
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     """The rows of ``counts`` whose ``n`` is at or above the least value that leaves at most ``most`` rows.
 

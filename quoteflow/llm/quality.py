@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import held_out, keep, labelled_sample
+from .common import held_out, keep, labelled_sample, sample_texts
 
 SLOT_BITS, INDEX_BITS, WIDTH, NONZERO, REACH, SLICES = 14, 12, 32, 6, 2, 16
 POOLED = 3 * WIDTH + 2
@@ -161,9 +161,10 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, last: np.ndarray, hidd
 
 
 def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, per_class: int = 6000, text: str = "text", key: str = "doc_id") -> Network | None:
-    """The network of ``labels.quality``, learned from rows whose crc32(id as text) mod 3 is not 1; ``per_class`` bounds the sample."""
+    """The network of ``labels.quality``, learned from rows whose crc32(id as text) mod 3 is not 1; ``per_class`` bounds the sample.
+    A repeated id is learned from once."""
     wanted = labelled_sample(labels, "quality", 3, 1, per_class, seed=3)
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(wanted), "doc_id")
+    rows = sample_texts(docs, wanted, text, key)
 
     def measure(batches):
         for batch in batches:

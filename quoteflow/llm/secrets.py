@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
-from .common import keep, most_frequent
+from .common import keep, most_frequent, sample_texts
 from .hidden_markov import _count
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z_+/\-]*\d)[A-Za-z0-9][A-Za-z0-9_+/\-]{11,}={0,2}")
@@ -132,7 +132,8 @@ def frequent_words(docs: DataFrame, text: str = "text") -> Language:
 
 
 def train(docs: DataFrame, findings: DataFrame, language: Language, text: str = "text", key: str = "doc_id") -> trees.Forest | None:
-    """The forest of labelled findings, at most ``PER_CLASS`` of each label, those of smallest hash; None without both labels."""
+    """The forest of labelled findings, at most ``PER_CLASS`` of each label, those of smallest hash; None without both labels.
+    A repeated id is learned from once."""
     order = F.xxhash64("doc_id", "start", F.lit(8))
     fine = findings.where("doc_id is not null and start is not null and end is not null and secret in (0, 1)").select("doc_id", "start", "end", "secret").distinct()
     picked = None
@@ -141,7 +142,7 @@ def train(docs: DataFrame, findings: DataFrame, language: Language, text: str =
         picked = part if picked is None else picked.unionByName(part)
     # at most 2 * PER_CLASS rows
     spans = picked.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "secret")).alias("spans"))
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(spans), "doc_id")
+    rows = sample_texts(docs, spans, text, key)
 
     def measure(batches):
         for batch in batches:

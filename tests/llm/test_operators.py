@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from quoteflow.llm import byte_bpe, exact_dedup, hidden_markov, minhash_dedup, mixing, nearest, quality, secrets, tokens, toxicity, trees, warc
-from quoteflow.llm.common import new_folder
+from quoteflow.llm.common import new_folder, sample_texts
 from quoteflow.llm.components import components
 from rows_llm import BASE, label_rows, no_documents, odd_documents
 
@@ -297,6 +297,13 @@ def test_classifiers_on_odd_rows(spark):
     assert toxicity.without_toxic(docs, model).columns == docs.columns
 
 
+def test_a_repeated_id_gives_one_sample_row(spark):
+    docs = spark.range(5000).selectExpr("id % 2 as doc_id", "concat('text ', id) as text").unionByName(odd_documents(spark).select("doc_id", "text"))
+    wanted = spark.createDataFrame([(0, 1), (4, 1), (9, 0), (77, 0)], "doc_id bigint, label int")
+    found = {r["doc_id"]: r["text"] for r in sample_texts(docs, wanted, "text", "doc_id").collect()}
+    assert found == {0: "text 0", 4: None, 9: "one"}
+
+
 def test_isotonic_is_monotone_and_trees_learn():
     draw = np.random.default_rng(7)
     x = draw.normal(size=(2000, 4))
