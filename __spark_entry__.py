@@ -101,6 +101,21 @@ def load_silver(spark, sf):
     return loaded.unionByName(left_out)
 
 
+def load_gold(spark, sf):
+    """The load from raw text to gold, every step through its tables: silver, averages, gold.  Quotes are dated by month."""
+    layer = f"load_{uuid.uuid4().hex[:12]}"
+    raw = fixtures.bronze_quotes(spark, sf).withColumn("BizDt", F.trunc("BizDt", "month").cast("string")).withColumn("TradDt", F.col("BizDt"))
+    tables.append(bronze.with_audit_columns(raw, "lineitem"), f"{layer}.raw")
+    silver.load_silver(spark, f"{layer}.raw", f"{layer}.quotes", f"{layer}.state")
+    gold.load_ema(spark, f"{layer}.quotes", f"{layer}.averages")
+    gold.load_gold(spark, f"{layer}.quotes", f"{layer}.averages", f"{layer}.gold", f"{layer}.state")
+    loaded = spark.table(f"{layer}.gold").select(
+        "ISIN", "stock_code", "business_date", "security_series", "closing_price", "total_turnover_value", "hash_key", "pnl_percentage",
+        "avg_pnl_percentage", "ema_7",
+    )
+    return _rounded(loaded, "avg_pnl_percentage")
+
+
 def align_schema(spark, sf):
     lines = fixtures.table(spark, sf, "lineitem")
     text = lines.select(
@@ -510,6 +525,7 @@ def quote_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "typed_text": typed_text,
         "silver": silver_rows,
         "load_silver": load_silver,
+        "load_gold": load_gold,
         "align_schema": align_schema,
         "union_batches": union_batches,
         "anti_join_new_rows": anti_join_new_rows,

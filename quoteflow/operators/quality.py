@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,12 +13,16 @@ def duplicates(df: DataFrame, keys: Sequence[str] = ("ISIN", "business_date")) -
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count")).filter("row_count > 1")
 
 
-def missing_codes(df: DataFrame, columns: Sequence[str] = ("ISIN", "stock_code", "stock_name")) -> DataFrame:
+CODES = ("ISIN", "stock_code", "stock_name")
+
+
+def _blank_counts(columns: Sequence[str]) -> list[Column]:
+    return [F.count_if(F.coalesce(F.btrim(F.col(c)), F.lit("")) == "").alias(f"missing_{c.lower()}") for c in columns]
+
+
+def missing_codes(df: DataFrame, columns: Sequence[str] = CODES) -> DataFrame:
     """Rows with a null or blank code, counted per column."""
-    blank = [
-        F.count_if(F.coalesce(F.btrim(F.col(c)), F.lit("")) == "").alias(f"missing_{c.lower()}") for c in columns
-    ]
-    return df.agg(F.count(F.lit(1)).alias("row_count"), *blank)
+    return df.agg(F.count(F.lit(1)).alias("row_count"), *_blank_counts(columns))
 
 
 def price_problems(df: DataFrame) -> DataFrame:
@@ -55,12 +59,14 @@ def findings(df: DataFrame, keys: Sequence[str] = ("ISIN", "business_date")) ->
         number = F.count(F.lit(1)) if number is None else number
         return found.agg(F.lit(check).alias("check"), F.coalesce(number, F.lit(0)).cast("bigint").alias("findings"))
 
-    codes = missing_codes(df)
+    # what a row shows on its own is counted in one pass
+    row_checks = price_problems(df).agg(
+        *_blank_counts(CODES), F.count_if(F.size("price_problems") > 0).alias("invalid_prices")
+    )
     parts = [
         counted("duplicate_rows", duplicates(df, keys)),
         counted("duplicate_hashes", duplicates(df, ["hash_key"])),
-        *[counted(c, codes, F.max(c)) for c in codes.columns if c != "row_count"],
-        counted("invalid_prices", price_problems(df).filter(F.size("price_problems") > 0)),
+        row_checks.unpivot([], row_checks.columns, "check", "findings"),
         counted("missing_days", missing_dates(df), F.sum("missing_days")),
         counted("unexpected_row_counts", row_count_alarms(df).filter("unexpected")),
     ]

@@ -173,32 +173,34 @@ def history(
     return _prices(gold, stock_code, start, end, limit, max_limit).select(PRICES)
 
 
+def _averages(gold: DataFrame, stock_code: str | Sequence[str], limit: int, ema: DataFrame | None, average: str) -> DataFrame:
+    newest = _prices(gold, stock_code, None, None, limit)
+    if ema is None:
+        return newest
+    newest = newest.select("business_date", "closing_price", "hash_key")
+    hits = ema.select("hash_key", average).join(newest.select("hash_key"), "hash_key", "left_semi")
+    return newest.join(hits, "hash_key", "left").orderBy(*_newest_first())
+
+
 def indicators(
     gold: DataFrame, stock_code: str | Sequence[str], limit: int = DEFAULT_LIMIT, ema: DataFrame | None = None, period: int = 7
 ) -> DataFrame:
     """Newest closes of one code with their moving average.
 
     The average is gold's own column, or looked up in the side table ``ema``.
-    That table has one row per hash, so the rows are limited first and their
-    hashes, at most ``MAX_LIMIT``, are sent to its scan.
+    That table has one row per hash, so the rows are limited first and only
+    their hashes meet it.
     """
     average = ema_column(period)
-    newest = _prices(gold, stock_code, None, None, limit)
-    if ema is None:
-        return newest.select("business_date", "closing_price", average)
-    newest = newest.select("business_date", "closing_price", "hash_key")
-    hits = ema.select("hash_key", average).join(F.broadcast(newest.select("hash_key")), "hash_key", "left_semi")
-    return (
-        newest.join(hits, "hash_key", "left")
-        .orderBy(*_newest_first())
-        .select("business_date", "closing_price", average)
-    )
+    return _averages(gold, stock_code, limit, ema, average).select("business_date", "closing_price", average)
 
 
-def _as_array(rows: DataFrame) -> DataFrame:
-    """A limited result (newest first) as one array value."""
-    items = F.collect_list(F.struct(*rows.columns))
-    return rows.agg(F.reverse(F.array_sort(items)).alias("items"))
+def _as_array(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """A limited result as one array value, newest first; equal dates stand in the order they were limited in."""
+    # rows without a date come first: null sorts before all numbers inside a struct
+    place = F.struct((-F.unix_date("business_date")).alias("day"), "hash_key", F.struct(*names).alias("row"))
+    items = F.transform(F.array_sort(F.collect_list(place)), lambda item: item["row"])
+    return rows.agg(items.alias("items"))
 
 
 def details(
@@ -210,8 +212,9 @@ def details(
     ema: DataFrame | None = None,
 ) -> DataFrame:
     """One row: latest summary, price history and indicators of one code; no row when it is unknown."""
-    prices = _as_array(history(gold, stock_code, start, end, limit))
-    averages = _as_array(indicators(gold, stock_code, limit, ema))
+    average = ema_column(7)
+    prices = _as_array(_prices(gold, stock_code, start, end, limit), PRICES)
+    averages = _as_array(_averages(gold, stock_code, limit, ema, average), ["business_date", "closing_price", average])
     return latest(gold, stock_code).select(
         F.struct(*SUMMARY).alias("latest"),
         prices.scalar().alias("history"),

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 from rows import day, gold, values
 
 from quoteflow.plans import serving
@@ -130,6 +131,18 @@ def test_indicators_from_column_and_side_table(table):
     assert [r["ema_7"] for r in serving.indicators(table, "infy", ema=partial).collect()] == [None, 1490.0]
 
 
+def test_details_arrays_follow_the_limited_order(table):
+    """Two rows of one date: both arrays take them by hash, so place i is the same row in both."""
+    twice = table.withColumn("other", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns({
+        "hash_key": F.concat(F.lit("h"), (F.lit(1) - F.col("other")).cast("string"), "hash_key"),
+        "closing_price": F.col("closing_price") + F.col("other"),
+    }).drop("other")
+    row = serving.details(twice, "infy").first()
+    listed = [r["closing_price"] for r in serving.history(twice, "infy", limit=20).collect()]
+    assert [p["closing_price"] for p in row["history"]] == listed == [i["closing_price"] for i in row["indicators"]]
+    assert listed[0] > listed[1]
+
+
 def test_details(table):
     row = serving.details(table, "infy").first()
     assert row["latest"]["closing_price"] == 1500.25
