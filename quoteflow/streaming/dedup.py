@@ -6,6 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.merge import new_rows, within_dates
 
 
 def dedup_stream(
@@ -14,8 +18,33 @@ def dedup_stream(
     """One row per key, where copies arrive within ``delay`` of each other.
 
     State is kept per key only that long.  A row more than ``delay`` behind the newest one is dropped whether or not its
-    key was seen: choose the delay no shorter than rows may be late.  The event time is made a zoned
+    key was seen: choose the delay no shorter than rows may be late, or take ``dedup_into``.  The event time is made a zoned
     timestamp, which watermarks need.
     """
     timed = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
     return timed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
+def dedup_into(stream: DataFrame, folder: str, keys: Sequence[str], day: str) -> StreamingQuery:
+    """Starts a query that adds the rows of unseen keys to ``folder``/rows, however late they come.
+
+    ``day`` is the date column among the keys: a micro-batch meets only the stored rows of the days it spans, so no
+    state is held and none has to expire.  Every batch writes under its own number and looks at
+    those before it; a repeated batch overwrites its own results.  Of copies in one batch any one stays.
+    """
+    stored = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.dropDuplicates(list(keys))
+        if batch_id > 0:
+            held = batch.sparkSession.read.schema(stored).parquet(f"{folder}/rows").filter(F.col("batch_id") < batch_id)
+            first, last, undated = batch.agg(F.min(day), F.max(day), F.count_if(F.col(day).isNull())).first()
+            rows = new_rows(rows, held if undated else within_dates(held, day, first, last), keys)
+        rows.sortWithinPartitions(day).write.mode("overwrite").parquet(f"{folder}/rows/batch_id={batch_id}")
+
+    return (
+        stream.writeStream.foreachBatch(step)
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )

@@ -44,10 +44,12 @@ def ingest_files(
 
     def load(batch: DataFrame, _: int) -> None:
         files = after_watermark(dated_files(batch.select("path", "modificationTime")), start).collect()
-        rows = read_zips(batch.sparkSession, [f["path"] for f in files])
+        staging = f"{table}_unpacked"
+        rows = read_zips(batch.sparkSession, [f["path"] for f in files], staging)
         if rows is None:
             return
         append_bronze(rows, table, rejects)
+        batch.sparkSession.sql(f"DROP TABLE IF EXISTS {staging}")
         put_watermark(batch.sparkSession, control, layer, name, max(f["file_date"] for f in files))
 
     # the handler reads the archives by path, so their contents are not read here as well

@@ -71,6 +71,17 @@ def test_csvs_in_other_column_order(spark, tmp_path):
         ("I1", "2026-09-01", None, "a.csv"), ("I2", "2026-09-02", "e", "b.csv")]
 
 
+def test_csv_headers_behind_blank_lines_and_odd_names(spark, tmp_path):
+    (tmp_path / "a b%20+ü.csv").write_text("\ufeffISIN,BizDt\nI1,2026-09-01\nISIN,BizDt\n")
+    (tmp_path / "b.csv").write_text("\n  \nISIN,BizDt\nI2,2026-09-02\n")
+    (tmp_path / "c.csv").write_text("")
+    paths = [str(tmp_path / n) for n in ("a b%20+ü.csv", "b.csv", "c.csv")]
+    found = quotefiles._paths_by_header(spark, paths)
+    assert [(h, sorted(p.rsplit("/", 1)[1] for p in group)) for h, group in found] == [("ISIN,BizDt", ["a b%20+ü.csv", "b.csv"])]
+    out = quotefiles.read_csvs(spark, paths[:1])
+    assert values(out, "ISIN", "BizDt") == [("I1", "2026-09-01"), ("ISIN", "BizDt")]
+
+
 def test_payload_to_clean_snapshot(spark, tmp_path):
     record = {"symbol": "INFY", "lastPrice": 1.5, "change": 2, "series": "EQ", "tags": ["a", "b"],
               "meta": {"companyName": "Infosys", "isin": "IN1", "isFNOSec": True, "isCASec": False,
