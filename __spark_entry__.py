@@ -21,7 +21,7 @@ from quoteflow.operators import align, dedup, ema, indicators, merge, quality, r
 from quoteflow.plans import bronze, gold, incremental, serving, silver, snapshot
 from quoteflow.session import shared_dir
 from quoteflow.sources import html, listing, nested, quotefiles, tables
-from quoteflow.streaming.dedup import dedup_stream
+from quoteflow.streaming.dedup import dedup_into
 from quoteflow.streaming.ema import running_ema
 
 SINCE = dt.date(1999, 1, 1)
@@ -255,12 +255,17 @@ def stock_catalog(spark, sf):
     return serving.stock_catalog(fixtures.gold_table(spark, sf))
 
 
+def _spellings(spark, sf):
+    """The code as the stored catalog spells it, so that the lookups reach the parquet reader."""
+    return serving.spellings(fixtures.catalog_table(spark, sf), CODE)
+
+
 def suggest(spark, sf):
-    return serving.suggest(stock_catalog(spark, sf), f" {CODE} ")
+    return serving.suggest(fixtures.catalog_table(spark, sf), f" {CODE} ")
 
 
 def suggest_by_name(spark, sf):
-    return serving.suggest(stock_catalog(spark, sf), "hot rod", 50)
+    return serving.suggest(fixtures.catalog_table(spark, sf), "hot rod", 50)
 
 
 def search(spark, sf):
@@ -268,20 +273,20 @@ def search(spark, sf):
 
 
 def latest(spark, sf):
-    return _rounded(serving.latest(fixtures.gold_table(spark, sf), CODE), "avg_pnl_percentage")
+    return _rounded(serving.latest(fixtures.gold_table(spark, sf), _spellings(spark, sf)), "avg_pnl_percentage")
 
 
 def history(spark, sf):
-    return serving.history(fixtures.gold_table(spark, sf), CODE, dt.date(1996, 1, 1), dt.date(2000, 12, 31))
+    return serving.history(fixtures.gold_table(spark, sf), _spellings(spark, sf), dt.date(1996, 1, 1), dt.date(2000, 12, 31))
 
 
 def indicators_of(spark, sf):
-    return serving.indicators(fixtures.gold_table(spark, sf), CODE, 10, fixtures.ema_table(spark, sf))
+    return serving.indicators(fixtures.gold_table(spark, sf), _spellings(spark, sf), 10, fixtures.ema_table(spark, sf))
 
 
 def details(spark, sf):
     """The nested record as flat rows: one per price row of the code."""
-    found = serving.details(fixtures.gold_table(spark, sf), CODE, limit=30)
+    found = serving.details(fixtures.gold_table(spark, sf), _spellings(spark, sf), limit=30)
     # the fields of "latest" are taken out before the explode: Spark 4.1 loses them behind it
     flat = found.select(
         F.col("latest.stock_name").alias("stock_name"),
@@ -395,6 +400,24 @@ def csv_scan(spark, sf):
     return quotefiles.read_csvs(spark, [f["path"] for f in files]).drop("_source_file")
 
 
+def zip_scan(spark, sf):
+    """Quotes landed as archives and read back through the raw reader."""
+    raw = fixtures.bronze_quotes(spark, sf).select("ISIN", "BizDt", "SctySrs", "FinInstrmNm", "TtlTradgVol")
+    archives = fixtures.land_zips(raw, f"{shared_dir(spark)}/zip_scan_{uuid.uuid4().hex}")
+    return quotefiles.read_zips(spark, archives).drop("_source_file")
+
+
+def load_bronze_zip(spark, sf):
+    """The load of landed archives into the raw table, twice: the second finds nothing new.  Quotes are dated by month."""
+    layer = f"load_{uuid.uuid4().hex[:12]}"
+    landing = f"{shared_dir(spark)}/landing_{uuid.uuid4().hex}"
+    raw = fixtures.bronze_quotes(spark, sf).withColumn("BizDt", F.trunc("BizDt", "month").cast("string"))
+    fixtures.land_zips(raw, landing)
+    for _ in range(2):
+        bronze.load_bronze(spark, landing, f"{layer}.raw", f"{layer}.state", f"{layer}.rejects")
+    return spark.table(f"{layer}.raw").select("ISIN", "BizDt", "SctySrs", F.col("TtlTrfVal").cast("double").alias("turnover"))
+
+
 def parquet_scan(spark, sf):
     """Partitioned parquet written, then read with a partition filter."""
     folder = f"{shared_dir(spark)}/parquet_scan_{uuid.uuid4().hex}"
@@ -422,15 +445,9 @@ def ema_stream(spark, sf):
 
 def dedup_events(spark, sf):
     folder = f"{shared_dir(spark)}/dedup_events_{uuid.uuid4().hex}"
-    keyed = _events(spark, sf).withColumn("day", F.to_date("ts"))
-    unique = dedup_stream(keyed, ["user_id", "event_type", "day"], "ts", "36500 days")
-    query = (
-        unique.select("user_id", "event_type", "day").writeStream.format("parquet")
-        .option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.schema("user_id bigint, event_type string, day date").parquet(f"{folder}/rows")
+    keyed = _events(spark, sf).select("user_id", "event_type", F.to_date("ts").alias("day"))
+    dedup_into(keyed, folder, ["user_id", "event_type", "day"], "day").awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").drop("batch_id")
 
 
 # --- indicators and quality ---
@@ -564,6 +581,8 @@ def quote_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "html_items": html_items,
         "html_table": html_table,
         "csv_scan": csv_scan,
+        "zip_scan": zip_scan,
+        "load_bronze_zip": load_bronze_zip,
         "parquet_scan": parquet_scan,
         "ema_stream": ema_stream,
         "dedup_events": dedup_events,

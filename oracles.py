@@ -300,6 +300,15 @@ FROM one""",
 SELECT isin AS ISIN, CAST(d AS VARCHAR) AS BizDt, series AS SctySrs, name AS FinInstrmNm,
        CAST(volume AS VARCHAR) AS TtlTradgVol
 FROM bronze""",
+        "zip_scan": _BRONZE_WITH + """
+SELECT isin AS ISIN, CAST(d AS VARCHAR) AS BizDt, series AS SctySrs, name AS FinInstrmNm,
+       CAST(volume AS VARCHAR) AS TtlTradgVol
+FROM bronze""",
+        "load_bronze_zip": _BRONZE_WITH + """,
+monthly AS (SELECT * REPLACE (date_trunc('month', d)::DATE AS d) FROM bronze)
+SELECT isin AS ISIN, CAST(d AS VARCHAR) AS BizDt, series AS SctySrs, turnover FROM monthly
+QUALIFY row_number() OVER (PARTITION BY isin, d
+  ORDER BY CASE series WHEN 'EQ' THEN 0 WHEN 'SM' THEN 1 ELSE 2 END, turnover DESC) = 1""",
         "parquet_scan": _BRONZE_WITH + """
 SELECT isin AS ISIN, CAST(d AS VARCHAR) AS BizDt, series AS SctySrs, CAST(volume AS VARCHAR) AS TtlTradgVol
 FROM bronze WHERE series IN ('EQ', 'SM')""",

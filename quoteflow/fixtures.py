@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from .operators.dedup import dedup_quotes, series_preference
 from .plans.gold import build_ema, build_gold
+from .plans.serving import stock_catalog
 from .plans.silver import to_silver
 from .session import shared_dir
 
@@ -75,9 +76,34 @@ def silver_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_silver(deduped_quotes(spark, sf_dir))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def land_zips(raw: DataFrame, folder: str) -> list[str]:
+    """Raw rows as zip archives of one CSV, each of a bounded number of rows of a task; the paths of those written."""
+    columns = raw.columns
+    dated = columns.index("BizDt")
+
+    def write(frames):
+        import zipfile
+        from uuid import uuid4
+
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path, recursive=True)
+        for frame in frames:
+            if not len(frame):
+                continue
+            name = f"quotes_{str(frame.iat[0, dated]).replace('-', '')}_{uuid4().hex}.zip"
+            with system.open_output_stream(f"{path}/{name}", compression=None) as out:
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                    archive.writestr("quotes.csv", frame.to_csv(index=False, columns=columns))
+            yield frame.iloc[:1, :1].assign(path=f"{folder}/{name}")[["path"]]
+
+    return [row["path"] for row in raw.mapInPandas(write, "path string").collect()]
+
+
+def stored(df: DataFrame, name: str, sort_by: str | None = None) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}_{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.sortWithinPartitions(sort_by) if sort_by else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -102,5 +128,13 @@ def gold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold as a stored table, for the serving queries; written once per session like silver."""
     key = (spark.sparkContext.applicationId, sf_dir, "gold")
     if key not in _tables:
-        _tables[key] = stored(build_gold(silver_table(spark, sf_dir), ema_table(spark, sf_dir)), "gold")
+        _tables[key] = stored(build_gold(silver_table(spark, sf_dir), ema_table(spark, sf_dir)), "gold", "stock_code")
+    return _tables[key]
+
+
+def catalog_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog of securities, stored as the daily load stores it."""
+    key = (spark.sparkContext.applicationId, sf_dir, "catalog")
+    if key not in _tables:
+        _tables[key] = stored(stock_catalog(gold_table(spark, sf_dir)), "catalog")
     return _tables[key]

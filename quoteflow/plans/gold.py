@@ -10,7 +10,8 @@ from ..control import put_watermark
 from ..operators.ema import DEFAULT_SPAN_DAYS, ema_column, ema_final, ema_series, ema_table
 from ..operators.returns import with_avg_return
 from ..schema import GOLD_RENAMES
-from ..sources.tables import publish, read_table
+from ..sources.tables import publish, read_since, read_table, table_exists
+from .serving import catalog_rows
 
 EMA_MODES = {"series": ema_series, "final": ema_final}
 
@@ -95,3 +96,18 @@ def load_gold(spark: SparkSession, silver: str, ema: str, table: str, control: s
     layer, name = table.split(".")
     put_watermark(spark, control, layer, name, measured(written)["last"])
     return {"rows_written": measured(written)["rows"]}
+
+
+def load_catalog(spark: SparkSession, gold: str, table: str, rebuild: bool = True) -> None:
+    """The latest row of every security, published for suggestions and for looking codes up.
+
+    Unless ``rebuild``, only gold's dates after the catalog's last are read.
+    """
+    if not table_exists(spark, gold):
+        return
+    rows = read_table(spark, gold)
+    if not rebuild and table_exists(spark, table):
+        held = read_table(spark, table)
+        since = held.agg(F.max("business_date")).first()[0]
+        rows = read_since(rows, "business_date", since).select(held.columns).unionByName(held)
+    publish(catalog_rows(rows), table, sort_by=["stock_code"])

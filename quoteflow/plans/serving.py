@@ -86,13 +86,17 @@ def _newest_first() -> list[Column]:
 # --- search ---
 
 
-def stock_catalog(gold: DataFrame) -> DataFrame:
-    """Code, name and ISIN of every security, as of its latest row."""
+def catalog_rows(gold: DataFrame) -> DataFrame:
+    """Code, name, ISIN, date and hash of every security's latest row.  Such rows take the place of the gold rows they come from."""
     wanted = gold.filter(F.col("stock_code").isNotNull()).select(
         "stock_code", "stock_name", "ISIN", "business_date", "hash_key"
     )
-    newest = latest_per_key(wanted, "stock_code", "business_date", [F.col("hash_key")])
-    return newest.select(*_columns(["stock_code", "stock_name", "isin"]))
+    return latest_per_key(wanted, "stock_code", "business_date", [F.col("hash_key")])
+
+
+def stock_catalog(gold: DataFrame) -> DataFrame:
+    """Code, name and ISIN of every security, as of its latest row; from gold or from its ``catalog_rows``."""
+    return catalog_rows(gold).select(*_columns(["stock_code", "stock_name", "isin"]))
 
 
 def suggest(catalog: DataFrame, query: str | None, limit: int = DEFAULT_SUGGESTIONS, max_limit: int | None = SUGGESTION_LIMIT) -> DataFrame:

@@ -8,11 +8,12 @@ from rows import HEADER, quote_line, values, write_zip
 
 from quoteflow import audit, control
 from quoteflow.operators import quality
+from quoteflow.plans import serving
 from quoteflow.plans.bronze import append_bronze
 from quoteflow.plans.daily import Tables, run_daily
 from quoteflow.plans.gold import build_ema
 from quoteflow.schema import CONTROL_SCHEMA
-from quoteflow.streaming.dedup import dedup_stream
+from quoteflow.streaming.dedup import dedup_into, dedup_stream
 from quoteflow.streaming.ema import running_ema
 from quoteflow.streaming.ingest import ingest_files
 
@@ -28,7 +29,7 @@ def land_day(folder, n, codes="ABC"):
 
 
 def tables_for(database):
-    return Tables(**{f: f"{database('db')}.{f}" for f in ("bronze", "rejects", "silver", "silver_rejects", "ema", "gold", "control", "runs", "checks")})
+    return Tables(**{f: f"{database('db')}.{f}" for f in ("bronze", "rejects", "silver", "silver_rejects", "ema", "gold", "control", "runs", "checks", "catalog")})
 
 
 def test_watermarks(spark, database):
@@ -111,6 +112,9 @@ def test_daily_load(spark, database, tmp_path, incremental):
     late = run_daily(spark, str(tmp_path), names, incremental=incremental, reprocess_dates=[DATES[1]])
     assert late["bronze"]["rows_written"] == 1 and late["silver"]["rows_written"] == 1
     assert spark.table(names.gold).filter("stock_code = 'Z'").count() == 1
+    assert values(serving.stock_catalog(spark.table(names.catalog)), "stock_code", "isin") == values(
+        serving.stock_catalog(spark.table(names.gold)), "stock_code", "isin") == [(c, f"IN{c}") for c in "ABCDZ"]
+    assert not [t.name for t in spark.catalog.listTables(names.bronze.split(".")[0]) if "unpacked" in t.name]
 
 
 def test_days_one_by_one_equal_all_at_once(spark, database, tmp_path):
@@ -235,6 +239,20 @@ def test_stream_dedup(spark, tmp_path):
     assert sorted(r["i"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
 
 
+def test_stream_dedup_into_a_folder_keeps_late_keys(spark, tmp_path):
+    """Unseen keys months behind the newest stay, copies go, in whatever batch; rows without a day are keys too."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    batches = [[("a", DATES[2]), ("a", DATES[2]), ("n", None)], [("b", dt.date(2026, 1, 5)), ("a", DATES[2])],
+               [("b", dt.date(2026, 1, 5)), ("n", None), ("a", DATES[1])], [("c", None), ("a", DATES[1])]]
+    for rows in batches:
+        spark.createDataFrame(rows, "k string, d date").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("k string, d date").parquet(source)
+        dedup_into(stream, out, ["k", "d"], "d").awaitTermination()
+    got = [(r["k"], r["d"]) for r in spark.read.parquet(f"{out}/rows").collect()]
+    assert len(got) == 5
+    assert set(got) == {row for rows in batches for row in rows}
+
+
 # --- quality ---
 
 

@@ -8,6 +8,7 @@ from rows import day, gold
 from quoteflow import fixtures
 from quoteflow.operators.ema import ema_series
 from quoteflow.plans import serving
+from quoteflow.sources import quotefiles
 from quoteflow.sources.tables import write_parquet
 
 
@@ -55,6 +56,20 @@ def test_columns_are_pruned(stored):
         assert schema.count(":") == 1
 
 
+@pytest.mark.parametrize("name", ["latest", "history", "indicators", "details"])
+def test_lookups_by_code_reach_the_reader(spark, name):
+    text = plan(driver.queries()[name](spark, SF_DIR))
+    assert any("stock_code" in s.split("PushedFilters:")[1].split("ReadSchema")[0] for s in scans(text))
+
+
+def test_csv_headers_are_read_without_whole_files(spark, monkeypatch):
+    def whole(*_):
+        raise AssertionError("binaryFile")
+
+    monkeypatch.setattr(type(spark.read), "format", whole)
+    assert quotefiles._paths_by_header(spark, [__file__])[0][0].startswith('"""Physical plans')
+
+
 def test_date_range_prunes_partitions(stored):
     text = scans(plan(serving.history(stored, "a", day(1), day(2))))[0]
     assert ">=" in text.split("PartitionFilters:")[1].split("PushedFilters")[0]
