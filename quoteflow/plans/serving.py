@@ -62,9 +62,9 @@ def _columns(names: list[str]) -> list[Column]:
 
 
 def spellings(catalog: DataFrame, stock_code: str) -> list[str]:
-    """The codes of the catalog equal to this one but for upper and lower case."""
-    found = catalog.filter(F.upper("stock_code") == F.upper(F.lit(stock_code))).select("stock_code").distinct()
-    return sorted(row[0] for row in found.collect())
+    """The codes of the catalog, which has a row per code, equal to this one but for upper and lower case."""
+    found = catalog.filter(F.upper("stock_code") == F.upper(F.lit(stock_code))).select("stock_code")
+    return sorted({row[0] for row in found.collect()})
 
 
 def _has_code(stock_code: str | Sequence[str]) -> Column:
