@@ -19,20 +19,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-def _keep_only(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """``docs`` without the ids that ``decisions`` does not keep; rows whose id is null stay."""
-    dropped = decisions.where(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a row number, and the name of its column; the number is written, so it stays the row's."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return keep(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def _keep_only(numbered: DataFrame, decisions: DataFrame, row: str) -> DataFrame:
+    """``numbered`` without the rows that ``decisions`` does not keep, and without the row number."""
+    dropped = decisions.where(~F.col("kept")).select(row)
+    return numbered.join(dropped, row, "left_anti").drop(row)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest original stays."""
-    return _keep_only(docs, exact_dedup.exact_groups(docs))
+    """Of the rows of equal texts one stays, the longest original, whatever their ids."""
+    numbered, row = _numbered(docs)
+    return _keep_only(numbered, exact_dedup.exact_groups(numbered, row=row), row)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return _keep_only(docs, minhash_dedup.near_duplicates(docs))
+    """One row of each group of near duplicates stays, whatever their ids."""
+    numbered, row = _numbered(docs)
+    return _keep_only(numbered, minhash_dedup.near_duplicates(numbered, row=row), row)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,21 +34,24 @@ def sha256(text: Column) -> Column:
 
 
 def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", salts: int = 8,
-                 digest: Callable[[Column], Column] = sha256) -> DataFrame:
+                 digest: Callable[[Column], Column] = sha256, row: str | None = None) -> DataFrame:
     """A row per row of ``docs``: ``key, keep_id, group_size, kept, text_sha256``.
 
     The row with the most code points in the original text stays, then the one
     of smallest key (null keys last).  Rows that tie in both are one document
-    listed more than once: all of them are kept.  Null and empty texts are equal.
-    An empty table gives no rows; other columns are not read.
+    listed more than once: all of them are kept.  With ``row``, a column of distinct row numbers, the
+    least number decides such ties, exactly one row of a group is kept, and ``row`` is returned too.  Null and
+    empty texts are equal.  An empty table gives no rows; other columns are not read.
     """
     plain = normalised(F.col(text))
-    # the smallest (-length, key is null, key) wins
+    # the smallest (-length, key is null, key, row number) wins
     order = F.struct(
         (-F.char_length(F.coalesce(F.col(text), F.lit("")))).alias("shorter"),
         F.col(key).isNull().alias("absent"),
         F.col(key).alias("id"),
+        *([F.col(row).alias("row")] if row else []),
     )
+    same_key = F.col("order.id").eqNullSafe(F.col("best.id")) & (F.col("order.shorter") == F.col("best.shorter"))
     # the shuffle keys are computed in the scan, so the sorts compare short digests before long texts
     rows = docs.select(
         digest(plain).alias("digest"), (F.xxhash64(key) % salts).alias("salt"), plain.alias("plain"), order.alias("order")
@@ -71,6 +74,7 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", salts
         F.col("order.id").alias(key),
         F.col("best.id").alias("keep_id"),
         F.col("size").alias("group_size"),
-        ((F.col("order.id").eqNullSafe(F.col("best.id"))) & (F.col("order.shorter") == F.col("best.shorter"))).alias("kept"),
+        (F.col("order.row") == F.col("best.row") if row else same_key).alias("kept"),
         F.col("digest").alias("text_sha256"),
+        *([F.col("order.row").alias(row)] if row else []),
     )

@@ -273,20 +273,25 @@ def _block_links(idf, threshold: float):
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.8, bands: int = 12,
-                    rows: int = 3, pivot_rounds: int = 3) -> DataFrame:
+                    rows: int = 3, pivot_rounds: int = 3, row: str | None = None) -> DataFrame:
     """A row per row of ``docs``: ``key, class_id, kept``.
 
     ``class_id`` is the smallest key of the documents linked by similarities of at
     least ``threshold``, directly or through others; ``kept`` marks that document.  Texts of the same words are
     always one class.  Null, empty and wordless texts are near nothing and stay, each its own class; a null key
-    is never a class id where another is at hand.  Rows that repeat a kept key are all kept.  An empty table gives no
-    rows; other columns are not read.
+    is never a class id where another is at hand.  Rows that repeat a kept key are all kept.  With ``row``, a column of
+    distinct row numbers, exactly one row of a class is kept, of those with the smallest key the one of least number, and
+    ``row`` is returned too.  An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    # the smallest (key is null, key, row number) stands for its class
+    number = F.col(row).cast("long") if row else F.lit(None).cast("long")
+    own = F.struct(F.col(key).isNull().alias("absent"), F.col(key).alias("id"), number.alias("number"))
+    plain = docs.select(own.alias("key"), F.col(text).cast("string").alias("text"))
+    kind = f"struct<absent:boolean,id:{docs.schema[key].dataType.simpleString()},number:bigint>"
     idf = spark.sparkContext.broadcast(slot_idf(plain))
     signed = keep(
-        plain.mapInArrow(_signatures(idf, bands, rows), f"key {docs.schema[key].dataType.simpleString()}, node string, total double, bands array<bigint>"),
+        plain.mapInArrow(_signatures(idf, bands, rows), f"key {kind}, node string, total double, bands array<bigint>"),
         "signatures",
     )
     nodes = signed.where("node is not null").groupBy("node").agg(
@@ -336,12 +341,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
         "node", F.coalesce("root", "node").alias("root"), F.col("key").alias("own")
     )
     classes = keep(classes, "classes")
-    smallest = classes.groupBy("root").agg(F.min("own").alias("class_id"))
-    named = classes.join(smallest, "root").select("node", "class_id")
-    return (
-        signed.select("key", "node").join(named, "node", "left")
-        .select(F.col("key").alias(key), F.coalesce("class_id", F.when(F.col("node").isNull(), F.col("key"))).alias("class_id"))
-        .withColumn("kept", F.col(key).eqNullSafe(F.col("class_id")))
+    smallest = classes.groupBy("root").agg(F.min("own").alias("best"))
+    named = classes.join(smallest, "root").select("node", "best")
+    met = signed.select("key", "node").join(named, "node", "left").withColumn("best", F.coalesce("best", "key"))
+    kept = F.col("key.number") == F.col("best.number") if row else F.col("key.id").eqNullSafe(F.col("best.id"))
+    return met.select(
+        F.col("key.id").alias(key), F.col("best.id").alias("class_id"), kept.alias("kept"), *([F.col("key.number").alias(row)] if row else [])
     )
 
 
@@ -363,6 +368,6 @@ def _texts(plain: DataFrame, wanted: DataFrame) -> DataFrame:
                 keep_row[i] = _digest(words) == nodes[i]
             yield batch.filter(pa.array(keep_row, pa.bool_()))
 
-    met = plain.join(wanted.select(F.col("key").alias("wanted"), "node"), F.col("key").eqNullSafe(F.col("wanted")))
+    met = plain.join(wanted.select("key", "node"), "key")
     # a key may be given to several texts: those of another node go
     return met.select("node", "text").mapInArrow(check, "node string, text string").groupBy("node").agg(F.min("text").alias("text"))
