@@ -1,7 +1,9 @@
 """Secret scans: a pattern finds candidates, a random forest removes the false ones.
 
-A candidate is a run of at least 12 letters, digits and ``_+/-`` that holds a digit.  Its features are its length and
-character mix, how likely its character transitions are in the corpus' words, how much of it dictionary words cover, whether it stands in
+A candidate is a run of at least 12 letters, digits and ``_+/-`` that holds a digit; whatever follows a secret's name and ``=`` or
+``:``, up to white space or the closing quote; a password in an address; a known format; or a private key block.  A candidate within
+one that is surely a secret is left out.  What is surely a secret (``known_label``) is always a finding, of score 1; the forest decides on the others.
+Its features are a candidate's format match, its assignment, its length and character mix, how likely its character transitions are in the corpus' words, how much of it dictionary words cover, whether it stands in
 a path or address, and the words beside it.  The forest is trained on labelled findings ``doc_id, start, end,
 secret``; ``known_findings`` gives them where none are at hand, from formats and assignments that leave no doubt.
 """
@@ -26,24 +28,81 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z_+/\-]*\d)[A-Za-z0-9][A-Za-z0
 #: Names that secrets are assigned to, and words beside what only looks like one.
 NAMES = frozenset("password passwd pwd secret token key apikey api_key access_key auth bearer credential private signature".split())
 OTHERS = frozenset("http https www md5 sha1 sha256 commit uuid id card phone tel iban isbn order invoice example test sample digest checksum version".split())
-_FORMATS = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}")
-_ASSIGNED = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api_?key|access_?key)\s{0,2}[=:]\s{0,2}[\"']?$")
+_FORMATS = re.compile(
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})(?![A-Za-z0-9])")
+_BLOCK = re.compile(
+    r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:(?:(?!-----)[\s\S])*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----|(?:\s*+[A-Za-z0-9+/=]{16,}+)*+)")
+_LOGIN = re.compile(r"://[^\s/:@\"']*+:([^\s\"'/]+)@")
+_SURE_NAME = r"password|passwd|pwd|secret(?:[_-]?key)?|token|(?:api|access|private)[_-]?key"
+_NAME = re.compile(rf"(?i)(?:{_SURE_NAME}|(?<![A-Za-z])(?:key|auth|bearer|credential|private|signature))[\"']?\s{{0,2}}$")
+_VALUE = re.compile(r"[=>:]?\s{0,2}(?:\"([^\"\n]++)\"|'([^'\n]++)'|[\"']?([^\s\"']++))")
+_GIVEN = re.compile(rf"(?i)(?:{_NAME.pattern[4:-1]})[=:][=>:]?\s{{0,2}}[\"']?$")
+_ASSIGNED = re.compile(rf"(?i)(?:{_SURE_NAME})[\"']?\s{{0,2}}([=:])[=>:]?\s{{0,2}}([\"']?)$")
+_BLANK = re.compile(r"(?i)none|null|nil|true|false|undefined|\$\{.*|\$[A-Z_]+|\{\{.*|<[^<>]*>|%\w+%|\*+|x+")
 _ADDRESS = re.compile(r"(?i)(?:https?://|www\.|@|/)[^\s\"']{0,80}$")
 _NEAR = re.compile(r"[A-Za-z_]{2,}")
 _REACH = 60
-DICTIONARY, PER_CLASS, FEATURES = 20_000, 10_000, 17
+DICTIONARY, PER_CLASS, FEATURES = 20_000, 10_000, 19
+
+
+def assigned(text: str) -> list[tuple[int, int]]:
+    """Spans of what follows a secret's name and ``=`` or ``:``."""
+    spans, last = [], 0
+    for m in re.finditer("[=:]", text):
+        if not _NAME.search(text[max(0, m.start() - 30) : m.start()]):
+            continue
+        # inside an unquoted value, another one ends where that one does
+        at = m.end() + len(re.match(r"[=>:]?\s{0,2}", text[m.end() : m.end() + 3]).group())
+        if at < last and text[at : at + 1] not in ("'", '"'):
+            continue
+        if value := _VALUE.match(text, m.end()):
+            spans.append(value.span(value.lastindex))
+            last = value.end() if value.lastindex == 3 else last
+    return spans
 
 
 def candidates(text: str | None) -> list[tuple[int, int]]:
-    """Spans of all candidates of a whole text."""
-    return [m.span() for m in CANDIDATE.finditer(text or "")]
+    """Spans of all candidates of a whole text, in order; those within one that is surely a secret are left out."""
+    text = text or ""
+    spans = {m.span() for pattern in (CANDIDATE, _FORMATS, _BLOCK) for m in pattern.finditer(text)}
+    spans.update(m.span(1) for m in _LOGIN.finditer(text))
+    spans.update(assigned(text))
+    out, sure = [], 0
+    for start, end in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if end > sure:
+            out.append((start, end))
+            if known_label(text, start, end) == 1:
+                sure = end
+    return out
+
+
+def _formatted(value: str) -> bool:
+    return bool(_FORMATS.fullmatch(value) or _BLOCK.fullmatch(value))
+
+
+def _in_login(text: str, start: int, end: int) -> bool:
+    if text[start - 1 : start] != ":" or text[end : end + 1] != "@":
+        return False
+    at = text.rfind("://", 0, start)
+    met = _LOGIN.match(text, at) if at >= 0 else None
+    return met is not None and met.span(1) == (start, end)
 
 
 def known_label(text: str, start: int, end: int) -> int | None:
-    """1 for a format or assignment that is a secret, 0 for numbers, addresses and paths, None where neither is sure."""
+    """1 for a format, login or assignment that is a secret, 0 for placeholders, numbers, addresses and paths, None where neither is sure."""
     value, before = text[start:end], text[max(0, start - _REACH) : start]
-    if _FORMATS.fullmatch(value) or _ASSIGNED.search(before):
+    if _formatted(value) or _in_login(text, start, end):
         return 1
+    if met := _ASSIGNED.search(before):
+        if _BLANK.fullmatch(value):
+            return 0
+        sign, quote = met.groups()
+        digit, letter = any(c.isdigit() for c in value), any(c.isalpha() for c in value)
+        # a bare word or number may be prose or code
+        return 1 if quote or CANDIDATE.fullmatch(value) or digit and (letter or sign == "=") else None
+    if _GIVEN.search(before):
+        return None
     if value.isdigit() or _ADDRESS.search(before) or not re.search("[A-Za-z]", value.replace("-", "")):
         return 0
     return None
@@ -98,7 +157,7 @@ def features(text: str, start: int, end: int, language: Language) -> list[float]
         float(value.count("/") + value.count("\\")), float(bool(_ADDRESS.search(before))),
         float(before.rstrip(" \"'")[-1:] in "=:" and bool(before.strip())), float(text[end : end + 1] in "\"'"),
         float(sum(w in NAMES for w in near)), float(sum(w in OTHERS for w in near)),
-        float(all(c in "0123456789abcdefABCDEF" for c in value)),
+        float(all(c in "0123456789abcdefABCDEF" for c in value)), float(_formatted(value)), float(bool(_GIVEN.search(before))),
     ]
 
 
@@ -173,12 +232,14 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, rows = [], []
+            spans, rows, sure = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 for a, b in candidates(text):
                     spans.append((i, a, b))
+                    sure.append(known_label(text, a, b) == 1)
                     rows.append(features(text, a, b, language) if model else [])
             scores = model.probability(np.array(rows)) if model and rows else np.ones(len(rows))
+            scores = np.where(np.array(sure, bool), 1.0, scores)
             found: list[list] = [[] for _ in range(batch.num_rows)]
             number = np.bincount([i for i, _, _ in spans], minlength=batch.num_rows) if spans else np.zeros(batch.num_rows, int)
             for (i, a, b), s in zip(spans, scores.tolist()):

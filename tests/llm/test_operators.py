@@ -327,6 +327,25 @@ def test_secrets(spark):
     assert secrets.scan(odd_documents(spark)).count() == 14 and secrets.scan(no_documents(spark)).count() == 0
 
 
+def test_every_form_of_secret_is_a_finding(spark):
+    github, aws = "ghp_" + "aB3" * 12, "AKIA" + "ABCD1234" * 2
+    block = "-----BEGIN RSA PRIVATE KEY-----\n" + "MIIEow+/" * 8 + "\n-----END RSA PRIVATE KEY-----"
+    forms = [
+        ('password = "Tr0ub4dor&3"', "Tr0ub4dor&3"), ('secret="hunter2"', "hunter2"), ('token = "abcdefghijklmnopqrstuvwx"', "abcdefghijklmnopqrstuvwx"),
+        ("client_secret=abc~8Q~x.Yz-12ab.cdE", "abc~8Q~x.Yz-12ab.cdE"), ("postgres://bob:S3cr3t!pw@db/x", "S3cr3t!pw"),
+        (f"https://example.com/{github}", github), (f"see /srv/{aws} there", aws), (f"key\n{block}\nend", block), ('{"password": "two words"}', "two words"),
+    ]
+    draw = random.Random(3)
+    # every other address is labelled 0, so a forest without the format match learns that what follows one is none
+    rows = [(i, f"words {form} words") for i, (form, _) in enumerate(forms)]
+    rows += [(i, f"see https://example.com/{draw.randrange(16**14):014x} and /a/{draw.randrange(10**14)}") for i in range(100, 200)]
+    found = by_id(secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    for i, (_, value) in enumerate(forms):
+        assert value in [rows[i][1][f["start"] : f["end"]] for f in found[i]["findings"]], value
+    assert all(found[i]["n_secrets"] == 0 for i in range(100, 200))
+    assert secrets.known_label("password=None", 9, 13) == 0 and secrets.known_label("The secret: patience", 12, 20) is None
+
+
 # --- archives ---
 
 
