@@ -204,6 +204,8 @@ def find_runs(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         left = left - _reach(codes, left, far, left - starts[owner], -1)
         right = right + far + _reach(codes, right, far, ends[owner] - far - right, 1)
         enough = right - left >= np.maximum(LEAST, REPEATS * far)
+        if not enough.any():
+            continue
         every = np.concatenate([found, np.stack([left, right, far], axis=1)[enough]])
         # one row a stretch, with its smallest distance
         every = every[np.lexsort((every[:, 2], every[:, 1], every[:, 0]))]

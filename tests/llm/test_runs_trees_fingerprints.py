@@ -92,6 +92,9 @@ def test_runs_of_many_texts_at_once():
 def test_runs_of_long_periodic_texts():
     one = np.zeros(200_000, np.int64)
     assert periodic_runs.find_runs(one, np.array([0]), np.array([200_000])).tolist() == [[0, 200_000, 1]]
+    # repeats that are no runs
+    assert periodic_runs.find_runs(np.tile(np.arange(11), 2), np.array([0]), np.array([22])).tolist() == []
+    assert periodic_runs.find_runs(np.concatenate([np.tile(np.arange(11), 2), np.arange(50, 70)]), np.array([0]), np.array([42])).tolist() == []
     # a period beyond 2^14 words takes the larger modulus
     period = np.arange(20_000)
     words = np.concatenate([[70_000], np.tile(period, 3), period[:77], [70_001]])
