@@ -2,25 +2,31 @@
 
     e(0) = x(0),   e(t) = alpha * x(t) + (1 - alpha) * e(t-1),   alpha = 2 / (period + 1)
 
-A null value leaves the average as it was.  The recurrence has no built-in
-equivalent, so sorted partitions are scanned with a running value, one Arrow
-batch at a time; no series is ever held in memory.
+A null or NaN value leaves the average as it was.  The recurrence has no built-in
+equivalent, so sorted partitions are folded in Arrow batches, all series of a stretch of
+rows side by side: step t takes the t-th value of every series at once.  The few
+that are much longer than the others go through pandas' compiled recursion.  Each value meets the same
+multiplications and additions as in the definition, in the same order, so the averages are the same to the last bit
+(for alphas that are no binary fractions, a long series may differ in the last digit).  No series is ever held in memory.
 
 A series is cut into calendar blocks (``span_days`` each), so that one long or
 heavy series is spread over many tasks.  The blocks are linked exactly: a block
 of n values that starts and ends at ``first`` and ``last`` when it is folded on
 its own ends at ``last + (1-alpha)^n * (c - first)`` when the average before it
-was ``c``.  One light pass yields these figures per block, a second one adds
-them up per series, and the main pass starts each block from the right value.
-With one row per security and day a block holds at most ``span_days`` rows.
+was ``c``.  These maps are put together in the order of a series' blocks, and the
+main pass starts each block from the right value.  The three figures of a block
+can be stored: see ``plans.late``.  With one row per security and day a block holds at most ``span_days`` rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,79 +61,115 @@ def _rows(df, group_col, target_col, value_col, row_id, span_days) -> DataFrame:
 _TIME_ORDER = ("_key", "_block", "_at", "_id")
 
 
-def _reader():
-    """Column -> list of Python values, null as None.  By way of numpy, which is several times
-    faster than one Arrow scalar at a time.  (A closure, so that it travels with the job.)"""
+#: Rows folded side by side, and the length beyond which a series is folded on its own.
+_STRETCH, _LONG = 1 << 16, 1024
 
-    def values(column: pa.Array) -> list:
-        if column.null_count and not pa.types.is_floating(column.type):
-            return column.to_pylist()
-        found = column.to_numpy(zero_copy_only=False).tolist()
-        if column.null_count:
-            absent = column.is_null().to_numpy(zero_copy_only=False).tolist()
-            found = [None if gone else value for value, gone in zip(found, absent)]
-        return found
 
-    return values
+def _folder(alpha: float):
+    """The fold of several segments of rows at once, as a closure that travels with the job.
 
-
-def _summarise(alpha: float):
-    """Per block: number of values, first value, and where a fold of its own ends."""
-    keep, values = 1.0 - alpha, _reader()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = None
-        current, block_now, count, first, last = None, None, 0, None, None
+    ``fold(x, starts, opening)`` takes values (NaN: none), where each segment begins and the average before it (NaN: none),
+    and gives the average at every row.
+    """
+    keep, long, stretch = 1.0 - alpha, _LONG, _STRETCH
+
+    def alone(x: np.ndarray, opening: float) -> np.ndarray:
+        known = np.concatenate([[opening], x])
+        return pd.Series(known).ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()[1:]
+
+    def fold(x: np.ndarray, starts: np.ndarray, opening: np.ndarray) -> np.ndarray:
+        sizes = np.diff(np.append(starts, len(x)))
+        out = np.empty(len(x))
+        for k in np.flatnonzero(sizes > long):
+            rows = slice(starts[k], starts[k] + sizes[k])
+            out[rows] = alone(x[rows], opening[k])
+        order = np.flatnonzero(sizes <= long)
+        order = order[np.argsort(-sizes[order], kind="stable")]
+        begin, average = starts[order], opening[order]
+        # how many segments have a t-th row
+        reach = np.searchsorted(-sizes[order], -np.arange(sizes[order].max(initial=0)), side="left")
+        gaps = np.isnan(x).any()
+        for step, active in enumerate(reach.tolist()):
+            at = begin[:active] + step
+            value, before = x[at], average[:active]
+            now = alpha * value + keep * before
+            if gaps or not step:
+                # no value: as before; nothing before: the value
+                now = np.where(np.isnan(value), before, np.where(np.isnan(before), value, now))
+            average[:active] = out[at] = now
+        return out
+
+    def changes(column: pa.Array, last) -> np.ndarray:
+        """Rows whose value differs from the row before; ``last`` is the row before the first (null equals null)."""
+        both = pa.concat_arrays([last, column]) if last is not None else column
+        differ = pc.fill_null(pc.not_equal(both[1:], both[:-1]), False).to_numpy(zero_copy_only=False)
+        gone = both.is_null().to_numpy(zero_copy_only=False)
+        out = differ | (gone[1:] != gone[:-1])
+        return out if last is not None else np.concatenate([[True], out])
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
-            if schema is None:
-                schema = pa.schema(
-                    [batch.schema.field("_key"), batch.schema.field("_block")]
-                    + [pa.field("_n", pa.int64()), pa.field("_first", pa.float64()), pa.field("_last", pa.float64())]
-                )
-            done = []
-            columns = (values(batch.column(c)) for c in ("_key", "_block", "_x"))
-            for key, block, x in zip(*columns):
-                if key != current or block != block_now:
-                    if current is not None:
-                        done.append((current, block_now, count, first, last))
-                    current, block_now, count, first, last = key, block, 0, None, None
-                if x is not None and key is not None:
-                    last = x if last is None else alpha * x + keep * last
-                    if count == 0:
-                        first = x
-                    count += 1
-            if done:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), f.type) for c, f in zip(zip(*done), schema)], schema=schema
-                )
-        if current is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([v], f.type) for v, f in zip((current, block_now, count, first, last), schema)], schema=schema
-            )
-
-    return run
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= stretch:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, rows = [], 0
+        if rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def numbers(column: pa.Array) -> np.ndarray:
+        return pc.fill_null(column, float("nan")).to_numpy(zero_copy_only=False).astype(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        """Stretches of sorted rows with their values, segment starts, whether the first goes on from the stretch before, and averages."""
+        key = block = None
+        carry = float("nan")
+        for batch in stretches(batches):
+            keys, blocks = batch.column("_key"), batch.column("_block")
+            fresh = changes(keys, key) | changes(blocks, block)
+            x = np.where(keys.is_null().to_numpy(zero_copy_only=False), np.nan, numbers(batch.column("_x")))
+            goes_on = not fresh[0]
+            fresh[0] = True
+            starts = np.flatnonzero(fresh)
+            opening = numbers(batch.column("_before"))[starts] if "_before" in batch.schema.names else np.full(len(starts), np.nan)
+            if goes_on:
+                opening[0] = carry
+            averages = fold(x, starts, opening)
+            yield batch, x, starts, goes_on, averages
+            carry, key, block = averages[-1], keys[-1:], blocks[-1:]
+
+    def or_null(values: np.ndarray) -> pa.Array:
+        return pa.array(values, pa.float64(), mask=np.isnan(values))
+
+    return run, or_null
 
 
-def _link(alpha: float):
-    """Average before and after each block, running over the blocks of a series in order."""
-    keep, values = 1.0 - alpha, _reader()
+def _summarise(alpha: float):
+    """Per block: number of values, first value, and where a fold of its own ends.  A block that goes on over several stretches has a row
+    for each, numbered by ``_turn``."""
+    run_over, or_null = _folder(alpha)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, carry = None, None
-        for batch in batches:
-            before, after = [], []
-            columns = (values(batch.column(c)) for c in ("_key", "_n", "_first", "_last", "_opening"))
-            for key, count, first, last, opening in zip(*columns):
-                if key != current:
-                    current, carry = key, opening
-                before.append(carry)
-                if count:
-                    carry = last if carry is None else last + keep**count * (carry - first)
-                after.append(carry)
+        turn, seen = 0, False
+        for batch, x, starts, goes_on, averages in run_over(batches):
+            value = ~np.isnan(x)
+            counts = np.add.reduceat(value.astype(np.int64), starts)
+            ends = np.append(starts[1:], len(x)) - 1
+            # the first value of a segment, or any row of one that has none
+            place = np.minimum.reduceat(np.where(value, np.arange(len(x)), len(x)), starts)
+            first = np.where(counts > 0, x[np.minimum(place, len(x) - 1)], np.nan)
+            turns = np.zeros(len(starts), np.int64)
+            turn = turn + 1 if goes_on else 0
+            if goes_on:
+                turns[0] = turn
+                first[0] = np.nan if seen else first[0]
+            last_seen = bool(counts[-1]) or (len(starts) == 1 and goes_on and seen)
+            turn, seen = (turn if len(starts) == 1 else 0), last_seen
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_key"), batch.column("_block"),
-                 pa.array(before, pa.float64()), pa.array(after, pa.float64())],
-                names=["_key", "_block", "_before", "_after"],
+                [batch.column("_key").take(pa.array(starts)), batch.column("_block").take(pa.array(starts)), pa.array(turns),
+                 pa.array(counts), or_null(first), or_null(averages[ends])],
+                names=["_key", "_block", "_turn", "_n", "_first", "_last"],
             )
 
     return run
@@ -135,27 +177,43 @@ def _link(alpha: float):
 
 def _scan(alpha: float):
     """Average at every row, each block starting from the average before it."""
-    keep, values = 1.0 - alpha, _reader()
+    run_over, or_null = _folder(alpha)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key_now, block_now, average = None, None, None
-        for batch in batches:
-            averages = []
-            columns = (values(batch.column(c)) for c in ("_key", "_block", "_x", "_before"))
-            for key, block, x, before in zip(*columns):
-                if key != key_now or block != block_now:
-                    key_now, block_now, average = key, block, before
-                if x is not None and key is not None:
-                    average = x if average is None else alpha * x + keep * average
-                averages.append(average)
+        for batch, _, _, _, averages in run_over(batches):
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("_id", "_key", "_at", "_x")] + [pa.array(averages, pa.float64())],
+                [batch.column(c) for c in ("_id", "_key", "_at", "_x")] + [or_null(averages)],
                 names=["_id", "_key", "_at", "_x", "_ema"],
             )
 
     return run
 
 
+def linked(blocks: DataFrame, alpha: float) -> DataFrame:
+    """``_key, _block, _before, _after`` from ``_key, _block, _n, _first, _last, _opening``: the average before and after each block.
+
+    A series' blocks are few (one per calendar span), so they are put together as one array, in order.
+    """
+    keep = 1.0 - alpha
+
+    def after(carry: Column, b: Column) -> Column:
+        moved = b["_last"] + F.pow(F.lit(keep), b["_n"]) * (carry - b["_first"])
+        return F.when(b["_n"] == 0, carry).when(carry.isNull(), b["_last"]).otherwise(moved)
+
+    def step(state: Column, b: Column) -> Column:
+        now = after(state["carry"], b)
+        done = F.struct(b["_block"].alias("_block"), state["carry"].alias("_before"), now.alias("_after"))
+        return F.struct(now.alias("carry"), F.concat(state["done"], F.array(done)).alias("done"))
+
+    kind = dict(blocks.dtypes)["_block"]
+    empty = F.array().cast(f"array<struct<_block:{kind},_before:double,_after:double>>")
+    series = blocks.groupBy("_key").agg(
+        F.array_sort(F.collect_list(F.struct("_block", "_n", "_first", "_last"))).alias("_blocks"), F.max("_opening").alias("_opening")
+    )
+    start = F.struct(F.col("_opening").alias("carry"), empty.alias("done"))
+    return series.select("_key", F.inline(F.aggregate("_blocks", start, step, lambda state: state["done"])))
+
+
 def _fields(df: DataFrame, *names: str, **extra: T.DataType) -> T.StructType:
     known = {f.name: f.dataType for f in df.schema}
     return T.StructType(
@@ -163,21 +221,24 @@ def _fields(df: DataFrame, *names: str, **extra: T.DataType) -> T.StructType:
     )
 
 
-def _linked_blocks(rows: DataFrame, alpha: float, opening: DataFrame | None) -> DataFrame:
-    """(_key, _block, _before, _after): a row per block, small beside the input."""
-    summary = rows.sortWithinPartitions(*_TIME_ORDER).mapInArrow(
-        _summarise(alpha),
-        _fields(rows, "_key", "_block", _n=T.LongType(), _first=T.DoubleType(), _last=T.DoubleType()),
+def _summaries(rows: DataFrame, alpha: float) -> DataFrame:
+    """``_key, _block, _n, _first, _last`` of each block: a row per block, small beside the input."""
+    kind = _fields(rows, "_key", "_block", _turn=T.LongType(), _n=T.LongType(), _first=T.DoubleType(), _last=T.DoubleType())
+    parts = rows.sortWithinPartitions(*_TIME_ORDER).mapInArrow(_summarise(alpha), kind)
+    # laid by series, so that neither these sums nor the linking of blocks shuffle again
+    return parts.repartition("_key").groupBy("_key", "_block").agg(
+        F.sum("_n").alias("_n"), F.max("_first").alias("_first"), F.max_by("_last", "_turn").alias("_last")
     )
+
+
+def _linked_blocks(rows: DataFrame, alpha: float, opening: DataFrame | None) -> DataFrame:
+    """``_key, _block, _before, _after`` of each block."""
+    summary = _summaries(rows, alpha)
     if opening is None:
         summary = summary.withColumn("_opening", F.lit(None).cast("double"))
     else:
         summary = summary.join(opening.toDF("_key", "_opening"), "_key", "left")
-    return (
-        summary.repartition("_key")
-        .sortWithinPartitions("_key", "_block")
-        .mapInArrow(_link(alpha), _fields(rows, "_key", "_block", _before=T.DoubleType(), _after=T.DoubleType()))
-    )
+    return linked(summary, alpha)
 
 
 def _checked(df: DataFrame, row_id: str, value_col: str) -> DataFrame:

@@ -139,3 +139,29 @@ def test_any_series_any_block_length(spark, prices, span, gap):
     df = silver(spark, [("A", gap * n, p, 0.0) for n, p in enumerate(prices)])
     for g, e in zip(series(ema_series(df, span_days=span)), fold(prices)):
         assert g == (None if e is None else pytest.approx(e, rel=1e-9))
+
+
+def test_stretches_and_long_series_fold_as_defined(spark, monkeypatch):
+    """Rows cut into stretches of any size, and series on either side of the length that is folded alone."""
+    from quoteflow.operators import ema as module
+
+    rows = [(k, n, None if (n * 7 + len(k)) % 11 == 3 else 50.0 + (n * 31 + len(k)) % 17, 0.0) for k, m in (("A", 90), ("BB", 7), ("CCC", 40)) for n in range(m)]
+    df = silver(spark, rows).repartition(3).cache()
+    expected = {k: fold([r[2] for r in rows if r[0] == k]) for k in ("A", "BB", "CCC")}
+    for stretch, long in ((1, 1024), (13, 5), (1 << 16, 5), (1 << 16, 1024)):
+        monkeypatch.setattr(module, "_STRETCH", stretch)
+        monkeypatch.setattr(module, "_LONG", long)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+        try:
+            out, blocks = ema_series(df), ema_closing(df, span_days=16)
+            assert all(series(out, key=k) == expected[k] for k in expected)
+            closing = {r["ISIN"]: r["ema_7"] for r in blocks.collect()}
+            assert all(closing[k] == pytest.approx(expected[k][-1], rel=1e-12) for k in expected)
+            assert series(ema_final(df))[0] == expected["A"][-1]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_no_row_is_a_nan_average(spark):
+    df = silver(spark, [("A", n, p, 0.0) for n, p in enumerate([float("nan"), 4.0, float("nan"), 8.0])])
+    assert series(ema_series(df)) == [None, 4.0, 4.0, 5.0]
