@@ -132,6 +132,14 @@ silver AS (
   QUALIFY row_number() OVER (PARTITION BY isin, code, d ORDER BY series, turnover DESC, c) = 1),""" + _GOLD + "," + _SERIES + f"""
 SELECT isin AS ISIN, code AS stock_code, d AS business_date, series AS security_series, gold.c AS closing_price,
        turnover AS total_turnover_value, k AS hash_key, pnl AS pnl_percentage, {_micro('m')} AS avg_pnl_percentage, ema_7
+FROM gold LEFT JOIN (SELECT k, e AS ema_7 FROM series) USING (k)""",
+        "late_reprocess": _BRONZE_WITH + """,
+silver AS (
+  SELECT *, (c - p) / nullif(p, 0) * 100 AS pnl, sha256(concat_ws('|', 'SYN', isin, code, CAST(d AS VARCHAR))) AS k
+  FROM (SELECT * REPLACE (date_trunc('month', d)::DATE AS d) FROM bronze WHERE series IN ('EQ', 'SM'))
+  QUALIFY row_number() OVER (PARTITION BY isin, code, d ORDER BY series, turnover DESC, c) = 1),""" + _GOLD + "," + _SERIES + f"""
+SELECT isin AS ISIN, code AS stock_code, d AS business_date, series AS security_series, gold.c AS closing_price,
+       turnover AS total_turnover_value, k AS hash_key, pnl AS pnl_percentage, {_micro('m')} AS avg_pnl_percentage, {_micro('ema_7')} AS ema_7
 FROM gold LEFT JOIN (SELECT k, e AS ema_7 FROM series) USING (k)""",
         "align_schema": """
 SELECT l_orderkey,

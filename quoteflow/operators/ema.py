@@ -39,11 +39,14 @@ def ema_column(period: int) -> str:
     return f"ema_{period}"
 
 
+def block_of(target: Column, span_days: int) -> Column:
+    """The calendar block of a date; rows without one come first, as in an ascending sort."""
+    return F.coalesce(F.floor(F.unix_date(target.cast("date")) / span_days).cast("int"), F.lit(-(2**31)))
+
+
 def _rows(df, group_col, target_col, value_col, row_id, span_days) -> DataFrame:
     """The needed columns, hash-distributed by (series, block)."""
-    day = F.unix_date(F.col(target_col).cast("date"))
-    # rows without a date come first, as in an ascending sort
-    block = F.coalesce(F.floor(day / span_days).cast("int"), F.lit(-(2**31)))
+    block = block_of(F.col(target_col), span_days)
     # rows without a series are not scanned; they are dealt out evenly
     block = F.when(F.col(group_col).isNotNull(), block).otherwise(F.pmod(F.xxhash64(row_id), F.lit(4096)).cast("int"))
     return (
@@ -264,15 +267,62 @@ def ema_series(
     _checked(df, row_id, value_col)
     alpha = 2.0 / (period + 1.0)
     rows = _rows(df, group_col, target_col, value_col, row_id, span_days)
-    before = _linked_blocks(rows, alpha, opening).drop("_after")
-    scanned = (
-        rows.join(before, ["_key", "_block"], "left")
-        .sortWithinPartitions(*_TIME_ORDER)
-        .mapInArrow(_scan(alpha), _fields(rows, "_id", "_key", "_at", "_x", _ema=T.DoubleType()))
-    )
+    scanned = _scanned(rows, _linked_blocks(rows, alpha, opening).drop("_after"), alpha)
     return scanned.toDF(row_id, group_col, target_col, value_col, ema_column(period))
 
 
+def _scanned(rows: DataFrame, before: DataFrame, alpha: float, how: str = "left") -> DataFrame:
+    """``_id, _key, _at, _x, _ema`` of rows whose blocks start from ``before`` (``_key, _block, _before``)."""
+    ordered = rows.join(before, ["_key", "_block"], how).sortWithinPartitions(*_TIME_ORDER)
+    return ordered.mapInArrow(_scan(alpha), _fields(rows, "_id", "_key", "_at", "_x", _ema=T.DoubleType()))
+
+
+def ema_block_summaries(
+    df: DataFrame,
+    period: int = 7,
+    group_col: str = "ISIN",
+    target_col: str = "business_date",
+    value_col: str = "closing_price",
+    row_id: str = "hash_key",
+    span_days: int = DEFAULT_SPAN_DAYS,
+) -> DataFrame:
+    """What a block does to an average that reaches it: ``(group, block, n, first, last)``, a row per series and calendar block.
+
+    The average ``c`` before the block becomes ``last + (1-alpha)^n (c - first)``, or ``last`` if there was none.  Summaries can be stored, and a block that
+    gets another row is summarised again without the others.  Rows without a group have none.
+    """
+    _checked(df, row_id, value_col)
+    rows = _rows(df.filter(F.col(group_col).isNotNull()), group_col, target_col, value_col, row_id, span_days)
+    return _summaries(rows, 2.0 / (period + 1.0)).toDF(group_col, "block", "n", "first", "last")
+
+
+def ema_linked_blocks(summaries: DataFrame, period: int = 7, group_col: str = "ISIN") -> DataFrame:
+    """``(group, block, before, after)`` from summaries: the average before and after each block of a series."""
+    named = summaries.select(group_col, "block", "n", "first", "last").toDF("_key", "_block", "_n", "_first", "_last")
+    out = linked(named.withColumn("_opening", F.lit(None).cast("double")), 2.0 / (period + 1.0))
+    return out.toDF(group_col, "block", "before", "after")
+
+
+def ema_in_blocks(
+    df: DataFrame,
+    before: DataFrame,
+    period: int = 7,
+    group_col: str = "ISIN",
+    target_col: str = "business_date",
+    value_col: str = "closing_price",
+    row_id: str = "hash_key",
+    span_days: int = DEFAULT_SPAN_DAYS,
+) -> DataFrame:
+    """As ``ema_series``, but only for the blocks in ``before`` (``group, block, before``), each from the average stated there.
+
+    ``df`` holds all rows of those blocks; it may hold others, which are left out.
+    """
+    _checked(df, row_id, value_col)
+    rows = _rows(df, group_col, target_col, value_col, row_id, span_days)
+    starts = before.select(group_col, "block", "before").toDF("_key", "_block", "_before")
+    return _scanned(rows, starts, 2.0 / (period + 1.0), "inner").toDF(row_id, group_col, target_col, value_col, ema_column(period))
+
+
 def ema_closing(
     df: DataFrame,
     period: int = 7,
