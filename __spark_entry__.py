@@ -124,7 +124,7 @@ def late_reprocess(spark, sf):
     layer = f"late_{uuid.uuid4().hex[:12]}"
     month = F.trunc("BizDt", "month").cast("string")
     raw = fixtures.bronze_quotes(spark, sf).withColumn("BizDt", month).withColumn("TradDt", F.col("BizDt"))
-    past = [dt.date(1994, 3, 1), dt.date(1996, 7, 1), dt.date(1998, 2, 1)]
+    past = [dt.date(1995, 8, 1), dt.date(1996, 7, 1), dt.date(1998, 2, 1)]
     late = F.col("BizDt").isin([str(d) for d in past]) & (F.substring("ISIN", 3, 8).cast("int") % 5 == 0)
     early = F.col("BizDt") < "1997-01-01"
     for part, again in ((early & ~late, []), (~early & ~late, []), (late, past)):
@@ -423,10 +423,38 @@ def csv_scan(spark, sf):
 
 
 def zip_scan(spark, sf):
-    """Quotes landed as archives and read back through the raw reader."""
+    """Quotes landed as archives of many members, one a year, and read back through the raw reader."""
     raw = fixtures.bronze_quotes(spark, sf).select("ISIN", "BizDt", "SctySrs", "FinInstrmNm", "TtlTradgVol")
-    archives = fixtures.land_zips(raw, f"{shared_dir(spark)}/zip_scan_{uuid.uuid4().hex}")
-    return quotefiles.read_zips(spark, archives).drop("_source_file")
+    folder = f"{shared_dir(spark)}/zip_scan_{uuid.uuid4().hex}"
+    fixtures.land_dated(raw.withColumns({"day": F.col("BizDt"), "BizDt": F.trunc("BizDt", "year").cast("string")}), folder, 500)
+    found = quotefiles.read_zips(spark, listing.listed_files(spark, folder).select("path"))
+    return found.select("ISIN", F.col("day").alias("BizDt"), "SctySrs", "FinInstrmNm", "TtlTradgVol")
+
+
+def load_files(spark, sf):
+    """What became of every landed file: a load, one more after files of months past and a new one came, and one that asks for a month again.
+
+    A row per file, with the quotes of its month in the raw table.
+    """
+    layer = f"load_{uuid.uuid4().hex[:12]}"
+    landing = f"{shared_dir(spark)}/landing_{uuid.uuid4().hex}"
+    raw = fixtures.bronze_quotes(spark, sf).withColumn("BizDt", F.trunc("BizDt", "month").cast("string"))
+    past = [dt.date(1995, 8, 1), dt.date(1996, 7, 1)]
+    later = F.col("BizDt").isin([str(d) for d in past]) | (F.col("BizDt") >= "1998-06-01")
+    counts = []
+    for part, again in ((~later, []), (later, []), (F.lit(False), past[:1])):
+        if not again:
+            fixtures.land_dated(raw.filter(part), landing)
+        done = bronze.load_bronze(spark, landing, f"{layer}.raw", f"{layer}.state", f"{layer}.rejects", again)
+        counts.append((done["files"], done["files_skipped"]))
+    outcomes = bronze.file_outcomes(spark, f"{layer}.raw_files")
+    listed = listing.listed_files(spark, landing).count()
+    if listed != outcomes.count() or [c for _, c in counts] != [0, len(past), 0]:
+        raise AssertionError(f"{listed} files listed, loads took and skipped {counts}")
+    quotes = spark.table(f"{layer}.raw").groupBy(F.col("BizDt").try_cast("date").alias("day")).agg(F.count("*").alias("quotes"))
+    return outcomes.join(quotes, F.col("file_date") == F.col("day"), "left").select(
+        "file_name", "file_date", "outcome", "reason", F.coalesce("quotes", F.lit(0)).alias("quotes")
+    )
 
 
 def load_bronze_zip(spark, sf):
@@ -606,6 +634,7 @@ def quote_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csv_scan": csv_scan,
         "zip_scan": zip_scan,
         "load_bronze_zip": load_bronze_zip,
+        "load_files": load_files,
         "parquet_scan": parquet_scan,
         "ema_stream": ema_stream,
         "dedup_events": dedup_events,

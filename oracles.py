@@ -317,6 +317,14 @@ monthly AS (SELECT * REPLACE (date_trunc('month', d)::DATE AS d) FROM bronze)
 SELECT isin AS ISIN, CAST(d AS VARCHAR) AS BizDt, series AS SctySrs, turnover FROM monthly
 QUALIFY row_number() OVER (PARTITION BY isin, d
   ORDER BY CASE series WHEN 'EQ' THEN 0 WHEN 'SM' THEN 1 ELSE 2 END, turnover DESC) = 1""",
+        "load_files": _BRONZE_WITH + """,
+monthly AS (SELECT isin, date_trunc('month', d)::DATE AS d FROM bronze),
+files AS (SELECT d, count(DISTINCT isin) AS quotes, d = DATE '1996-07-01' AS skipped FROM monthly GROUP BY d)
+SELECT concat('quotes_', strftime(d, '%Y%m%d'), '.zip') AS file_name, d AS file_date,
+       CASE WHEN skipped THEN 'skipped' ELSE 'loaded' END AS outcome,
+       CASE WHEN skipped THEN concat('dated ', d, ', loaded up to ', (SELECT max(d) FROM files WHERE d < DATE '1998-06-01')) END AS reason,
+       CASE WHEN skipped THEN 0 ELSE quotes END AS quotes
+FROM files""",
         "parquet_scan": _BRONZE_WITH + """
 SELECT isin AS ISIN, CAST(d AS VARCHAR) AS BizDt, series AS SctySrs, CAST(volume AS VARCHAR) AS TtlTradgVol
 FROM bronze WHERE series IN ('EQ', 'SM')""",

@@ -101,6 +101,41 @@ def land_zips(raw: DataFrame, folder: str) -> list[str]:
     return [row["path"] for row in raw.mapInPandas(write, "path string").collect()]
 
 
+def land_dated(raw: DataFrame, folder: str, lines: int = 1000) -> None:
+    """Raw rows as one zip archive per ``BizDt``, of as many CSV members of ``lines`` rows as its quotes make."""
+    columns = raw.columns
+
+    def write(frames):
+        import zipfile
+
+        import pandas as pd
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path, recursive=True)
+        date, out, archive, made = None, None, None, 0
+
+        def close():
+            if archive:
+                archive.close()
+                out.close()
+
+        for frame in frames:
+            for day, rows in frame.groupby("BizDt", sort=True):
+                if day != date:
+                    close()
+                    out = system.open_output_stream(f"{path}/quotes_{day.replace('-', '')}.zip", compression=None)
+                    date, archive, made = day, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED), 0
+                for low in range(0, len(rows), lines):
+                    archive.writestr(f"quotes_{made}.csv", rows.iloc[low : low + lines].to_csv(index=False, columns=columns))
+                    made += 1
+            yield pd.DataFrame({"rows": [len(frame)]})
+        close()
+
+    dealt = raw.repartition("BizDt").sortWithinPartitions("BizDt")
+    dealt.mapInPandas(write, "rows bigint").agg(F.sum("rows")).collect()
+
+
 def stored(df: DataFrame, name: str, sort_by: str | None = None) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}_{uuid.uuid4().hex}"
     (df.sortWithinPartitions(sort_by) if sort_by else df).write.parquet(path)

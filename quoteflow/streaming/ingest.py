@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..control import get_watermark, put_watermark
-from ..plans.bronze import append_bronze
-from ..sources.listing import ZIP_FILES, after_watermark, dated_files
-from ..sources.quotefiles import read_zips
+from ..plans.bronze import load_listed
+from ..sources.listing import ZIP_FILES, dated_files
 
 _FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -35,7 +34,7 @@ def ingest_files(
     keyed append makes a repeated batch harmless.
 
     ``late_files`` says what happens to a file dated at or before the watermark
-    the query started from: ``drop`` it, as the batch load does, or ``reprocess`` it.
+    the query started from: ``drop`` it, as the batch load does, or ``reprocess`` it.  Either way it is logged in ``<table>_files``.
     """
     if late_files not in ("drop", "reprocess"):
         raise ValueError("late_files must be drop or reprocess")
@@ -43,14 +42,8 @@ def ingest_files(
     start = get_watermark(spark, control, layer, name) if late_files == "drop" else None
 
     def load(batch: DataFrame, _: int) -> None:
-        files = after_watermark(dated_files(batch.select("path", "modificationTime")), start).collect()
-        staging = f"{table}_unpacked"
-        rows = read_zips(batch.sparkSession, [f["path"] for f in files], staging)
-        if rows is None:
-            return
-        append_bronze(rows, table, rejects)
-        batch.sparkSession.sql(f"DROP TABLE IF EXISTS {staging}")
-        put_watermark(batch.sparkSession, control, layer, name, max(f["file_date"] for f in files))
+        _, last = load_listed(dated_files(batch.select("path", "modificationTime")), table, rejects, start)
+        put_watermark(batch.sparkSession, control, layer, name, last)
 
     # the handler reads the archives by path, so their contents are not read here as well
     names = arriving_files(spark, landing, files_per_batch).select("path", F.col("modificationTime"))

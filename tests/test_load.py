@@ -9,7 +9,7 @@ from rows import HEADER, quote_line, values, write_zip
 from quoteflow import audit, control
 from quoteflow.operators import quality
 from quoteflow.plans import serving
-from quoteflow.plans.bronze import append_bronze
+from quoteflow.plans.bronze import append_bronze, file_outcomes
 from quoteflow.plans.daily import Tables, run_daily
 from quoteflow.plans.gold import build_ema
 from quoteflow.schema import CONTROL_SCHEMA
@@ -93,7 +93,7 @@ def test_daily_load(spark, database, tmp_path, incremental):
     land_day(tmp_path, 1, "ABCD")
     land_day(tmp_path, 2, "AB")
     second = run_daily(spark, str(tmp_path), names, incremental=incremental)
-    assert second["bronze"] == {"rows_read": 6, "rows_written": 6, "files": 2}
+    assert second["bronze"] == {"rows_read": 6, "rows_written": 6, "files": 2, "files_skipped": 0}
     assert spark.table(names.gold).count() == 9
     assert control.get_watermark(spark, names.control, *names.gold.split(".")) == DATES[2]
     assert values(spark.table(names.ema), "hash_key", "ema_7") == values(
@@ -108,9 +108,15 @@ def test_daily_load(spark, database, tmp_path, incremental):
     land(tmp_path, DATES[1], quote_line("INZ", DATES[1], "Z", "EQ", 5, 4))
     third = run_daily(spark, str(tmp_path), names, incremental=incremental)
     assert third["bronze"]["files"] == 0 and third["silver"]["rows_written"] == 0
+    assert third["bronze"]["files_skipped"] == 1  # the file of that day has another time now
+    log = file_outcomes(spark, f"{names.bronze}_files")
+    assert values(log.filter("outcome = 'skipped'"), "file_name", "reason") == [
+        ("quotes_20260902.zip", "dated 2026-09-02, loaded up to 2026-09-03")]
+    assert run_daily(spark, str(tmp_path), names, incremental=incremental)["bronze"]["files_skipped"] == 0
     assert snapshot_of(spark, names) == before
     late = run_daily(spark, str(tmp_path), names, incremental=incremental, reprocess_dates=[DATES[1]])
     assert late["bronze"]["rows_written"] == 1 and late["silver"]["rows_written"] == 1
+    assert values(file_outcomes(spark, f"{names.bronze}_files"), "outcome") == [("loaded",)] * 4
     assert spark.table(names.gold).filter("stock_code = 'Z'").count() == 1
     assert values(serving.stock_catalog(spark.table(names.catalog)), "stock_code", "isin") == values(
         serving.stock_catalog(spark.table(names.gold)), "stock_code", "isin") == [(c, f"IN{c}") for c in "ABCDZ"]
@@ -181,6 +187,8 @@ def test_streamed_files_equal_the_batch_load(spark, database, tmp_path):
     land(landing, dt.date(2026, 8, 1), quote_line("INZ", "2026-08-01", "Z", "EQ", 5, 4))
     ingest()
     assert spark.table(names.bronze).filter("ISIN = 'INZ'").count() == 0
+    log = file_outcomes(spark, f"{names.bronze}_files")
+    assert values(log, "file_name", "outcome")[0] == ("quotes_20260801.zip", "skipped") and log.count() == 4
     land(landing, dt.date(2026, 8, 2), quote_line("INZ", "2026-08-02", "Z", "EQ", 5, 4))
     ingest(late_files="reprocess")
     assert spark.table(names.bronze).filter("ISIN = 'INZ'").count() == 1

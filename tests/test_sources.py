@@ -1,14 +1,16 @@
 import datetime as dt
 import json
 import os
+import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from rows import HEADER, quote_line, values, write_zip
 
 from quoteflow.operators.align import union_batches
 from quoteflow.plans.snapshot import snapshot_bronze, snapshot_silver
-from quoteflow.sources import html, listing, nested, quotefiles, tables
+from quoteflow.sources import archives, html, listing, nested, quotefiles, tables
 
 
 def names(df):
@@ -63,6 +65,76 @@ def test_broken_zip_is_an_error(spark, tmp_path):
         quotefiles.read_zips(spark, [str(tmp_path / "x.zip")])
 
 
+def many_members(path, method, count=30):
+    with zipfile.ZipFile(path, "w", method) as archive:
+        for n in range(count):
+            archive.writestr(f"m{n}.csv", "ISIN,N\n" + "".join(f"I{n},{k}\n" for k in range(n)))
+        archive.writestr("readme.txt", "x" * 1000)
+
+
+@pytest.mark.parametrize("method", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2])
+def test_members_are_found_by_the_directory_and_dealt_to_tasks(spark, tmp_path, method):
+    many_members(tmp_path / "a b%20ü.zip", method)
+    paths = listing.listed_files(spark, str(tmp_path)).select("path")
+    found = archives.members(paths)
+    assert found.count() == 30 and {r["method"] for r in found.collect()} == {method}
+    lines = archives.member_lines(found, 30)
+    assert lines.rdd.getNumPartitions() == 30
+    per_task = lines.groupBy(F.spark_partition_id()).agg(F.countDistinct("member").alias("n")).collect()
+    assert len(per_task) > 12
+    got = quotefiles.read_zips(spark, paths)
+    assert values(got.groupBy("ISIN").agg(F.count("*").alias("n")), "ISIN", "n") == sorted(((f"I{n}", n) for n in range(1, 30)), key=repr)
+    assert {r["_source_file"] for r in got.select("_source_file").distinct().collect()} == {"a b%20ü.zip"}
+    whole = quotefiles.read_zips(spark, [str(tmp_path / "a b%20ü.zip")], whole=True)
+    assert values(whole, *whole.columns) == values(got, *whole.columns)
+
+
+def test_a_directory_is_read_without_the_members(spark, tmp_path):
+    """Members whose bytes are gone are found, and are an error when read."""
+    many_members(tmp_path / "a.zip", zipfile.ZIP_DEFLATED)
+    data = bytearray((tmp_path / "a.zip").read_bytes())
+    with zipfile.ZipFile(tmp_path / "a.zip") as archive:
+        info = archive.getinfo("m29.csv")
+    at = info.header_offset + 30 + len("m29.csv")
+    data[at : at + info.compress_size] = bytes(info.compress_size)
+    (tmp_path / "a.zip").write_bytes(data)
+    found = archives.members(spark.createDataFrame([(str(tmp_path / "a.zip"),)], "path string"))
+    assert found.count() == 30
+    assert archives.member_lines(found.filter("member != 'm29.csv'"), 3).count() == 29 + sum(range(29))
+    with pytest.raises(Exception, match="zlib|damaged"):
+        archives.member_lines(found.filter("member = 'm29.csv'"), 1).count()
+
+
+def test_a_member_is_read_in_blocks_and_checked(spark, tmp_path):
+    text = "ISIN,N\n" + "".join(f"I{n % 97},{'x' * 50}{n}\n" for n in range(60_000))
+    for method in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        with zipfile.ZipFile(tmp_path / f"{method}.zip", "w", method) as archive:
+            archive.writestr("one.csv", text)
+    found = archives.members(listing.listed_files(spark, str(tmp_path)).select("path"))
+    assert {r["size"] for r in found.collect()} == {len(text)}
+    lines = archives.member_lines(found, 2).filter("line is not null")
+    assert lines.count() == 120_000 and lines.groupBy("line").count().filter("count != 2").count() == 0
+    wrong = found.withColumn("crc", F.col("crc") + 1)
+    with pytest.raises(Exception, match="damaged"):
+        archives.member_lines(wrong, 2).count()
+
+
+def test_chosen_files(spark):
+    stamp, later = dt.datetime(2026, 9, 1, 8), dt.datetime(2026, 9, 2, 8)
+    files = spark.createDataFrame(
+        [("a", "a", dt.date(2026, 9, 1), stamp), ("b", "b", dt.date(2026, 9, 1), stamp), ("c", "c", dt.date(2026, 9, 2), stamp), ("d", "d", dt.date(2026, 9, 3), stamp)],
+        "path string, file_name string, file_date date, modificationTime timestamp")
+    known = spark.createDataFrame([("a", stamp), ("a", stamp), ("b", later)], "path string, modificationTime timestamp")
+
+    def outcomes(*args):
+        return {r["path"]: r["outcome"] for r in listing.chosen_files(files, *args).collect()}
+
+    assert set(outcomes(None, (), known).values()) == {"load"}
+    assert outcomes(dt.date(2026, 9, 2), (), known) == {"a": "known", "b": "late", "c": "late", "d": "load"}
+    assert outcomes(dt.date(2026, 9, 2), [dt.date(2026, 9, 1)], known) == {"a": "load", "b": "load", "c": "late", "d": "load"}
+    assert [r["reason"] for r in listing.chosen_files(files, dt.date(2026, 9, 3)).filter("path = 'd'").collect()] == ["dated 2026-09-03, loaded up to 2026-09-03"]
+
+
 def test_csvs_in_other_column_order(spark, tmp_path):
     (tmp_path / "a.csv").write_text(" ISIN ,BizDt\nI1,2026-09-01\n")
     (tmp_path / "b.csv").write_text("BizDt,ISIN,Extra\n2026-09-02,I2,e\n")
