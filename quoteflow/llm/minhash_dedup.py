@@ -73,10 +73,7 @@ def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, documents = np.zeros(1 << SLOT_BITS, np.int64), 0
     for batch in batches:
         for _, _, shingles, _ in _documents(batch.column(0).to_pylist()):
-            slots = shingles >> np.uint64(64 - SLOT_BITS)
-            counts += np.bincount(slots.astype(np.int64), minlength=1 << SLOT_BITS) if len(slots) > 50_000 else 0
-            if len(slots) <= 50_000:
-                np.add.at(counts, slots.astype(np.int64), 1)
+            np.add.at(counts, (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
             documents += 1
     if documents:
         parts = counts.astype(np.int64).reshape(SLICES, -1)
