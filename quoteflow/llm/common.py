@@ -19,9 +19,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: what follows does not depend on lost executors."""
+def keep(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read back: what follows does not depend on lost executors.
+
+    With ``few``, for tables small beside the input that are written again and again, at most two files a core of the cluster.
+    """
     path = new_folder(df.sparkSession, name)
+    if few:
+        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

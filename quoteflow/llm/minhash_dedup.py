@@ -281,11 +281,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     ``row`` is returned too.  An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    # the smallest (key is null, key, row number) stands for its class
+    # the smallest (key is null, key, row number) stands for its class; the text's hash keeps rows of one id, or of none, apart in joins
     number = F.col(row).cast("long") if row else F.lit(None).cast("long")
-    own = F.struct(F.col(key).isNull().alias("absent"), F.col(key).alias("id"), number.alias("number"))
+    own = F.struct(
+        F.col(key).isNull().alias("absent"), F.col(key).alias("id"), number.alias("number"), F.xxhash64(F.col(text).cast("string")).alias("mark")
+    )
     plain = docs.select(own.alias("key"), F.col(text).cast("string").alias("text"))
-    kind = f"struct<absent:boolean,id:{docs.schema[key].dataType.simpleString()},number:bigint>"
+    kind = f"struct<absent:boolean,id:{docs.schema[key].dataType.simpleString()},number:bigint,mark:bigint>"
     idf = spark.sparkContext.broadcast(slot_idf(plain))
     signed = keep(
         plain.mapInArrow(_signatures(idf, bands, rows), f"key {kind}, node string, total double, bands array<bigint>"),
@@ -333,7 +335,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     )
     dealt = dealt.select("band", "node", "root", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     blocks = dealt.join(texts, "node").groupBy("band", "i", "j").applyInPandas(_block_links(idf, threshold), "a string, b string")
-    roots = components(links.unionByName(rest).unionByName(keep(blocks, "block-links")))
+    roots = components(links.unionByName(rest).unionByName(keep(blocks, "block-links", few=True)))
     classes = nodes.join(roots, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), F.col("key").alias("own")
     )
@@ -366,5 +368,5 @@ def _texts(plain: DataFrame, wanted: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(keep_row, pa.bool_()))
 
     met = plain.join(wanted.select("key", "node"), "key")
-    # a key may be given to several texts: those of another node go
+    # equal keys are rows of one id and one text's hash: those of another node go
     return met.select("node", "text").mapInArrow(check, "node string, text string").groupBy("node").agg(F.min("text").alias("text"))

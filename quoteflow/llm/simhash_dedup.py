@@ -342,7 +342,7 @@ def linked(nodes: DataFrame, distance: int = 4, light: int = LIGHT, block: int =
     asked = asked_of(own).select("value", "fp")
     rare = held.join(sizes.where(F.col("held") <= light).select("value"), "value").select("value", F.col("fp").alias("other"))
     near = asked.join(rare, "value").where((F.col("fp") != F.col("other")) & close("fp", "other"))
-    links = keep(near.select(*pairs("fp", "other")).distinct(), "links")
+    links = keep(near.select(*pairs("fp", "other")).distinct(), "links", few=True)
     frequent = keep(sizes.where(F.col("held") > light), "frequent-values")
     if frequent.isEmpty():
         return components(links)
@@ -353,7 +353,7 @@ def linked(nodes: DataFrame, distance: int = 4, light: int = LIGHT, block: int =
     )
     met = asked.join(pivots, "value").select("fp", F.explode(F.array("first", "second")).alias("other"))
     met = met.where((F.col("fp") != F.col("other")) & close("fp", "other"))
-    links = links.unionByName(keep(met.select(*pairs("fp", "other")).distinct(), "pivot-links"))
+    links = links.unionByName(keep(met.select(*pairs("fp", "other")).distinct(), "pivot-links", few=True))
     roots = components(links)
 
     # and where not all of a value's nodes are linked by then, the pairs that are not are compared in blocks
@@ -377,7 +377,7 @@ def linked(nodes: DataFrame, distance: int = 4, light: int = LIGHT, block: int =
 
     blocks = dealt(asked, True, "down", "across").unionByName(dealt(held, False, "across", "down"))
     rest = blocks.groupBy("value", "across_at", "down_at").applyInPandas(_block_links(distance), "a bigint, b bigint")
-    return components(links.unionByName(keep(rest.select(*pairs("a", "b")).distinct(), "block-links")))
+    return components(links.unionByName(keep(rest.select(*pairs("a", "b")).distinct(), "block-links", few=True)))
 
 
 def _frequent(sizes: DataFrame, parts: list[list[int]], total: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
