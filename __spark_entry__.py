@@ -101,6 +101,27 @@ def load_silver(spark, sf):
     return loaded.unionByName(left_out)
 
 
+def load_touched(spark, sf):
+    """Silver from the log of the raw table's commits: quotes of 1997 and later, older ones, and then two of their months asked for again.
+
+    Every row of the series comes out as loaded or as late, those asked for as both.  Quotes are dated by month.
+    """
+    layer = f"load_{uuid.uuid4().hex[:12]}"
+    raw = fixtures.bronze_quotes(spark, sf).withColumn("BizDt", F.trunc("BizDt", "month").cast("string"))
+    recent = F.col("BizDt") >= "1997-01-01"
+    for part, again in ((recent, []), (~recent, []), (None, [dt.date(1995, 8, 1), dt.date(1996, 7, 1)])):
+        if part is not None:
+            bronze.append_bronze(raw.filter(part), f"{layer}.raw", f"{layer}.raw_rejected")
+        silver.load_silver(spark, f"{layer}.raw", f"{layer}.quotes", f"{layer}.state", again)
+    loaded = spark.table(f"{layer}.quotes").select(
+        F.lit("loaded").alias("outcome"), "ISIN", F.col("business_date").cast("string").alias("day"), "security_series", F.col("total_turnover_value").alias("turnover")
+    )
+    left_out = spark.table(f"{layer}.quotes_rejected").select(
+        F.col("reason").alias("outcome"), "ISIN", F.col("BizDt").alias("day"), F.col("SctySrs").alias("security_series"), F.col("TtlTrfVal").cast("double").alias("turnover")
+    )
+    return loaded.unionByName(left_out)
+
+
 def load_gold(spark, sf):
     """The load from raw text to gold, every step through its tables: silver, averages, gold.  Quotes are dated by month."""
     layer = f"load_{uuid.uuid4().hex[:12]}"
@@ -592,6 +613,7 @@ def quote_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "typed_text": typed_text,
         "silver": silver_rows,
         "load_silver": load_silver,
+        "load_touched": load_touched,
         "load_gold": load_gold,
         "late_reprocess": late_reprocess,
         "align_schema": align_schema,

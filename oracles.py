@@ -125,6 +125,15 @@ loaded AS (
 SELECT 'loaded' AS outcome, isin AS ISIN, CAST(d AS VARCHAR) AS day, turnover FROM loaded
 UNION ALL SELECT reason, isin, CASE WHEN volume = 7 THEN strftime(d, '%d/%m/%Y') ELSE CAST(d AS VARCHAR) END, turnover
 FROM marked WHERE reason IS NOT NULL""",
+        "load_touched": _BRONZE_WITH + """,
+monthly AS (SELECT * REPLACE (date_trunc('month', d)::DATE AS d) FROM bronze),
+raw AS (
+  SELECT * FROM monthly QUALIFY row_number() OVER (PARTITION BY isin, d
+    ORDER BY CASE series WHEN 'EQ' THEN 0 WHEN 'SM' THEN 1 ELSE 2 END, turnover DESC) = 1),
+equity AS (SELECT isin AS ISIN, CAST(d AS VARCHAR) AS day, series AS security_series, turnover, d FROM raw WHERE series IN ('EQ', 'SM'))
+SELECT 'loaded' AS outcome, ISIN, day, security_series, turnover FROM equity
+WHERE d >= DATE '1997-01-01' OR d IN (DATE '1995-08-01', DATE '1996-07-01')
+UNION ALL SELECT 'late', ISIN, day, security_series, turnover FROM equity WHERE d < DATE '1997-01-01'""",
         "load_gold": _BRONZE_WITH + """,
 silver AS (
   SELECT *, (c - p) / nullif(p, 0) * 100 AS pnl, sha256(concat_ws('|', 'SYN', isin, code, CAST(d AS VARCHAR))) AS k

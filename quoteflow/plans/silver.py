@@ -15,7 +15,7 @@ from ..functions import daily_return, row_hash
 from ..operators.merge import new_rows_by_hash, split_rejects
 from ..schema import EQUITY_SERIES, HASH_COLUMNS, SILVER_COLUMNS, SILVER_SCHEMA
 from ..sources.tables import append, ensure_table, read_since, read_table
-from .bronze import append_rejects
+from .bronze import append_rejects, mark_seen, unseen_commits
 
 
 def typed_quotes(bronze: DataFrame) -> DataFrame:
@@ -60,6 +60,29 @@ def set_aside(raw: DataFrame, watermark: dt.date | None, again: Sequence[dt.date
     return marked.filter(F.col("reason").isNotNull())
 
 
+def dated(source: DataFrame, dates: Sequence[str | None], again: Sequence[dt.date]) -> DataFrame:
+    """Raw rows of these dates (as the raw table spells them; None: none) or of ``again``: as literals, so that only their partitions are read."""
+    wanted = F.col("BizDt").isin([d for d in dates if d is not None])
+    if again:
+        wanted = wanted | F.col("BizDt").try_cast("date").isin(list(again))
+    return source.filter(wanted | F.col("BizDt").isNull() if None in dates else wanted)
+
+
+def not_loaded(aside: DataFrame, held: DataFrame, watermark: dt.date | None) -> DataFrame:
+    """Rows set aside but those late ones that silver holds: a touched date has its older rows beside the new ones."""
+    if watermark is None:
+        return aside
+    names = {raw: name for raw, (name, _) in SILVER_COLUMNS.items()}
+    keys = [raw for raw, name in names.items() if name in HASH_COLUMNS]
+    texts = {f"_{names[raw]}": F.col(raw) if raw in aside.columns else F.lit(None).cast("string") for raw in keys}
+    texts["_business_date"] = F.col("BizDt").try_cast("date").cast("string")
+    marked = aside.withColumns(texts).withColumn("_hash", row_hash([f"_{c}" for c in HASH_COLUMNS]))
+    late = F.col("reason") == "late"
+    dates = [r[0] for r in marked.filter(late).select(F.col("BizDt").try_cast("date")).distinct().collect()]
+    known = held.filter(F.col("business_date").isin(dates)).select(F.col("hash_key").alias("_held"))
+    return marked.join(known, late & (F.col("_hash") == F.col("_held")), "left_anti").select(aside.columns)
+
+
 def load_silver(
     spark: SparkSession, bronze: str, table: str, control: str, reprocess_dates: Iterable[dt.date] = (),
     rejects: str | None = None,
@@ -70,11 +93,16 @@ def load_silver(
     a batch of known rows still advances it.  Rows of the series that cannot be
     loaded, or come too late, go to ``rejects`` (``<table>_rejected``) with a reason;
     ``reprocess_dates`` loads late ones.
+
+    Where the raw table has a log of its commits (``bronze.log_commit``), only the dates of commits not seen before are read, and those
+    of ``reprocess_dates``; whenever a commit was stamped, it is looked at once.  Without a log, all dates are.
     """
     layer, name = table.split(".")
     watermark = get_watermark(spark, control, layer, name)
     again = list(reprocess_dates)
-    source = read_table(spark, bronze)
+    source, logged = read_table(spark, bronze), unseen_commits(spark, bronze, table)
+    if logged is not None:
+        source = dated(source, logged[1], again)
     batch = read_since(source, "BizDt", watermark)
     if watermark is not None and again:
         batch = source.filter(
@@ -82,8 +110,10 @@ def load_silver(
         )
     ensure_table(spark, table, SILVER_SCHEMA, ["business_date"])
     held = read_table(spark, table)
-    before = held.agg(F.max("silver_load_date_time")).first()[0]
+    before = None if logged is not None else held.agg(F.max("silver_load_date_time")).first()[0]
     aside = set_aside(equity_series(source, "SctySrs"), watermark, again, before)
+    if logged is not None:
+        aside = not_loaded(aside, held, watermark)
     left_out = {r["reason"]: r["n"] for r in aside.groupBy("reason").agg(F.count("*").alias("n")).collect()}
     if left_out:
         append_rejects(aside, rejects or f"{table}_rejected")
@@ -96,6 +126,8 @@ def load_silver(
     fresh, written = counted(new_rows_by_hash(silver, since), "silver_written")
     append(fresh, table, ["business_date"])
     put_watermark(spark, control, layer, name, last)
+    if logged is not None:
+        mark_seen(spark, logged[0], table)
     return {
         "rows_read": read, "rows_written": measured(written)["rows"],
         "rows_incomplete": left_out.get("incomplete", 0), "rows_late": left_out.get("late", 0),

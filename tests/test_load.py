@@ -283,3 +283,47 @@ def test_row_count_alarm(spark):
     rows = days.select("business_date", F.explode(F.sequence(F.lit(1), F.when(F.col("id") == 7, 2).otherwise(10))))
     alarms = quality.row_count_alarms(rows, days=5).filter("unexpected").collect()
     assert [(r["business_date"].day, r["row_count"]) for r in alarms] == [(8, 2)]
+
+
+# --- the log of commits ---
+
+
+def raw_quotes(spark, *rows):
+    columns = ("ISIN", "BizDt", "TckrSymb", "SctySrs", "Src", "ClsPric", "PrvsClsgPric", "TtlTrfVal")
+    return spark.createDataFrame([(i, d, i, s, "SYN", "11", "10", t) for i, d, s, t in rows], ", ".join(f"{c} string" for c in columns))
+
+
+def test_silver_looks_at_every_commit_once(spark, database, monkeypatch):
+    from quoteflow.plans import bronze as bronze_plans
+    from quoteflow.plans import silver as silver_plans
+
+    raw, table, state = f"{database('c')}.raw", f"{database('c')}.quotes", f"{database('c')}.state"
+    load = lambda *again: silver_plans.load_silver(spark, raw, table, state, again)
+    days = [str(d) for d in DATES]
+    append_bronze(raw_quotes(spark, *[(k, d, "EQ", "5") for k in "AB" for d in days]), raw)
+    assert load() == {"rows_read": 6, "rows_written": 6, "rows_incomplete": 0, "rows_late": 0}
+    assert load() == {"rows_read": 0, "rows_written": 0, "rows_incomplete": 0, "rows_late": 0}
+
+    # late rows, a row of another series, and one without a date, stamped long before silver last looked
+    late = raw_quotes(spark, ("C", days[0], "EQ", "6"), ("D", days[0], "BE", "6"), ("E", None, "SM", "6")).withColumn("_ingested_at", F.lit("2001-01-01").cast("timestamp"))
+    append_bronze(late, raw)
+    dates = bronze_plans.unseen_commits(spark, raw, table)[1]
+    assert sorted(dates, key=str) == [days[0], None]
+    plan = silver_plans.dated(spark.table(raw), dates, [DATES[2]])._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    assert "BizDt" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    assert {f.split("BizDt=")[1].split("/")[0] for f in silver_plans.dated(spark.table(raw), [days[0]], []).inputFiles()} == {days[0]}
+
+    # a load that breaks off before it marks the commits is repeated whole, and rejects nothing twice
+    mark = silver_plans.mark_seen
+    monkeypatch.setattr(silver_plans, "mark_seen", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        load()
+    monkeypatch.setattr(silver_plans, "mark_seen", mark)
+    assert load() == {"rows_read": 0, "rows_written": 0, "rows_incomplete": 1, "rows_late": 1}
+    assert values(spark.table(f"{table}_rejected"), "ISIN", "reason") == [("C", "late"), ("E", "incomplete")]
+    assert load()["rows_late"] == 0
+    assert load(DATES[0])["rows_written"] == 1 and spark.table(table).count() == 7
+    # a date touched again: the row that was late is in silver now
+    append_bronze(raw_quotes(spark, ("F", days[0], "SM", "6")), raw)
+    assert load()["rows_late"] == 1
