@@ -285,7 +285,7 @@ def ema_resumed(spark, sf):
 
 def gold_table(spark, sf):
     quotes = fixtures.silver_table(spark, sf)
-    built = gold.build_gold(quotes, gold.build_ema(quotes))
+    built = gold.build_gold(quotes)
     return _rounded(
         built.drop("gold_load_date_time", "ingestion_date_time", "expiry_date"), "avg_pnl_percentage"
     )
@@ -434,6 +434,17 @@ def html_table(spark, sf):
     return found.select("page_id", "row_number", F.col("cells")[0].alias("cell"), F.col("headers")[1].alias("header"))
 
 
+def html_nested(spark, sf):
+    """Every page as a table of its address and title, a table of two cells inside each row, one more inside that; written with character references."""
+    page = F.col("page_id").cast("string")
+    number = (F.col("page_id") % 26 + 97).cast("string")
+    inner = F.concat(F.lit("<TABLE class='x'><tr><th> n"), page, F.lit(" &#"), number, F.lit(";</th><td>&lt;b&gt;<table><tr><td>deep &#x41;&amp;</table>tail</td></tr></table>"))
+    row = F.concat(F.lit("<tr><td>"), F.col("url"), inner, F.lit(" after </td><td>&eacute;"), F.length("html").cast("string"), F.lit("</td></tr>"))
+    whole = F.concat(F.lit("</table><!-- <table> --><table id=a>"), F.repeat(row, (F.col("page_id") % 3 + 1).cast("int")), F.lit("</table><p>out</p>"))
+    pages = fixtures.table(spark, sf, "pages").select("page_id", whole.alias("html"))
+    return html.html_tables(pages)
+
+
 def csv_scan(spark, sf):
     """Quotes written as daily CSV files and read back through the raw reader."""
     folder = f"{shared_dir(spark)}/csv_scan_{uuid.uuid4().hex}"
@@ -653,6 +664,7 @@ def quote_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "snapshot": snapshot_rows,
         "html_items": html_items,
         "html_table": html_table,
+        "html_nested": html_nested,
         "csv_scan": csv_scan,
         "zip_scan": zip_scan,
         "load_bronze_zip": load_bronze_zip,

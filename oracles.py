@@ -302,6 +302,13 @@ SELECT page_id, position,
     '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
     '^\\s+|\\s+$', '', 'g') AS text
 FROM one""",
+        "html_nested": """
+WITH rows AS (SELECT *, unnest(generate_series(1, (page_id % 3 + 1)::INTEGER)) AS n FROM pages)
+SELECT page_id, 1 AS table_number, 1 AS depth, n::INTEGER AS row_number, 1 AS cell_number, false AS header, concat(url, ' after') AS text FROM rows
+UNION ALL SELECT page_id, 1, 1, n::INTEGER, 2, false, concat('é', length(html)) FROM rows
+UNION ALL SELECT page_id, 2 * n::INTEGER, 2, 1, 1, true, concat('n', page_id, ' ', chr((page_id % 26 + 97)::INTEGER)) FROM rows
+UNION ALL SELECT page_id, 2 * n::INTEGER, 2, 1, 2, false, '<b>tail' FROM rows
+UNION ALL SELECT page_id, 2 * n::INTEGER + 1, 3, 1, 1, false, 'deep A&' FROM rows""",
         "html_table": """
 WITH found AS (
   SELECT page_id, regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1) AS items FROM pages),

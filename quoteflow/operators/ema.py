@@ -323,6 +323,43 @@ def ema_in_blocks(
     return _scanned(rows, starts, 2.0 / (period + 1.0), "inner").toDF(row_id, group_col, target_col, value_col, ema_column(period))
 
 
+def with_ema(
+    df: DataFrame,
+    period: int = 7,
+    group_col: str = "ISIN",
+    target_col: str = "business_date",
+    value_col: str = "closing_price",
+    row_id: str = "hash_key",
+    span_days: int = DEFAULT_SPAN_DAYS,
+    beside: DataFrame | None = None,
+    **added: Column,
+) -> DataFrame:
+    """All columns of ``df``, those ``added``, and ``ema_<period>`` as of every row.
+
+    The whole rows move once, by series and block, and are folded where they lie: no average has to find its row again by ``row_id``.
+    ``beside``, a row per series (its first column is the group), meets the rows in the same join; ``added`` columns may use it.
+    """
+    _checked(df, row_id, value_col)
+    alpha, average = 2.0 / (period + 1.0), ema_column(period)
+    before = _linked_blocks(_rows(df, group_col, target_col, value_col, row_id, span_days), alpha, None).drop("_after")
+    if beside is not None:
+        before = before.join(beside.withColumnRenamed(beside.columns[0], "_key"), "_key", "left")
+    names = [c for c in df.columns if c != average]
+    narrow = {"_id": row_id, "_key": group_col, "_at": target_col}
+    block = F.when(F.col(group_col).isNotNull(), block_of(F.col(target_col), span_days)).otherwise(F.pmod(F.xxhash64(row_id), F.lit(4096)).cast("int"))
+    rows = df.select(*names, *[F.col(c).alias(n) for n, c in narrow.items()], F.col(value_col).cast("double").alias("_x"), block.alias("_block"))
+    run_over, or_null = _folder(alpha)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, _, _, averages in run_over(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [or_null(averages)], names=[*names, average])
+
+    met = rows.repartition("_key", "_block").join(before, ["_key", "_block"], "left").withColumns(added)
+    names += list(added)
+    ordered = met.select(*names, *narrow, "_x", "_block", "_before").sortWithinPartitions(*_TIME_ORDER)
+    return ordered.mapInArrow(run, _fields(ordered, *names, **{average: T.DoubleType()}))
+
+
 def ema_closing(
     df: DataFrame,
     period: int = 7,

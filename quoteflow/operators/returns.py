@@ -21,3 +21,10 @@ def with_avg_return(df: DataFrame, keys: Sequence[str] = ("ISIN", "stock_code"))
     which a window partition cannot.
     """
     return df.join(avg_return(df, keys), list(keys), "left")
+
+
+def means_by_code(df: DataFrame, keys: Sequence[str] = ("ISIN", "stock_code")) -> DataFrame:
+    """The mean returns of a security as a map from its codes, ``(security, means)``: a row per security, which has few codes."""
+    security, code = keys
+    means = avg_return(df.filter(F.col(security).isNotNull() & F.col(code).isNotNull()), keys)
+    return means.groupBy(security).agg(F.map_from_entries(F.collect_list(F.struct(code, "avg_pnl_percentage"))).alias("means"))

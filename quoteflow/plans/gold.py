@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..audit import counted, measured
 from ..control import put_watermark
-from ..operators.ema import DEFAULT_SPAN_DAYS, ema_column, ema_final, ema_series, ema_table
-from ..operators.returns import with_avg_return
+from ..operators.ema import DEFAULT_SPAN_DAYS, ema_column, ema_final, ema_series, ema_table, with_ema
+from ..operators.returns import means_by_code, with_avg_return
 from ..schema import GOLD_RENAMES
 from ..sources.tables import publish, read_since, read_table, table_exists
 from .serving import catalog_rows
@@ -34,9 +34,19 @@ def enriched(silver: DataFrame) -> DataFrame:
     return with_avg_return(silver.drop("silver_load_date_time").withColumnsRenamed(GOLD_RENAMES))
 
 
-def build_gold(silver: DataFrame, ema: DataFrame) -> DataFrame:
-    """Silver rows with average return, moving average and load time."""
-    return enriched(silver).join(ema, "hash_key", "left").withColumn("gold_load_date_time", F.current_timestamp())
+def build_gold(silver: DataFrame, ema: DataFrame | None = None, period: int = 7) -> DataFrame:
+    """Silver rows with average return, moving average and load time.
+
+    Without ``ema``, a table of averages by row hash, they are computed where the rows lie, and the average returns join them there: whole
+    rows move once.
+    """
+    if ema is None:
+        named = silver.drop("silver_load_date_time").withColumnsRenamed(GOLD_RENAMES)
+        mean = F.element_at("means", F.col("stock_code"))
+        rows = with_ema(named, period, beside=means_by_code(named), avg_pnl_percentage=mean)
+    else:
+        rows = enriched(silver).join(ema, "hash_key", "left")
+    return rows.withColumn("gold_load_date_time", F.current_timestamp())
 
 
 def refresh_ema(silver: DataFrame, previous: DataFrame, period: int = 7) -> DataFrame:
@@ -88,9 +98,16 @@ def load_ema(spark: SparkSession, silver: str, table: str, period: int = 7, mode
     return {"rows_written": measured(written)["rows"]}
 
 
-def load_gold(spark: SparkSession, silver: str, ema: str, table: str, control: str) -> dict:
-    """All of gold computed and published, then its watermark."""
-    gold = build_gold(read_table(spark, silver), read_table(spark, ema))
+def load_ema_of(spark: SparkSession, gold: str, table: str, period: int = 7) -> dict:
+    """The averages of published gold, published as the side table."""
+    ema, written = counted(read_table(spark, gold).select("hash_key", ema_column(period)), "ema_written")
+    publish(ema, table)
+    return {"rows_written": measured(written)["rows"]}
+
+
+def load_gold(spark: SparkSession, silver: str, ema: str | None, table: str, control: str, period: int = 7) -> dict:
+    """All of gold computed and published, then its watermark.  The averages are those of the table ``ema``, or else computed on the way."""
+    gold = build_gold(read_table(spark, silver), read_table(spark, ema) if ema else None, period)
     gold, written = counted(gold, "gold_written", "business_date")
     publish(gold, table, ["business_date"], sort_by=["stock_code"])
     layer, name = table.split(".")

@@ -87,3 +87,37 @@ def test_both_passes_over_a_series_share_one_shuffle(spark):
 def test_deduplication_limits_before_the_shuffle(spark):
     text = plan(fixtures.deduped_quotes(spark, SF_DIR))
     assert text.index("Final") < text.index("hashpartitioning(BizDt") < text.index("Partial")
+
+
+def test_gold_moves_whole_rows_once(spark):
+    """Of the exchanges that gold runs with, one carries the quotes; averages come to the rows, not rows to the averages."""
+    from quoteflow.plans.gold import build_ema, build_gold
+
+    quotes = fixtures.silver_table(spark, SF_DIR)
+    wide = {}
+    for name, df in (("at once", build_gold(quotes)), ("by side table", build_gold(quotes, build_ema(quotes)))):
+        df.collect()
+        found, waiting = [], [df._jdf.queryExecution().executedPlan()]
+        while waiting:
+            node = waiting.pop()
+            kind = node.nodeName()
+            if kind == "Exchange":
+                found.append(node.output().size())
+            children = node.children()
+            waiting += [children.apply(i) for i in range(children.size())]
+            if kind == "AdaptiveSparkPlan":
+                waiting.append(node.executedPlan())
+            elif kind.endswith("QueryStage"):
+                waiting.append(node.plan())
+        wide[name] = sum(1 for n in found if n > 10)
+    assert wide["at once"] == 1 <= wide["by side table"]
+
+
+def test_gold_is_the_same_either_way(spark):
+    from quoteflow.plans.gold import build_ema, build_gold
+
+    quotes = fixtures.silver_table(spark, SF_DIR)
+    columns = ["hash_key", "ISIN", "closing_price", "ema_7"]
+    ways = [sorted(map(tuple, df.select(columns).collect())) for df in (build_gold(quotes), build_gold(quotes, build_ema(quotes)))]
+    assert ways[0] == ways[1]
+    assert build_gold(quotes).columns[-3:] == build_gold(quotes, build_ema(quotes)).columns[-3:]

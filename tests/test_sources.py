@@ -1,7 +1,9 @@
 import datetime as dt
 import json
 import os
+import random
 import zipfile
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -253,3 +255,70 @@ def test_read_since_prunes_partitions(spark, tmp_path):
     plan = recent._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(business_date" in plan
     assert tables.read_since(spark.read.parquet(path), "business_date", None).count() == 4
+
+
+# --- tables that nest ---
+
+
+class PlainTables(HTMLParser):
+    """Cells of all tables, by a stack of open ones."""
+
+    def __init__(self, text):
+        super().__init__()
+        self.cells, self.stack, self.opened = {}, [], 0
+        self.feed(text)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "table":
+            self.opened += 1
+            self.stack.append({"id": self.opened, "row": 0, "cell": 0, "open": False})
+        elif self.stack and tag == "tr":
+            self.stack[-1].update(row=self.stack[-1]["row"] + 1, cell=0, open=False)
+        elif self.stack and tag in ("td", "th"):
+            top = self.stack[-1]
+            top.update(cell=top["cell"] + 1, open=True)
+            if top["row"]:
+                self.cells[(top["id"], len(self.stack), top["row"], top["cell"], tag == "th")] = ""
+
+    def handle_endtag(self, tag):
+        if self.stack and tag == "table":
+            self.stack.pop()
+        elif self.stack and tag in ("td", "th", "tr"):
+            self.stack[-1]["open"] = False
+
+    def handle_data(self, data):
+        if self.stack and self.stack[-1]["open"] and self.stack[-1]["row"]:
+            top = self.stack[-1]
+            key = next(k for k in self.cells if k[0] == top["id"] and k[2:4] == (top["row"], top["cell"]))
+            self.cells[key] += data
+
+
+def nested_page(rng, depth=0):
+    out = []
+    for _ in range(rng.randint(1, 3)):
+        kind = rng.choice(["td", "td", "th"])
+        inside = nested_page(rng, depth + 1) if depth < 3 and rng.random() < 0.4 else ""
+        words = rng.choice(["a", " b &amp; ", "&#233;", "&#x1F600;", "&nosuch;", "<b>c</b>", "", "x &lt; y", "&copy;"])
+        cell = f"<{kind} class='q'>{words}{inside}{rng.choice(['', ' z '])}</{kind}>"
+        out.append(rng.choice(["<tr>", "</tr><TR >"]) + cell + rng.choice(["", "<td>more", "<td>more</td></tr>"]))
+    return "<table>" + "".join(out) + rng.choice(["</table>", "</TABLE >", "</table><!-- </table> -->"])
+
+
+def test_nested_tables_equal_a_parser_with_a_stack(spark):
+    rng = random.Random(4)
+    pages = [(i, "lead " + nested_page(rng) + rng.choice(["", " gap <p>", "</td>"]) + nested_page(rng) + rng.choice(["", "</table></table>" + nested_page(rng)])) for i in range(60)]
+    pages += [(900, None), (901, ""), (902, "no table <td>x</td>"), (903, "<table><tr><td>open for ever"), (904, "<table>loose<td>no row</td></table>"),
+              (905, "<table><script>'<table>'</script><tr><td>s<style><td></style></td></tr></table>"), (7, "<table><tr><td>same id</td></tr></table>")]
+    found = html.html_tables(spark.createDataFrame(pages, "page_id bigint, html string"))
+    assert found.columns == ["page_id", "table_number", "depth", "row_number", "cell_number", "header", "text"]
+    expected = [(i, t, d, r, c, h, text.strip()) for i, page_text in pages[:-2] + pages[-1:] for (t, d, r, c, h), text in PlainTables(page_text or "").cells.items()]
+    expected.append((905, 1, 1, 1, 1, False, "s"))
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, expected))
+
+
+def test_character_references(spark):
+    texts = ["&#65;&#x42;&amp;&lt;", "&#0;&#xD800;&#99999999;", "&nbsp;|&unknown;&", "&&amp;;", "plain", None, "&#128512;"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(html.unescaped(F.col("t"))).collect()]
+    assert got == ["AB&<", "&#0;&#xD800;&#99999999;", "\u00a0|&unknown;&", "&&;", "plain", None, "\U0001F600"]
