@@ -19,14 +19,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+def keep(df: DataFrame, name: str, rows: int | None = None, per_file: int = 50_000) -> DataFrame:
     """``df`` written to the shared folder and read back: what follows does not depend on lost executors.
 
-    With ``few``, for tables small beside the input that are written again and again, at most two files a core of the cluster.
+    With ``rows``, the most it can have, the files are at most so many that each may hold ``per_file``, or two a core of the cluster: narrow tables
+    written again and again are no heaps of tiny files, whatever the number of shuffle partitions.
     """
     path = new_folder(df.sparkSession, name)
-    if few:
-        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+    if rows is not None:
+        df = df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, rows // per_file))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -36,6 +36,8 @@ from .components import components
 
 WIDTH, SLOT_BITS, SLICES = 5, 20, 64
 SMALL, BLOCK = 64, 512
+#: Rows that a file of texts may hold, or of what comes from comparing texts.
+TEXTS_A_FILE = 5_000
 _TABLE = 1 << 16
 _SEED = 0xD1B54A32D192ED03
 _FACTORS = tokens.mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(_SEED)) | np.uint64(1)
@@ -296,21 +298,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     nodes = signed.where("node is not null").groupBy("node").agg(
         F.min("key").alias("key"), F.max("total").alias("total"), F.max("bands").alias("bands")
     )
-    nodes = keep(nodes, "nodes")
+    nodes = keep(nodes, "nodes", signed.count())
     banded = nodes.select("node", "total", F.posexplode("bands").alias("no", "value")).select(
         F.xxhash64("no", "value").alias("band"), "node", "total"
     )
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = keep(banded.join(shared, "band"), "members")
+    all_nodes = nodes.count()
+    members = keep(banded.join(shared, "band"), "members", bands * all_nodes)
+    all_members = members.count()
     wanted = members.select("node").distinct().join(nodes.select("node", "key"), "node")
-    texts = keep(_texts(plain, wanted), "texts")
+    texts = keep(_texts(plain, wanted), "texts", all_nodes, TEXTS_A_FILE)
 
     def links_among(pairs: DataFrame, name: str) -> DataFrame:
         close = pairs.select("a", "b").distinct()
         first = close.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         both = first.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         # rows in the order of a, as the join leaves them, let one vector serve many pairs
-        return keep(both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(idf, threshold), "a string, b string"), name)
+        return keep(both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(idf, threshold), "a string, b string"), name, all_members, TEXTS_A_FILE)
 
     near = F.least("total_a", "total_b") >= F.greatest("total_a", "total_b") * threshold * (1 - 1e-6)
 
@@ -326,7 +330,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
         pivots = placed.groupBy("band").agg(F.min(order).alias("p")).select("band", "p.node", "p.root", "p.total")
         found = links_among(pairs_of(pivots, placed, F.col("root_a") != F.col("root_b")), "links")
         links = found if links is None else links.unionByName(found)
-        placed = _unlinked(members, components(links))
+        placed = _unlinked(members, components(links), all_members)
     small = placed.where(F.col("n") <= SMALL)
     rest = links_among(pairs_of(small, small, F.col("root_a") < F.col("root_b")), "links")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -335,11 +339,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     )
     dealt = dealt.select("band", "node", "root", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     blocks = dealt.join(texts, "node").groupBy("band", "i", "j").applyInPandas(_block_links(idf, threshold), "a string, b string")
-    roots = components(links.unionByName(rest).unionByName(keep(blocks, "block-links", few=True)))
+    roots = components(links.unionByName(rest).unionByName(keep(blocks, "block-links")))
     classes = nodes.join(roots, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), F.col("key").alias("own")
     )
-    classes = keep(classes, "classes")
+    classes = keep(classes, "classes", all_nodes)
     smallest = classes.groupBy("root").agg(F.min("own").alias("best"))
     named = classes.join(smallest, "root").select("node", "best")
     met = signed.select("key", "node").join(named, "node", "left").withColumn("best", F.coalesce("best", "key"))
@@ -349,11 +353,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     )
 
 
-def _unlinked(members: DataFrame, roots: DataFrame) -> DataFrame:
+def _unlinked(members: DataFrame, roots: DataFrame, most: int) -> DataFrame:
     """The members of bands that are not yet linked throughout, with their ``root`` and the band's size ``n``."""
-    placed = keep(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    placed = keep(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed", most)
     apart = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low != high")
-    return keep(placed.join(apart.select("band", "n"), "band"), "unlinked")
+    return keep(placed.join(apart.select("band", "n"), "band"), "unlinked", most)
 
 
 def _texts(plain: DataFrame, wanted: DataFrame) -> DataFrame:
