@@ -21,7 +21,7 @@ from quoteflow.operators import align, dedup, ema, indicators, merge, quality, r
 from quoteflow.plans import bronze, gold, incremental, serving, silver, snapshot
 from quoteflow.session import shared_dir
 from quoteflow.sources import html, listing, nested, quotefiles, tables
-from quoteflow.streaming.dedup import dedup_into
+from quoteflow.streaming.dedup import dedup_into, dedup_within
 from quoteflow.streaming.ema import running_ema
 
 SINCE = dt.date(1999, 1, 1)
@@ -532,6 +532,29 @@ def dedup_events(spark, sf):
     return spark.read.parquet(f"{folder}/rows").drop("batch_id")
 
 
+def dedup_stream(spark, sf):
+    """Events of a month, a fifth of them a week late, in five files: one event of a user and type within seven days stays.
+
+    Every event comes out as kept, late or a repeat.
+    """
+    layer = f"stream_{uuid.uuid4().hex[:12]}"
+    events = fixtures.table(spark, sf, "events")
+    turn = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3)) + F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)
+    folder = f"{shared_dir(spark)}/{layer}"
+    for n in range(5):
+        events.filter(turn == n).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(events.schema).parquet(folder)
+        dedup_within(stream, f"{layer}.events", ["user_id", "event_type"], "ts").awaitTermination()
+    counts = spark.table(f"{layer}.events_counts")
+    if not counts.filter("rows != kept + repeats + late + undated").isEmpty():
+        raise AssertionError("events were lost")
+    kept = spark.table(f"{layer}.events").select("event_id", F.lit("kept").alias("fate"))
+    late = spark.table(f"{layer}.events_late").select("event_id", F.col("reason").alias("fate"))
+    dealt = kept.unionByName(late)
+    rest = events.select("event_id").join(dealt.select("event_id"), "event_id", "left_anti").withColumn("fate", F.lit("repeat"))
+    return dealt.unionByName(rest)
+
+
 # --- indicators and quality ---
 
 _NARROW = ["ISIN", "business_date", "hash_key", "closing_price", "pnl_percentage"]
@@ -596,6 +619,17 @@ def dq_row_counts(spark, sf):
     return _rounded(quality.row_count_alarms(fixtures.silver_table(spark, sf)), "expected_count")
 
 
+def dq_types(spark, sf):
+    """What the all-text quotes hold, column by column, with some prices and dates made unreadable and a column left empty."""
+    odd = F.col("TtlTradgVol") == "7"
+    raw = fixtures.bronze_quotes(spark, sf).withColumns({
+        "LastPric": F.when(odd, F.lit("n/a")).otherwise(F.col("LastPric")),
+        "TradDt": F.when(odd, F.date_format(F.col("TradDt").cast("date"), "dd-MM-yyyy")).otherwise(F.col("TradDt")),
+        "XpryDt": F.when(odd, F.lit("  ")),
+    })
+    return quality.type_profile(raw)
+
+
 def dq_findings(spark, sf):
     return quality.findings(fixtures.gold_table(spark, sf))
 
@@ -672,6 +706,7 @@ def quote_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "parquet_scan": parquet_scan,
         "ema_stream": ema_stream,
         "dedup_events": dedup_events,
+        "dedup_stream": dedup_stream,
         "sma": sma,
         "volatility": volatility,
         "price_change": price_change,
@@ -683,6 +718,7 @@ def quote_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dq_missing_dates": dq_missing_dates,
         "dq_row_counts": dq_row_counts,
         "dq_findings": dq_findings,
+        "dq_types": dq_types,
     }
 
 

@@ -84,6 +84,26 @@ ORDER BY CASE WHEN upper(stock_code) = '{text}' THEN 0
 LIMIT {limit}"""
 
 
+def _dedup_stream() -> str:
+    """Five batches one after the other, each looking at what those before it kept."""
+    parts = ["""
+WITH dealt AS (
+  SELECT *, least((day(ts) - 1) // 8, 3) + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS batch FROM events),
+marked AS (SELECT *, (SELECT max(h.ts) FROM dealt h WHERE h.batch < d.batch) - INTERVAL 7 DAY AS mark FROM dealt d),
+first AS (
+  SELECT * FROM marked WHERE mark IS NULL OR ts >= mark
+  QUALIFY row_number() OVER (PARTITION BY batch, user_id, event_type ORDER BY ts, event_id) = 1),
+kept0 AS (SELECT * FROM first WHERE batch = 0)"""]
+    for n in range(1, 5):
+        parts.append(f"""kept{n} AS (
+  SELECT * FROM kept{n - 1} UNION ALL
+  SELECT * FROM first f WHERE batch = {n} AND NOT EXISTS (
+    SELECT 1 FROM kept{n - 1} k WHERE k.user_id = f.user_id AND k.event_type = f.event_type AND k.ts >= f.mark))""")
+    return ",\n".join(parts) + """
+SELECT event_id, CASE WHEN event_id IN (SELECT event_id FROM kept4) THEN 'kept' WHEN ts < mark THEN 'late' ELSE 'repeat' END AS fate
+FROM marked"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "dedup_quotes": _UNIQUE_WITH + """
@@ -349,6 +369,20 @@ SELECT event_id, user_id, value,
        list_reduce(list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING),
                    lambda a, v: 0.25::DOUBLE * v + 0.75::DOUBLE * a) AS ema_7
 FROM events""",
+        "dq_types": _BRONZE_WITH + """,
+n AS (SELECT count(*) AS every, count(*) FILTER (volume <> 7) AS even FROM bronze),
+kinds AS (
+  SELECT unnest(['TradDt', 'BizDt', 'Src', 'ISIN', 'TckrSymb', 'SctySrs', 'FinInstrmNm', 'OpnPric', 'HghPric', 'LwPric', 'ClsPric', 'LastPric',
+                 'PrvsClsgPric', 'TtlTradgVol', 'TtlTrfVal', 'TtlNbOfTxsExctd', 'XpryDt']) AS column_name,
+         unnest(['odd date', 'date', 'text', 'text', 'text', 'text', 'text', 'double', 'double', 'double', 'double', 'odd double',
+                 'double', 'long', 'double', 'long', 'none']) AS kind)
+SELECT column_name, CASE WHEN kind = 'none' THEN 0 ELSE every END AS filled,
+       CASE WHEN kind = 'long' THEN every ELSE 0 END AS as_bigint,
+       CASE kind WHEN 'long' THEN every WHEN 'double' THEN every WHEN 'odd double' THEN even ELSE 0 END AS as_double,
+       CASE kind WHEN 'date' THEN every WHEN 'odd date' THEN even ELSE 0 END AS as_date,
+       CASE kind WHEN 'long' THEN 'bigint' WHEN 'none' THEN 'void' WHEN 'double' THEN 'double' WHEN 'date' THEN 'date' ELSE 'string' END AS narrowest
+FROM kinds, n""",
+        "dedup_stream": _dedup_stream(),
         "dedup_events": "SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events",
         "sma": _SILVER_WITH + f"""
 SELECT k AS hash_key,

@@ -76,6 +76,58 @@ def findings(df: DataFrame, keys: Sequence[str] = ("ISIN", "business_date")) ->
     return first
 
 
+#: What a text may be read as, from the narrowest kind to the widest; every ``bigint`` is a ``double``, and any text is a ``string``.
+_INTEGER, _DECIMAL, _DAY = r"^[+-]?[0-9]{1,18}$", r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]{1,3})?$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+
+
+def _reads_as(text: Column) -> dict[str, Column]:
+    trimmed = F.btrim(text)
+    return {
+        "bigint": trimmed.rlike(_INTEGER),
+        "double": trimmed.rlike(_DECIMAL),
+        "date": trimmed.rlike(_DAY) & trimmed.try_cast("date").isNotNull(),
+    }
+
+
+def type_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """What the text columns hold: ``(column_name, filled, as_bigint, as_double, as_date, narrowest)``, in one pass over the rows.
+
+    ``filled`` counts values that are neither null nor blank, ``as_…`` those of them that read as such a value. ``narrowest`` is the narrowest type that holds
+    all of them: ``bigint``, else ``double``, else ``date``, else ``string``; ``void`` for a column without any.
+    """
+    names = list(columns) if columns is not None else [c for c, kind in df.dtypes if kind == "string"]
+    counts = []
+    for name in names:
+        text = F.col(f"`{name}`")
+        counts.append(
+            F.struct(
+                F.lit(name).alias("column_name"), F.count_if(F.btrim(text) != "").alias("filled"),
+                *[F.count_if(test).alias(f"as_{kind}") for kind, test in _reads_as(text).items()],
+            )
+        )
+    if not names:
+        return df.sparkSession.createDataFrame([], "column_name string, filled bigint, as_bigint bigint, as_double bigint, as_date bigint, narrowest string")
+    profile = df.agg(F.array(*counts).alias("profile")).select(F.inline("profile"))
+    narrowest = F.when(F.col("filled") == 0, "void")
+    for kind in ("bigint", "double", "date"):
+        narrowest = narrowest.when(F.col(f"as_{kind}") == F.col("filled"), kind)
+    return profile.withColumn("narrowest", narrowest.otherwise("string"))
+
+
+def type_misfits(df: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """Text columns against the types they are to get: ``(column_name, expected, filled, misfits, narrowest)``.
+
+    ``expected`` names a type of ``type_profile`` for each column; columns that ``df`` lacks or that are no text any more are left out.
+    """
+    held = dict(df.dtypes)
+    wanted = {c: kind for c, kind in expected.items() if held.get(c) == "string" and kind in ("bigint", "double", "date")}
+    profile = type_profile(df, list(wanted))
+    kinds = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair]) if wanted else F.lit(None).cast("map<string,string>")
+    fits = F.coalesce(*[F.when(F.col("expected") == kind, F.col(f"as_{kind}")) for kind in ("bigint", "double", "date")])
+    named = profile.withColumn("expected", F.element_at(kinds, F.col("column_name")))
+    return named.select("column_name", "expected", "filled", (F.col("filled") - fits).alias("misfits"), "narrowest")
+
+
 def missing_dates(df: DataFrame, key: str = "ISIN", date: str = "business_date") -> DataFrame:
     """Market days a security has no row for, as runs between its rows, before its first and after its last.
 

@@ -13,6 +13,7 @@ from ..audit import counted, measured
 from ..control import get_watermark, put_watermark
 from ..functions import daily_return, row_hash
 from ..operators.merge import new_rows_by_hash, split_rejects
+from ..operators.quality import type_misfits
 from ..schema import EQUITY_SERIES, HASH_COLUMNS, SILVER_COLUMNS, SILVER_SCHEMA
 from ..sources.tables import append, ensure_table, read_since, read_table
 from .bronze import append_rejects, mark_seen, unseen_commits
@@ -85,7 +86,7 @@ def not_loaded(aside: DataFrame, held: DataFrame, watermark: dt.date | None) ->
 
 def load_silver(
     spark: SparkSession, bronze: str, table: str, control: str, reprocess_dates: Iterable[dt.date] = (),
-    rejects: str | None = None,
+    rejects: str | None = None, type_log: str | None = None,
 ) -> dict:
     """Raw rows after the watermark into the silver table, then the new watermark.
 
@@ -96,6 +97,8 @@ def load_silver(
 
     Where the raw table has a log of its commits (``bronze.log_commit``), only the dates of commits not seen before are read, and those
     of ``reprocess_dates``; whenever a commit was stamped, it is looked at once.  Without a log, all dates are.
+
+    With ``type_log``, a table, it gets a row per typed column of the batch: how many of its texts do not read as the type, and become null.
     """
     layer, name = table.split(".")
     watermark = get_watermark(spark, control, layer, name)
@@ -117,6 +120,9 @@ def load_silver(
     left_out = {r["reason"]: r["n"] for r in aside.groupBy("reason").agg(F.count("*").alias("n")).collect()}
     if left_out:
         append_rejects(aside, rejects or f"{table}_rejected")
+    if type_log:
+        found = type_misfits(batch, {raw: kind.simpleString() for raw, (_, kind) in SILVER_COLUMNS.items()})
+        append(found.withColumn("checked_at", F.current_timestamp()), type_log)
     silver, _ = split_rejects(to_silver(batch), ["ISIN", "business_date"])
     read, last = silver.agg(F.count(F.lit(1)), F.max("business_date")).first()
     # rows of the batch lie after the watermark, so older partitions cannot hold them

@@ -13,7 +13,7 @@ from quoteflow.plans.bronze import append_bronze, file_outcomes
 from quoteflow.plans.daily import Tables, run_daily
 from quoteflow.plans.gold import build_ema
 from quoteflow.schema import CONTROL_SCHEMA
-from quoteflow.streaming.dedup import dedup_into, dedup_stream
+from quoteflow.streaming.dedup import dedup_into, dedup_stream, dedup_within
 from quoteflow.streaming.ema import running_ema
 from quoteflow.streaming.ingest import ingest_files
 
@@ -261,9 +261,58 @@ def test_stream_dedup_into_a_folder_keeps_late_keys(spark, tmp_path):
     assert set(got) == {row for rows in batches for row in rows}
 
 
+def test_stream_dedup_within_seven_days_loses_none(spark, database, tmp_path, monkeypatch):
+    """Rows behind the watermark and rows without a time go aside; a batch that breaks off is done again without a trace."""
+    from quoteflow.streaming import dedup as module
+
+    source, table = str(tmp_path / "in"), f"{database('d')}.events"
+    t = lambda day, hour=0: dt.datetime(2026, 9, day, hour)
+    batches = [
+        [("a", t(1), 1.0, 1), ("a", t(1, 5), 1.0, 2), ("b", t(2), 1.0, 3), ("n", None, 1.0, 4)],
+        [("a", t(7), 1.0, 5), ("c", t(10), 1.0, 6), ("b", t(12), 1.0, 7)],
+        [("a", t(4), 1.0, 8), ("b", t(5), 1.0, 9), ("d", t(6), 1.0, 10), ("c", t(9), 1.0, 11), (None, t(12), 1.0, 12)],
+        [(None, t(13), 1.0, 13), ("a", t(14), 1.0, 14), ("a", t(20), 1.0, 15)],
+    ]
+    for n, rows in enumerate(batches):
+        stream = feed(spark, source, rows)
+        if n == 2:
+            write = module.overwrite_partitions
+            monkeypatch.setattr(module, "overwrite_partitions", lambda df, name, *a: 1 / 0 if name.endswith("_counts") else write(df, name, *a))
+            with pytest.raises(Exception):
+                dedup_within(stream, table, ["k"], "t").awaitTermination()
+            monkeypatch.setattr(module, "overwrite_partitions", write)
+            stream = spark.readStream.schema("k string, t timestamp, v double, i bigint").option("maxFilesPerTrigger", 1).parquet(source)
+        dedup_within(stream, table, ["k"], "t").awaitTermination()
+    assert sorted(r["i"] for r in spark.table(table).collect()) == [1, 3, 6, 9, 10, 12, 14]
+    assert values(spark.table(f"{table}_late"), "i", "reason") == [(4, "undated"), (8, "late")]
+    counts = spark.table(f"{table}_counts").orderBy("_batch").collect()
+    assert [(r["rows"], r["kept"], r["repeats"], r["late"], r["undated"]) for r in counts] == [
+        (4, 2, 1, 0, 1), (3, 1, 2, 0, 0), (5, 3, 1, 1, 0), (3, 1, 2, 0, 0)]
+
+
 # --- quality ---
 
 
+def test_type_profile(spark, database):
+    from quoteflow.plans.silver import load_silver
+
+    df = spark.createDataFrame(
+        [("1", " 2.5 ", "2026-09-01", "x", None, "1"), ("-7", "1e3", "2026-02-30", "", " ", "9" * 19), (None, ".5", None, "1", None, "2.")],
+        "a string, b string, c string, `d.e` string, f string, g string")
+    assert values(quality.type_profile(df), "column_name", "filled", "as_bigint", "as_double", "as_date", "narrowest") == [
+        ("a", 2, 2, 2, 0, "bigint"), ("b", 3, 0, 3, 0, "double"), ("c", 2, 0, 0, 1, "string"), ("d.e", 2, 1, 1, 0, "string"),
+        ("f", 0, 0, 0, 0, "void"), ("g", 3, 1, 3, 0, "double")]
+    assert quality.type_profile(df.limit(0)).filter("narrowest = 'void'").count() == 6
+    assert values(quality.type_misfits(df, {"a": "bigint", "c": "date", "d.e": "double", "absent": "date", "b": "timestamp"}), "column_name", "misfits") == [
+        ("a", 0), ("c", 1), ("d.e", 1)]
+
+    raw, table = f"{database('t')}.raw", f"{database('t')}.quotes"
+    append_bronze(raw_quotes(spark, ("A", str(DATES[0]), "EQ", "5"), ("B", str(DATES[0]), "EQ", "five")), raw)
+    load_silver(spark, raw, table, f"{database('t')}.state", type_log=f"{table}_types")
+    assert values(spark.table(f"{table}_types").filter("misfits > 0"), "column_name", "expected", "filled", "misfits", "narrowest") == [
+        ("TtlTrfVal", "double", 2, 1, "string")]
+
+
 def test_quality_checks(spark):
     df = spark.createDataFrame(
         [("A", DATES[0], "a", "n", 1.0, 2.0, 1.0, 1.5), ("A", DATES[0], "a", " ", 1.0, 1.0, 2.0, 1.5),
