@@ -43,7 +43,10 @@ def bounds(queries: np.ndarray, candidates: np.ndarray) -> tuple[np.ndarray, np.
     error = q_norm[:, None] * c_error[None, :] + q_error[:, None] * c_norm[None, :]
     # for the rounding of this arithmetic itself
     error += 1e-12 * (np.abs(queries).sum(axis=1)[:, None] * np.abs(candidates).max(axis=1)[None, :])
-    return middle - error, middle + error
+    low, high = middle - error, middle + error
+    # a product beyond the range of doubles is bounded by nothing
+    low[np.isnan(low)], high[np.isnan(high)] = -np.inf, np.inf
+    return low, high
 
 
 def exact(query: np.ndarray, candidates: np.ndarray) -> np.ndarray:

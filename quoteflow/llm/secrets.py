@@ -24,7 +24,8 @@ from . import trees
 from .common import keep, most_frequent, sample_texts
 from .hidden_markov import _count
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z_+/\-]*\d)[A-Za-z0-9][A-Za-z0-9_+/\-]{11,}={0,2}")
+_RUN = re.compile(r"([A-Za-z0-9_+/\-]{12,})={0,2}")
+_LETTER, _DIGIT = re.compile("[A-Za-z0-9]"), re.compile(r"\d")
 #: Names that secrets are assigned to, and words beside what only looks like one.
 NAMES = frozenset("password passwd pwd secret token key apikey api_key access_key auth bearer credential private signature".split())
 OTHERS = frozenset("http https www md5 sha1 sha256 commit uuid id card phone tel iban isbn order invoice example test sample digest checksum version".split())
@@ -46,6 +47,18 @@ _REACH = 60
 DICTIONARY, PER_CLASS, FEATURES = 20_000, 10_000, 19
 
 
+def runs(text: str) -> list[tuple[int, int]]:
+    """Spans of runs with a digit, from their first letter or digit on, up to two ``=`` included.  Every character is looked at a fixed number of times."""
+    out = []
+    for m in _RUN.finditer(text):
+        end = m.end(1)
+        first = _LETTER.search(text, m.start(), end)
+        # a digit right behind the run counts as one in it
+        if first and end - first.start() >= 12 and _DIGIT.search(text, first.start(), end + 1):
+            out.append((first.start(), m.end()))
+    return out
+
+
 def assigned(text: str) -> list[tuple[int, int]]:
     """Spans of what follows a secret's name and ``=`` or ``:``."""
     spans, last = [], 0
@@ -65,7 +78,8 @@ def assigned(text: str) -> list[tuple[int, int]]:
 def candidates(text: str | None) -> list[tuple[int, int]]:
     """Spans of all candidates of a whole text, in order; those within one that is surely a secret are left out."""
     text = text or ""
-    spans = {m.span() for pattern in (CANDIDATE, _FORMATS, _BLOCK) for m in pattern.finditer(text)}
+    spans = {m.span() for pattern in (_FORMATS, _BLOCK) for m in pattern.finditer(text)}
+    spans.update(runs(text))
     spans.update(m.span(1) for m in _LOGIN.finditer(text))
     spans.update(assigned(text))
     out, sure = [], 0
@@ -100,7 +114,7 @@ def known_label(text: str, start: int, end: int) -> int | None:
         sign, quote = met.groups()
         digit, letter = any(c.isdigit() for c in value), any(c.isalpha() for c in value)
         # a bare word or number may be prose or code
-        return 1 if quote or CANDIDATE.fullmatch(value) or digit and (letter or sign == "=") else None
+        return 1 if quote or runs(value) == [(0, len(value))] or digit and (letter or sign == "=") else None
     if _GIVEN.search(before):
         return None
     if value.isdigit() or _ADDRESS.search(before) or not re.search("[A-Za-z]", value.replace("-", "")):
