@@ -25,6 +25,8 @@ from .common import held_out, keep, most_frequent
 
 #: Words known to every task, the longest of them in bytes, positions worked on at once, and the longest training sequence.
 DICTIONARY, LONGEST, POSITIONS, SEQUENCE = 1 << 17, 64, 300_000, 1 << 16
+#: Numbers of a state's table that one task adds up over all partitions.
+SLICE = 2048
 
 
 def words(text: str | None) -> list[bytes]:
@@ -180,34 +182,40 @@ def _expectation(model: Model):
             sums = list(found) if sums is None else [a + b for a, b in zip(sums, found)]
         if sums:
             start, move, emit, likelihood = sums
-            states = len(start)
-            tables = [np.concatenate([[start[k]], move[k], emit[k], [likelihood if not k else 0.0]]).tobytes() for k in range(states)]
+            tables = [np.concatenate([[start[k]], move[k], emit[k], [likelihood if not k else 0.0]]) for k in range(len(start))]
+            # a state's table goes in slices, so that as many tasks add up as there are slices
+            slices = [(k, at // SLICE, table[at : at + SLICE].tobytes()) for k, table in enumerate(tables) for at in range(0, len(table), SLICE)]
+            state, piece, data = zip(*slices)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(states), pa.int32()), pa.array([TaskContext.get().partitionId()] * states, pa.int32()), pa.array(tables, pa.binary())],
-                names=["state", "part", "sums"])
+                [pa.array(state, pa.int32()), pa.array(piece, pa.int32()), pa.array([TaskContext.get().partitionId()] * len(slices), pa.int32()), pa.array(data, pa.binary())],
+                names=["state", "slice", "part", "sums"])
 
     return run
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
+    sums: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
-        for state, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-            sums[state] = sums.get(state, 0.0) + np.frombuffer(data)
+        for state, piece, data in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3))):
+            sums[state, piece] = sums.get((state, piece), 0.0) + np.frombuffer(data)
     if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["state", "sums"])
+        state, piece = zip(*sums)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(state, pa.int32()), pa.array(piece, pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["state", "slice", "sums"])
 
 
 def baum_welch(training: DataFrame, model: Model, rounds: int) -> tuple[Model, list[float]]:
     """The model after ``rounds`` over all of ``training`` (a column of symbols), and the log likelihood before each round."""
     states, history = len(model.start), []
     for _ in range(rounds):
-        partial = training.mapInArrow(_expectation(model), "state int, part int, sums binary")
+        partial = training.mapInArrow(_expectation(model), "state int, slice int, part int, sums binary")
+        tasks = states * -(-(len(model.emit) + states + 2) // SLICE)
         # in the order of the partitions, so that the sums are the same in every run
-        added = partial.repartition(states, "state").sortWithinPartitions("state", "part").mapInArrow(_add, "state int, sums binary").collect()
+        dealt = partial.repartition(tasks, "state", "slice").sortWithinPartitions("state", "slice", "part")
+        added = sorted(dealt.mapInArrow(_add, "state int, slice int, sums binary").collect(), key=lambda r: (r["state"], r["slice"]))
         if not added:
             return model, history
-        table = np.stack([np.frombuffer(r["sums"]) for r in sorted(added, key=lambda r: r["state"])])
+        table = np.concatenate([np.frombuffer(r["sums"]) for r in added]).reshape(states, -1)
         start, move, emit = table[:, 0] + 1e-3, table[:, 1 : states + 1] + 1e-3, table[:, states + 1 : -1] + 1e-2
         history.append(float(table[:, -1].sum()))
         model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), np.ascontiguousarray((emit / emit.sum(axis=1, keepdims=True)).T))
