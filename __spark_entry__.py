@@ -18,7 +18,7 @@ import oracles
 from quoteflow import audit, control, fixtures
 from quoteflow.functions import daily_return, row_hash
 from quoteflow.operators import align, dedup, ema, indicators, merge, quality, returns
-from quoteflow.plans import bronze, gold, incremental, serving, silver, snapshot
+from quoteflow.plans import bronze, gold, incremental, market, names, serving, silver, snapshot
 from quoteflow.session import shared_dir
 from quoteflow.sources import html, listing, nested, quotefiles, tables
 from quoteflow.streaming.dedup import dedup_into, dedup_within
@@ -315,6 +315,19 @@ def search(spark, sf):
     return _rounded(serving.search(fixtures.gold_table(spark, sf), "Red g", 100), "avg_pnl_percentage")
 
 
+def search_indexed(spark, sf):
+    """The same search, on the rows that the index of names finds."""
+    table = fixtures.gold_table(spark, sf)
+    index = fixtures.stored(names.name_index(table, "stock_name").repartitionByRange("gram", "name"), "names", "gram")
+    return _rounded(names.search_indexed(table, index, "Red g", 100), "avg_pnl_percentage")
+
+
+def suggest_indexed(spark, sf):
+    catalog = fixtures.catalog_table(spark, sf)
+    index = fixtures.stored(names.name_index(catalog, "stock_code", "stock_name"), "names", "gram")
+    return names.suggest_indexed(catalog, index, "hot rod", 50)
+
+
 def latest(spark, sf):
     return _rounded(serving.latest(fixtures.gold_table(spark, sf), _spellings(spark, sf)), "avg_pnl_percentage")
 
@@ -377,6 +390,21 @@ def overview(spark, sf):
     )
 
 
+def overview_from_states(spark, sf):
+    """The overview from states by date, those to 1998 and those after made apart; the sketch of codes comes within its error of their number."""
+    table, catalog = fixtures.gold_table(spark, sf), fixtures.catalog_table(spark, sf)
+    early = F.col("business_date") <= F.lit(SINCE)
+    states = [fixtures.stored(market.market_states(table.filter(part)), "market") for part in (early, ~early)]
+    states = states[0].unionByName(states[1])
+    estimate = market.market_totals(states).select("tracked_stocks").scalar()
+    record = market.overview_from_states(table, states, catalog)
+    total = ["latest_business_date", "tracked_stocks", micro("average_pnl_percentage"), (F.abs(estimate / F.col("tracked_stocks") - 1) < 0.05).alias("sketch_is_close")]
+    sides = [record.select(*total, F.lit(side).alias("side"), F.posexplode(side).alias("position", "row")) for side in ("gainers", "losers")]
+    return sides[0].unionByName(sides[1]).select(
+        "latest_business_date", "tracked_stocks", "average_pnl_percentage", "sketch_is_close", "side", "position", F.col("row.stock_code").alias("stock_code")
+    )
+
+
 def latest_date(spark, sf):
     return serving.latest_date(fixtures.gold_table(spark, sf))
 
@@ -681,6 +709,8 @@ def quote_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "suggest": suggest,
         "suggest_by_name": suggest_by_name,
         "search": search,
+        "search_indexed": search_indexed,
+        "suggest_indexed": suggest_indexed,
         "latest": latest,
         "history": history,
         "indicators": indicators_of,
@@ -690,6 +720,7 @@ def quote_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "gainers_of_the_day": gainers_of_the_day,
         "daily_rollup": daily_rollup,
         "overview": overview,
+        "overview_from_states": overview_from_states,
         "latest_date": latest_date,
         "tracked_stocks": tracked_stocks,
         "market_average": market_average,

@@ -263,6 +263,12 @@ newest AS (
   SELECT DISTINCT ON (code) * FROM gold WHERE upper(coalesce(name, '')) LIKE '%RED G%'
   ORDER BY code, d DESC NULLS FIRST, k)
 SELECT {_SUMMARY} FROM newest ORDER BY code NULLS LAST LIMIT 100""",
+        "search_indexed": _GOLD_WITH + f""",
+newest AS (
+  SELECT DISTINCT ON (code) * FROM gold WHERE upper(coalesce(name, '')) LIKE '%RED G%'
+  ORDER BY code, d DESC NULLS FIRST, k)
+SELECT {_SUMMARY} FROM newest ORDER BY code NULLS LAST LIMIT 100""",
+        "suggest_indexed": _suggest("HOT ROD", 20),
         "latest": _GOLD_WITH + f"""
 SELECT {_SUMMARY} FROM gold WHERE upper(code) = upper('rod193') ORDER BY d DESC NULLS FIRST, k LIMIT 1""",
         "history": _GOLD_WITH + """
@@ -300,6 +306,17 @@ SELECT (SELECT max(d) FROM gold) AS latest_business_date,
        (SELECT count(DISTINCT code) FROM gold) AS tracked_stocks,
        (SELECT {_micro('coalesce(avg(pnl), 0)')} FROM gold) AS average_pnl_percentage,
        side, CAST(pos AS INTEGER) AS position, code AS stock_code
+FROM ranked WHERE pos < 5""",
+        "overview_from_states": _GOLD_WITH + f""",
+last_day AS (SELECT * FROM gold WHERE d = (SELECT max(d) FROM gold) AND m IS NOT NULL),
+ranked AS (
+  SELECT 'gainers' AS side, row_number() OVER (ORDER BY m DESC, code, isin) - 1 AS pos, code FROM last_day
+  UNION ALL
+  SELECT 'losers', row_number() OVER (ORDER BY m, code, isin) - 1, code FROM last_day)
+SELECT (SELECT max(d) FROM gold) AS latest_business_date,
+       (SELECT count(DISTINCT code) FROM gold) AS tracked_stocks,
+       (SELECT {_micro('coalesce(avg(pnl), 0)')} FROM gold) AS average_pnl_percentage, true AS sketch_is_close,
+       side, CAST(pos AS INTEGER) AS position, code AS stock_code
 FROM ranked WHERE pos < 5""",
         "latest_date": _SILVER_WITH + " SELECT max(d) AS latest_business_date FROM silver",
         "tracked_stocks": _SILVER_WITH + " SELECT count(DISTINCT code) AS tracked_stocks FROM silver",
