@@ -11,6 +11,8 @@ import datetime as dt
 import logging
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,8 +179,9 @@ def history(
     return _prices(gold, stock_code, start, end, limit, max_limit).select(PRICES)
 
 
-def _averages(gold: DataFrame, stock_code: str | Sequence[str], limit: int, ema: DataFrame | None, average: str) -> DataFrame:
-    newest = _prices(gold, stock_code, None, None, limit)
+def _averages(gold: DataFrame, stock_code: str | Sequence[str], limit: int, ema: DataFrame | None, average: str,
+              max_limit: int | None = MAX_LIMIT) -> DataFrame:
+    newest = _prices(gold, stock_code, None, None, limit, max_limit)
     if ema is None:
         return newest
     newest = newest.select("business_date", "closing_price", "hash_key")
@@ -187,7 +190,8 @@ def _averages(gold: DataFrame, stock_code: str | Sequence[str], limit: int, ema:
 
 
 def indicators(
-    gold: DataFrame, stock_code: str | Sequence[str], limit: int = DEFAULT_LIMIT, ema: DataFrame | None = None, period: int = 7
+    gold: DataFrame, stock_code: str | Sequence[str], limit: int = DEFAULT_LIMIT, ema: DataFrame | None = None, period: int = 7,
+    max_limit: int | None = MAX_LIMIT,
 ) -> DataFrame:
     """Newest closes of one code with their moving average.
 
@@ -196,7 +200,7 @@ def indicators(
     their hashes meet it.
     """
     average = ema_column(period)
-    return _averages(gold, stock_code, limit, ema, average).select("business_date", "closing_price", average)
+    return _averages(gold, stock_code, limit, ema, average, max_limit).select("business_date", "closing_price", average)
 
 
 def _as_array(rows: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -214,11 +218,12 @@ def details(
     end: dt.date | None = None,
     limit: int = DEFAULT_LIMIT,
     ema: DataFrame | None = None,
+    max_limit: int | None = MAX_LIMIT,
 ) -> DataFrame:
     """One row: latest summary, price history and indicators of one code; no row when it is unknown."""
     average = ema_column(7)
-    prices = _as_array(_prices(gold, stock_code, start, end, limit), PRICES)
-    averages = _as_array(_averages(gold, stock_code, limit, ema, average), ["business_date", "closing_price", average])
+    prices = _as_array(_prices(gold, stock_code, start, end, limit, max_limit), PRICES)
+    averages = _as_array(_averages(gold, stock_code, limit, ema, average, max_limit), ["business_date", "closing_price", average])
     return latest(gold, stock_code).select(
         F.struct(*SUMMARY).alias("latest"),
         prices.scalar().alias("history"),
@@ -268,12 +273,12 @@ def movers(
     return ranked.select(SUMMARY).orderBy(order, "stock_code", "isin").limit(bounded_limit(limit, max_limit))
 
 
-def gainers(gold: DataFrame, limit: int = DEFAULT_LIMIT, by: str = "avg_pnl_percentage") -> DataFrame:
-    return movers(gold, True, limit, by)
+def gainers(gold: DataFrame, limit: int = DEFAULT_LIMIT, by: str = "avg_pnl_percentage", max_limit: int | None = MAX_LIMIT) -> DataFrame:
+    return movers(gold, True, limit, by, max_limit)
 
 
-def losers(gold: DataFrame, limit: int = DEFAULT_LIMIT, by: str = "avg_pnl_percentage") -> DataFrame:
-    return movers(gold, False, limit, by)
+def losers(gold: DataFrame, limit: int = DEFAULT_LIMIT, by: str = "avg_pnl_percentage", max_limit: int | None = MAX_LIMIT) -> DataFrame:
+    return movers(gold, False, limit, by, max_limit)
 
 
 def _ranked_array(rows: DataFrame, gainers: bool) -> DataFrame:
@@ -298,12 +303,12 @@ def overview(gold: DataFrame, top: int = OVERVIEW_MOVERS) -> DataFrame:
 def status(spark: SparkSession, table: str) -> DataFrame:
     """One row: catalog reachable, serving table there, its last date.
 
-    An unreachable catalog gives (false, false, null) instead of an error.
+    An unreachable catalog gives (false, false, null) instead of an error; errors of the query itself are raised.
     """
     schema = "database_reachable boolean, gold_table_available boolean, latest_business_date date"
     try:
         available = table_exists(spark, table)
-    except Exception:  # any catalog failure means the same here
+    except (ConnectionError, Py4JError, PySparkException):
         return spark.createDataFrame([(False, False, None)], schema)
     if not available:
         return spark.createDataFrame([(True, False, None)], schema)

@@ -9,13 +9,6 @@ from pyspark.sql import types as T
 
 # --- Fixed values: the exchange's daily file format and the table contracts ---
 
-RAW_COLUMNS = [
-    "TradDt", "BizDt", "Sgmt", "Src", "FinInstrmTp", "FinInstrmId", "ISIN", "TckrSymb", "SctySrs", "XpryDt",
-    "FininstrmActlXpryDt", "StrkPric", "OptnTp", "FinInstrmNm", "OpnPric", "HghPric", "LwPric", "ClsPric",
-    "LastPric", "PrvsClsgPric", "UndrlygPric", "SttlmPric", "OpnIntrst", "ChngInOpnIntrst", "TtlTradgVol",
-    "TtlTrfVal", "TtlNbOfTxsExctd", "SsnId", "NewBrdLotQty", "Rmks", "Rsvd1", "Rsvd2", "Rsvd3", "Rsvd4",
-]
-
 # raw name -> (silver name, silver type); every raw column not listed is dropped in silver
 SILVER_COLUMNS = {
     "TradDt": ("trading_date", T.DateType()),
@@ -51,9 +44,6 @@ SILVER_SCHEMA = T.StructType(
         T.StructField("pnl_percentage", T.DoubleType()),
     ]
 )
-EMA_SCHEMA = T.StructType(
-    [T.StructField("hash_key", T.StringType()), T.StructField("ema_7", T.DoubleType())]
-)
 GOLD_SCHEMA = T.StructType(
     [
         T.StructField(GOLD_RENAMES.get(f.name, f.name), f.dataType)

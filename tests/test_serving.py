@@ -219,3 +219,23 @@ def test_views(spark, table):
     assert spark.sql("select count(*) from v_top_gainers").first()[0] == 3
     assert spark.sql("select tracked_stocks from v_market_overview").first()[0] == 5
     assert values(spark.table("v_stock_technical_indicators").filter("isin = 'I2'"), "ema_7") == [(9.0,)]
+
+
+def test_every_limit_can_be_raised(spark):
+    rows = [dict(stock_code=f"C{n}", stock_name="n", ISIN=f"I{n}", business_date=day(0), closing_price=1.0, pnl_percentage=float(n), avg_pnl_percentage=float(n), ema_7=1.0) for n in range(130)]
+    many = gold(spark, *rows)
+    assert serving.gainers(many, 130).count() == serving.MAX_LIMIT < serving.gainers(many, 130, max_limit=None).count() == 130
+    assert serving.losers(many, 130, max_limit=120).count() == 120
+    one = gold(spark, *[{**r, "stock_code": "C", "business_date": day(n)} for n, r in enumerate(rows)])
+    assert serving.indicators(one, "C", 130).count() == serving.MAX_LIMIT and serving.indicators(one, "C", 130, max_limit=None).count() == 130
+    assert len(serving.details(one, "C", limit=130, max_limit=None).first()["history"]) == 130
+
+
+def test_status_raises_errors_of_its_own(spark):
+    class Wrong:
+        @property
+        def catalog(self):
+            raise TypeError
+
+    with pytest.raises(TypeError):
+        serving.status(Wrong(), "x")
