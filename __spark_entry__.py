@@ -10,7 +10,7 @@ import datetime as dt
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ import oracles
 from quoteflow import audit, control, fixtures
 from quoteflow.functions import daily_return, row_hash
 from quoteflow.operators import align, dedup, ema, indicators, merge, quality, returns
-from quoteflow.plans import bronze, gold, incremental, market, names, serving, silver, snapshot
+from quoteflow.plans import bronze, daily, gold, incremental, market, names, serving, silver, snapshot
 from quoteflow.session import shared_dir
 from quoteflow.sources import html, listing, nested, quotefiles, tables
 from quoteflow.streaming.dedup import dedup_into, dedup_within
@@ -159,6 +159,32 @@ def late_reprocess(spark, sf):
     return _rounded(loaded, "avg_pnl_percentage", "ema_7")
 
 
+def load_daily(spark, sf):
+    """The whole daily load from landed archives to gold and checks, twice: what its run log says, and the dates it loaded up to.
+
+    The second run finds nothing new.  Quotes are dated by month.
+    """
+    layer = f"daily_{uuid.uuid4().hex[:12]}"
+    landing = f"{shared_dir(spark)}/landing_{uuid.uuid4().hex}"
+    fixtures.land_dated(fixtures.bronze_quotes(spark, sf).withColumn("BizDt", F.trunc("BizDt", "month").cast("string")), landing)
+    own = daily.Tables(**{f: f"{layer}.{f}" for f in daily.Tables.__dataclass_fields__})
+    for _ in range(2):
+        daily.run_daily(spark, landing, own, incremental=True)
+    runs = spark.table(own.runs)
+    turn = F.dense_rank().over(Window.orderBy("run_id")).cast("int")
+    steps = runs.withColumn("run", turn).select("run", "step", "status", F.coalesce("rows_written", F.lit(0)).alias("rows_written"))
+    marks = control.watermarks(spark, own.control).select(
+        F.lit(0).alias("run"), F.concat("table_layer", F.lit("."), "table_name").alias("step"), F.col("ingest_partition").cast("string").alias("status"), F.lit(0).cast("long").alias("rows_written")
+    )
+    return steps.unionByName(marks.withColumn("step", F.regexp_replace("step", r"^.*[.]", "up to: ")))
+
+
+def reporting_views(spark, sf):
+    """The rows of every reporting view."""
+    views = serving.create_views(fixtures.gold_table(spark, sf), "report_")
+    return audit.row_counts(**{name.removeprefix("report_"): spark.table(name) for name in views})
+
+
 def align_schema(spark, sf):
     lines = fixtures.table(spark, sf, "lineitem")
     text = lines.select(
@@ -689,6 +715,8 @@ def quote_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "load_touched": load_touched,
         "load_gold": load_gold,
         "late_reprocess": late_reprocess,
+        "load_daily": load_daily,
+        "reporting_views": reporting_views,
         "align_schema": align_schema,
         "union_batches": union_batches,
         "anti_join_new_rows": anti_join_new_rows,

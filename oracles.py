@@ -170,6 +170,23 @@ silver AS (
 SELECT isin AS ISIN, code AS stock_code, d AS business_date, series AS security_series, gold.c AS closing_price,
        turnover AS total_turnover_value, k AS hash_key, pnl AS pnl_percentage, {_micro('m')} AS avg_pnl_percentage, {_micro('ema_7')} AS ema_7
 FROM gold LEFT JOIN (SELECT k, e AS ema_7 FROM series) USING (k)""",
+        "load_daily": _BRONZE_WITH + """,
+raw AS (
+  SELECT isin, date_trunc('month', d)::DATE AS month, series FROM bronze
+  QUALIFY row_number() OVER (PARTITION BY isin, month ORDER BY CASE series WHEN 'EQ' THEN 0 WHEN 'SM' THEN 1 ELSE 2 END, turnover DESC) = 1),
+n AS (SELECT count(*) AS raw_rows, count(*) FILTER (series IN ('EQ', 'SM')) AS equity FROM raw),
+steps AS (SELECT unnest(['bronze', 'silver', 'gold', 'checks']) AS step)
+SELECT 1 AS run, step, 'succeeded' AS status, CASE step WHEN 'bronze' THEN raw_rows WHEN 'checks' THEN 0 ELSE equity END AS rows_written FROM steps, n
+UNION ALL SELECT 2, step, 'succeeded', 0 FROM steps
+UNION ALL SELECT 0, concat('up to: ', t), CAST((SELECT max(month) FROM raw WHERE t = 'bronze' OR series IN ('EQ', 'SM')) AS VARCHAR), 0
+FROM (SELECT unnest(['bronze', 'silver', 'gold']) AS t)""",
+        "reporting_views": _GOLD_WITH + """
+SELECT 'stock_daily_summary' AS stage, count(DISTINCT (isin, code, name, d)) AS row_count FROM gold
+UNION ALL SELECT 'stock_performance', count(DISTINCT (isin, code)) FROM gold
+UNION ALL SELECT 'stock_technical_indicators', count(*) FROM gold
+UNION ALL SELECT 'market_overview', 1
+UNION ALL SELECT s, least(20, (SELECT count(DISTINCT (isin, code, name)) FROM gold WHERE d = (SELECT max(d) FROM gold) AND m IS NOT NULL))
+FROM (SELECT unnest(['top_gainers', 'top_losers']) AS s)""",
         "align_schema": """
 SELECT l_orderkey,
        CASE WHEN l_returnflag <> 'R' THEN CAST(l_shipdate AS DATE) END AS day,
