@@ -1,7 +1,9 @@
 """A corpus pipeline of five stages: toxicity filter, exact and near deduplication, mixing, byte-level BPE.
 
 Each stage reads the documents its predecessor kept, as written Parquet, and returns
-a DataFrame; all but the last return the columns of the documents.
+a DataFrame; all but the last return the columns of the documents, whatever else they hold and however
+they are named.  Stages decide by row: null and repeated ids, null, empty and very long texts are documents like any other. An
+empty table passes through as an empty table.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from quoteflow.llm.queries import tokenizer
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go; texts without words score as such and stay or go by that, rows without id are scored like others."""
     return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -46,12 +48,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled to the raked source, language and topic shares."""
+    """Documents sampled to the raked source, language and topic shares; null sources and languages are parts of their own, rows without id are drawn
+    by their text, texts without words weigh nothing."""
     return mixing.sample(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded bytes."""
+    """Token counts and digests of ids and decoded bytes, a row per document; a null or empty text has no tokens."""
     return byte_bpe.encode(docs, *tokenizer())
 
 
