@@ -7,7 +7,7 @@ import corpus_pipeline
 import pytest
 from conftest import SF_DIR
 from quoteflow.llm import queries
-from rows_llm import BASE, NEAR
+from rows_llm import BASE, NEAR, no_documents, odd_documents
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -59,3 +59,20 @@ def test_near_stage_keeps_one_row_of_each_class(spark):
     found = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
     assert sorted(repr(r["doc_id"]) for r in found) == sorted(repr(None if n else i) for n, i in expected)
     assert collections.Counter("base" if r["text"] in (BASE, NEAR) else r["text"].strip() for r in found) == dict.fromkeys(groups, 1)
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    """Null and repeated ids, null, empty and long texts, columns named like the operators' own: rows pass or go, columns stay."""
+    from pyspark.sql import functions as F
+
+    clashing = {"weight": F.lit("own"), "topic": F.lit(1), "cell_source": F.lit("c"), "_row": F.lit(2), "group": F.lit(3)}
+    for docs in (odd_documents(spark).withColumns(clashing), no_documents(spark).withColumns(clashing)):
+        rows = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs, before = corpus_pipeline.keep(stage(spark, docs, SF_DIR), "test"), docs
+            assert docs.columns == before.columns and docs.count() <= before.count()
+            # what stays is as it was
+            assert docs.exceptAll(before).isEmpty()
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR)
+        assert last.count() == docs.count() <= rows
+        assert docs.isEmpty() or {r["weight"] for r in docs.collect()} == {"own"}
