@@ -22,7 +22,7 @@ from quoteflow.plans import bronze, daily, gold, incremental, market, names, ser
 from quoteflow.session import shared_dir
 from quoteflow.sources import html, listing, nested, quotefiles, tables
 from quoteflow.streaming.dedup import dedup_into, dedup_within
-from quoteflow.streaming.ema import running_ema
+from quoteflow.streaming.ema import keyed_ema, running_ema
 
 SINCE = dt.date(1999, 1, 1)
 CODE = "rod193"
@@ -579,6 +579,20 @@ def ema_stream(spark, sf):
     return spark.read.parquet(f"{folder}/averages").select("event_id", "user_id", "value", "ema_7")
 
 
+def ema_state(spark, sf):
+    """The same averages with every user's in the state store: events of a month in four files, a file a micro-batch."""
+    folder = f"{shared_dir(spark)}/ema_state_{uuid.uuid4().hex}"
+    events = fixtures.table(spark, sf, "events")
+    turn = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3))
+    for n in range(4):
+        events.filter(turn == n).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    averages = keyed_ema(stream, group_col="user_id", target_col="ts", value_col="value", row_id="event_id")
+    writer = averages.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(averages.schema).parquet(f"{folder}/out").select("event_id", "user_id", "value", "ema_7", "late")
+
+
 def dedup_events(spark, sf):
     folder = f"{shared_dir(spark)}/dedup_events_{uuid.uuid4().hex}"
     keyed = _events(spark, sf).select("user_id", "event_type", F.to_date("ts").alias("day"))
@@ -764,6 +778,7 @@ def quote_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "load_files": load_files,
         "parquet_scan": parquet_scan,
         "ema_stream": ema_stream,
+        "ema_state": ema_state,
         "dedup_events": dedup_events,
         "dedup_stream": dedup_stream,
         "sma": sma,

@@ -402,6 +402,11 @@ FROM bronze WHERE series IN ('EQ', 'SM')""",
 SELECT event_id, user_id, value,
        list_reduce(list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING),
                    lambda a, v: 0.25::DOUBLE * v + 0.75::DOUBLE * a) AS ema_7
+FROM events""",
+        "ema_state": """
+SELECT event_id, user_id, value,
+       list_reduce(list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING),
+                   lambda a, v: 0.25::DOUBLE * v + 0.75::DOUBLE * a) AS ema_7, false AS late
 FROM events""",
         "dq_types": _BRONZE_WITH + """,
 n AS (SELECT count(*) AS every, count(*) FILTER (volume <> 7) AS even FROM bronze),

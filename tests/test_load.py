@@ -14,7 +14,7 @@ from quoteflow.plans.daily import Tables, run_daily
 from quoteflow.plans.gold import build_ema
 from quoteflow.schema import CONTROL_SCHEMA
 from quoteflow.streaming.dedup import dedup_into, dedup_stream, dedup_within
-from quoteflow.streaming.ema import running_ema
+from quoteflow.streaming.ema import keyed_ema, running_ema
 from quoteflow.streaming.ingest import ingest_files
 
 DATES = [dt.date(2026, 9, d) for d in (1, 2, 3)]
@@ -224,6 +224,29 @@ def test_running_averages_equal_the_batch_and_set_late_rows_aside(spark, tmp_pat
     assert 8 not in got and got[9] == 0.25 * 8.0 + 0.75 * (0.25 * 4.0 + 0.75 * 2.0)
 
 
+def test_averages_in_the_state_store(spark, tmp_path):
+    """Equal to the batch; a micro-batch updates the state of the series it touches; late and undated rows are marked."""
+    from quoteflow.operators.ema import ema_series
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    columns = dict(group_col="k", target_col="t", value_col="v", row_id="i")
+    batches = [[("a", at(1), 1.0, 1), ("a", at(3), 5.0, 2), ("b", at(1), 2.0, 3), (None, at(1), 2.0, 20)],
+               [("a", at(5), 9.0, 4), ("c", at(1), None, 5), ("a", at(5), 8.0, 10)],
+               [("b", at(6), 4.0, 6), ("b", at(7), None, 7), ("c", at(2), 3.0, 11)]]
+    updated = []
+    for rows in [*batches, [("a", at(2), 3.0, 8), ("b", at(8), 8.0, 9), ("b", None, 1.0, 12), ("c", at(2), 9.0, 13)]]:
+        stream = keyed_ema(feed(spark, source, rows), **columns)
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        updated.append(max(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["numInputRows"]))
+    assert updated == [2, 2, 2, 1]
+    got = {r["i"]: (r["ema_7"], r["late"]) for r in spark.read.parquet(out).collect()}
+    on_time = [r for b in batches for r in b] + [("b", at(8), 8.0, 9)]
+    every = spark.createDataFrame(on_time, "k string, t timestamp, v double, i bigint")
+    assert {r["i"]: (r["ema_7"], False) for r in ema_series(every, **columns).collect()} == {i: x for i, x in got.items() if i not in (8, 12, 13)}
+    assert [got[i] for i in (8, 12, 13)] == [(None, True)] * 3
+
+
 def test_snapshot_tables(spark, database, tmp_path):
     import json
 
