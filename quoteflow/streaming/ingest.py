@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..control import get_watermark, put_watermark
 from ..plans.bronze import load_listed
-from ..sources.listing import ZIP_FILES, dated_files
+from ..sources.listing import ZIP_FILES, landed_files
 
 _FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -42,7 +42,7 @@ def ingest_files(
     start = get_watermark(spark, control, layer, name) if late_files == "drop" else None
 
     def load(batch: DataFrame, _: int) -> None:
-        _, last = load_listed(dated_files(batch.select("path", "modificationTime")), table, rejects, start)
+        _, last = load_listed(landed_files(batch.select("path", "modificationTime")), table, rejects, start)
         put_watermark(batch.sparkSession, control, layer, name, last)
 
     # the handler reads the archives by path, so their contents are not read here as well
