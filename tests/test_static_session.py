@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as driver
 from quoteflow.sources.tables import overwrite_partitions, read_table
 from quoteflow.streaming.dedup import dedup_within
 
@@ -42,3 +43,8 @@ def test_dedup_stream_keeps_the_rows_of_batches_before(static, database, tmp_pat
         dedup_within(stream, table, ["k"], "ts").awaitTermination()
     assert sorted(r["id"] for r in read_table(static, table).collect()) == [1, 2, 4]
     assert [r["repeats"] for r in read_table(static, f"{table}_counts").orderBy("_batch").collect()] == [0, 1]
+
+
+def test_late_rows_are_worked_in(static, sf_dir):
+    gold = driver.queries()["late_reprocess"](static, sf_dir)
+    assert gold.count() == driver.queries()["load_gold"](static, sf_dir).count()
