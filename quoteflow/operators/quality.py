@@ -64,7 +64,7 @@ def findings(df: DataFrame, keys: Sequence[str] = ("ISIN", "business_date")) ->
         *_blank_counts(CODES), F.count_if(F.size("price_problems") > 0).alias("invalid_prices")
     )
     parts = [
-        counted("duplicate_rows", duplicates(df, keys)),
+        counted("duplicate_rows", duplicates(_dealt(df.select(*keys), *keys), keys)),
         counted("duplicate_hashes", duplicates(df, ["hash_key"])),
         row_checks.unpivot([], row_checks.columns, "check", "findings"),
         counted("missing_days", missing_dates(df), F.sum("missing_days")),
@@ -128,6 +128,12 @@ def type_misfits(df: DataFrame, expected: dict[str, str]) -> DataFrame:
     return named.select("column_name", "expected", "filled", (F.col("filled") - fits).alias("misfits"), "narrowest")
 
 
+def _dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows by these columns in as many tasks as the session shuffles to.  Short rows take few bytes, by which Spark would merge
+    partitions until a task has more of them than it can sort or group in memory."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def missing_dates(df: DataFrame, key: str = "ISIN", date: str = "business_date") -> DataFrame:
     """Market days a security has no row for, as runs between its rows, before its first and after its last.
 
@@ -139,16 +145,20 @@ def missing_dates(df: DataFrame, key: str = "ISIN", date: str = "business_date")
     """
     days = df.select(date).where(F.col(date).isNotNull()).distinct()
     calendar = days.withColumn("_ordinal", F.row_number().over(Window.orderBy(date)))
-    present = df.select(key, date).distinct().join(calendar, date)
+    # the rows move once, by security; the calendar comes to them
+    present = _dealt(df.select(key, date), key).distinct().join(F.broadcast(calendar), date)
     history = Window.partitionBy(key).orderBy("_ordinal")
-    until = present.withColumns(
-        {"gap_after": F.lag(date).over(history), "_previous": F.coalesce(F.lag("_ordinal").over(history), F.lit(0))}
-    ).select(key, "gap_after", F.col(date).alias("gap_before"), (F.col("_ordinal") - F.col("_previous") - 1).alias("missing_days"))
-    ends = present.groupBy(key).agg(F.max(date).alias("gap_after"), F.max("_ordinal").alias("_ordinal")).select(
-        key, "gap_after", F.lit(None).cast(df.schema[date].dataType).alias("gap_before"),
-        (calendar.agg(F.max("_ordinal")).scalar() - F.col("_ordinal")).alias("missing_days"),
+    placed = present.withColumns(
+        {"_after": F.lag(date).over(history), "_previous": F.coalesce(F.lag("_ordinal").over(history), F.lit(0)), "_next": F.lead("_ordinal").over(history)}
+    )
+    before = F.struct(F.col("_after").alias("gap_after"), F.col(date).alias("gap_before"), (F.col("_ordinal") - F.col("_previous") - 1).alias("missing_days"))
+    after = F.struct(
+        F.col(date).alias("gap_after"), F.lit(None).cast(df.schema[date].dataType).alias("gap_before"), (F.col("_of_all") - F.col("_ordinal")).alias("missing_days")
     )
-    gaps = until.unionByName(ends).filter("missing_days > 0")
+    # a security's last row has the run after it as well
+    runs = F.when(F.col("_next").isNull(), F.array(before, after)).otherwise(F.array(before))
+    found = placed.withColumn("_of_all", calendar.agg(F.max("_ordinal")).scalar()).select(key, F.inline(runs))
+    gaps = found.filter("missing_days > 0")
     return gaps.withColumn("missing_days", F.col("missing_days").cast("bigint"))
 
 

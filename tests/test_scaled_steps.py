@@ -2,8 +2,11 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from quoteflow import fixtures
 from quoteflow.operators.ema import ema_series, with_ema
+from quoteflow.operators.quality import findings, missing_dates
 from quoteflow.plans.gold import build_gold
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -46,3 +49,19 @@ def test_averages_beside_rows_over_several_blocks(spark):
         ours = {r["hash_key"]: r["ema_7"] for r in with_ema(df, span_days=span).collect()}
         series = {r["hash_key"]: r["ema_7"] for r in ema_series(df, span_days=span).collect()}
         assert ours == series and len(ours) == len(rows)
+
+
+def test_missing_dates_moves_rows_once_in_unmerged_tasks(spark):
+    text = plan(missing_dates(fixtures.silver_table(spark, SF_DIR)))
+    assert "REPARTITION_BY_NUM" in text and "SortMergeJoin" not in text
+
+
+def test_missing_dates_with_odd_rows(spark):
+    days = [dt.date(2024, 1, d) for d in (1, 2, 3, 4)]
+    rows = [("a", days[0]), ("a", days[0]), ("a", days[3]), ("b", days[1]), ("b", None), (None, days[2]), ("c", None)]
+    df = spark.createDataFrame(rows, "ISIN string, business_date date")
+    found = {(r[0], r[1] and r[1].day, r[2] and r[2].day, r[3]) for r in missing_dates(df).collect()}
+    assert found == {("a", 1, 4, 2), ("b", None, 2, 1), ("b", 2, None, 2), (None, None, 3, 2), (None, 3, None, 1)}
+    gold = build_gold(fixtures.silver_table(spark, SF_DIR))
+    gaps = missing_dates(gold).agg(F.sum("missing_days")).first()[0]
+    assert gaps == findings(gold).filter(F.col("check") == "missing_days").first()["findings"]
