@@ -65,3 +65,13 @@ def test_missing_dates_with_odd_rows(spark):
     gold = build_gold(fixtures.silver_table(spark, SF_DIR))
     gaps = missing_dates(gold).agg(F.sum("missing_days")).first()[0]
     assert gaps == findings(gold).filter(F.col("check") == "missing_days").first()["findings"]
+
+
+def test_many_short_members_share_tasks():
+    from quoteflow.sources.quotefiles import MOST_TASKS, unpacking_tasks
+
+    assert unpacking_tasks(72_000, 3 << 30, 6) == 96
+    assert unpacking_tasks(5, 100 << 30, 6) == 5
+    assert unpacking_tasks(10, 1000, 6) == 10
+    assert unpacking_tasks(10**6, 1 << 50, 6) == MOST_TASKS
+    assert unpacking_tasks(0, 0, 6) == 1
