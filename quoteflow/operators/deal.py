@@ -7,6 +7,7 @@ many tasks' work and a share makes one file.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -48,3 +49,14 @@ def counts_of(df: DataFrame, date: str, key: Column) -> Counts:
 def dealt(df: DataFrame, date: str, key: Column, counts: Counts) -> DataFrame:
     """The rows with their share, dealt by date and share."""
     return df.withColumn(SHARE, F.pmod(F.xxhash64(key), F.lit(counts.shares))).repartition(counts.tasks, date, SHARE)
+
+
+def shed(df: DataFrame, derived: Mapping[str, Column]) -> DataFrame:
+    """The rows without columns that follow from others, so that they need not move; values that do not follow stay, set apart for ``restored``."""
+    return df.withColumns({f"_odd_{c}": F.when(~F.col(c).eqNullSafe(e), F.struct(F.col(c).alias("as_is"))) for c, e in derived.items()}).drop(*derived)
+
+
+def restored(df: DataFrame, derived: Mapping[str, Column]) -> DataFrame:
+    """The rows as they were before ``shed``."""
+    odd = {c: F.col(f"_odd_{c}") for c in derived}
+    return df.withColumns({c: F.when(odd[c].isNull(), e).otherwise(odd[c]["as_is"]) for c, e in derived.items()}).drop(*[f"_odd_{c}" for c in derived])

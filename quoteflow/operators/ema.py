@@ -20,7 +20,7 @@ can be stored: see ``plans.late``.  With one row per security and day a block ho
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import row_hash
 from ..schema import require_columns
+from .deal import restored, shed
 
 DEFAULT_SPAN_DAYS = 8192
 
@@ -44,21 +46,22 @@ def block_of(target: Column, span_days: int) -> Column:
     return F.coalesce(F.floor(F.unix_date(target.cast("date")) / span_days).cast("int"), F.lit(-(2**31)))
 
 
-def _rows(df, group_col, target_col, value_col, row_id, span_days) -> DataFrame:
-    """The needed columns, hash-distributed by (series, block)."""
+def _rows(df, group_col, target_col, value_col, row_id, span_days, made_of: Sequence[str] = ()) -> DataFrame:
+    """The needed columns, hash-distributed by (series, block).  A row id that is the hash of ``made_of`` is made again where the row lies."""
     block = block_of(F.col(target_col), span_days)
     # rows without a series are not scanned; they are dealt out evenly
     block = F.when(F.col(group_col).isNotNull(), block).otherwise(F.pmod(F.xxhash64(row_id), F.lit(4096)).cast("int"))
-    return (
-        df.select(
-            F.col(row_id).alias("_id"),
-            F.col(group_col).alias("_key"),
-            F.col(target_col).alias("_at"),
-            F.col(value_col).cast("double").alias("_x"),
-            block.alias("_block"),
-        )
-        .repartition("_key", "_block")
+    named = {group_col: "_key", target_col: "_at"}
+    rows = df.select(
+        F.col(row_id).alias("_id"),
+        F.col(group_col).alias("_key"),
+        F.col(target_col).alias("_at"),
+        F.col(value_col).cast("double").alias("_x"),
+        block.alias("_block"),
+        *[c for c in made_of if c not in named],
     )
+    derived = {"_id": row_hash([named.get(c, c) for c in made_of])} if made_of else {}
+    return restored(shed(rows, derived).repartition("_key", "_block"), derived)
 
 
 _TIME_ORDER = ("_key", "_block", "_at", "_id")
@@ -178,15 +181,15 @@ def _summarise(alpha: float):
     return run
 
 
-def _scan(alpha: float):
-    """Average at every row, each block starting from the average before it."""
+def _scan(alpha: float, names: Sequence[str]):
+    """Average at every row, each block starting from the average before it, beside the columns ``names``."""
     run_over, or_null = _folder(alpha)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, _, _, averages in run_over(batches):
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("_id", "_key", "_at", "_x")] + [or_null(averages)],
-                names=["_id", "_key", "_at", "_x", "_ema"],
+                [batch.column(c) for c in names] + [or_null(averages)],
+                names=[*names, "_ema"],
             )
 
     return run
@@ -272,24 +275,29 @@ def ema_series(
     row_id: str = "hash_key",
     span_days: int = DEFAULT_SPAN_DAYS,
     opening: DataFrame | None = None,
+    made_of: Sequence[str] = (),
 ) -> DataFrame:
-    """Average as of every row: ``(row_id, group, target, value, ema_<period>)``.
+    """Average as of every row: ``(row_id, group, target, value, ema_<period>)``, and further columns of ``made_of``.
 
     Rows with equal time are taken in ``row_id`` order.  A row without a group
     belongs to no series and gets null.  ``opening`` (group, average) continues
-    series whose earlier rows are not part of ``df``.
+    series whose earlier rows are not part of ``df``.  ``made_of`` are columns that ``row_id`` is the ``row_hash`` of: they move in its place.
     """
     _checked(df, row_id, value_col)
     alpha = 2.0 / (period + 1.0)
-    rows = _rows(df, group_col, target_col, value_col, row_id, span_days)
-    scanned = _scanned(rows, _linked_blocks(rows, alpha, opening).drop("_after"), alpha)
-    return scanned.toDF(row_id, group_col, target_col, value_col, ema_column(period))
+    rows = _rows(df, group_col, target_col, value_col, row_id, span_days, made_of)
+    # a block that nothing comes before needs no row to say so
+    before = _linked_blocks(rows, alpha, opening).drop("_after").filter("_before is not null")
+    further = [c for c in made_of if c not in (group_col, target_col)]
+    scanned = _scanned(rows, before, alpha, further=further)
+    return scanned.toDF(row_id, group_col, target_col, value_col, *further, ema_column(period))
 
 
-def _scanned(rows: DataFrame, before: DataFrame, alpha: float, how: str = "left") -> DataFrame:
-    """``_id, _key, _at, _x, _ema`` of rows whose blocks start from ``before`` (``_key, _block, _before``)."""
+def _scanned(rows: DataFrame, before: DataFrame, alpha: float, how: str = "left", further: Sequence[str] = ()) -> DataFrame:
+    """``_id, _key, _at, _x``, columns ``further`` and ``_ema`` of rows whose blocks start from ``before`` (``_key, _block, _before``)."""
+    names = ["_id", "_key", "_at", "_x", *further]
     ordered = rows.join(before, ["_key", "_block"], how).sortWithinPartitions(*_TIME_ORDER)
-    return ordered.mapInArrow(_scan(alpha), _fields(rows, "_id", "_key", "_at", "_x", _ema=T.DoubleType()))
+    return ordered.mapInArrow(_scan(alpha, names), _fields(rows, *names, _ema=T.DoubleType()))
 
 
 def ema_block_summaries(
@@ -407,15 +415,17 @@ def ema_final(
     value_col: str = "closing_price",
     row_id: str = "hash_key",
     span_days: int = DEFAULT_SPAN_DAYS,
+    made_of: Sequence[str] = (),
 ) -> DataFrame:
     """Every row with the *last* average of its series (same columns as ``ema_series``)."""
     last = ema_closing(df, period, group_col, target_col, value_col, row_id, span_days)
-    kept = [row_id, group_col, target_col, F.col(value_col).cast("double").alias(value_col)]
+    further = [c for c in made_of if c not in (group_col, target_col)]
+    kept = [row_id, group_col, target_col, F.col(value_col).cast("double").alias(value_col), *further]
     return df.select(*kept).join(last, group_col, "left").select(
-        row_id, group_col, target_col, value_col, ema_column(period)
+        row_id, group_col, target_col, value_col, *further, ema_column(period)
     )
 
 
-def ema_table(ema: DataFrame, row_id: str = "hash_key") -> DataFrame:
-    """Side table: row id and all averages."""
-    return ema.select(row_id, *[c for c in ema.columns if c.startswith("ema_")])
+def ema_table(ema: DataFrame, row_id: str = "hash_key", made_of: Sequence[str] = ()) -> DataFrame:
+    """Side table: row id and all averages, and the columns the id is made of where they are wanted."""
+    return ema.select(row_id, *[c for c in ema.columns if c.startswith("ema_")], *made_of)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..audit import counted, measured
 from ..control import put_watermark
+from ..functions import daily_return, row_hash
+from ..operators.deal import SHARE, counts_of, dealt, restored, shed
 from ..operators.ema import DEFAULT_SPAN_DAYS, ema_column, ema_final, ema_series, ema_table, with_ema
-from ..operators.returns import means_by_code, with_avg_return
-from ..schema import GOLD_RENAMES
+from ..operators.returns import avg_return_by_day, means_by_code, with_avg_return
+from ..schema import GOLD_RENAMES, HASH_COLUMNS
 from ..sources.tables import publish, read_since, read_table, table_exists
 from .serving import catalog_rows
 
@@ -17,16 +21,16 @@ EMA_MODES = {"series": ema_series, "final": ema_final}
 
 
 def build_ema(
-    silver: DataFrame, period: int = 7, mode: str = "series", span_days: int = DEFAULT_SPAN_DAYS
+    silver: DataFrame, period: int = 7, mode: str = "series", span_days: int = DEFAULT_SPAN_DAYS, made_of: Sequence[str] = ()
 ) -> DataFrame:
-    """``(hash_key, ema_<period>)``.
+    """``(hash_key, ema_<period>)``, and the columns that the hash is ``made_of`` if they are named.
 
     ``series`` holds the average as of each row, ``final`` the security's last
     average on all its rows.
     """
     if mode not in EMA_MODES:
         raise ValueError(f"mode must be one of {', '.join(EMA_MODES)}")
-    return ema_table(EMA_MODES[mode](silver, period, span_days=span_days))
+    return ema_table(EMA_MODES[mode](silver, period, span_days=span_days, made_of=made_of), made_of=made_of)
 
 
 def enriched(silver: DataFrame) -> DataFrame:
@@ -45,10 +49,40 @@ def build_gold(silver: DataFrame, ema: DataFrame | None = None, period: int = 7)
         mean = F.element_at("means", F.col("stock_code"))
         rows = with_ema(named, period, beside=means_by_code(named), avg_pnl_percentage=mean)
     else:
-        rows = enriched(silver).join(ema, "hash_key", "left")
+        rows = enriched(silver).join(ema_table(ema), "hash_key", "left")
     return rows.withColumn("gold_load_date_time", F.current_timestamp())
 
 
+def _hashed(*tables: DataFrame) -> bool:
+    """Whether the tables hold all that row hashes are made of."""
+    return all(set(HASH_COLUMNS) <= set(t.columns) for t in tables)
+
+
+def gold_by_date(silver: DataFrame, ema: DataFrame, period: int = 7) -> DataFrame:
+    """As ``build_gold`` with a table of averages that has the columns of the hash (``load_ema``); rows come out gathered by date.
+
+    Whole rows move once, by date and share of their security, without what follows from other columns.  Averages and mean returns come to
+    them as narrow rows dealt alike.
+    """
+    day, security = F.coalesce(F.unix_date("business_date"), F.lit(-(2**31))), ["ISIN", "ticker_symbol"]
+    silver, key, average = silver.drop("silver_load_date_time").withColumn("_day", day), F.xxhash64(*security), ema_column(period)
+    counts = counts_of(silver, "_day", key)
+    hashed = {"hash_key": row_hash(HASH_COLUMNS)}
+    derived = dict(hashed)
+    if "previous_closing_price" in silver.columns:
+        derived["pnl_percentage"] = daily_return(F.col("closing_price"), F.col("previous_closing_price"))
+
+    def lying(df: DataFrame, follows: dict) -> DataFrame:
+        return restored(dealt(shed(df, follows), "_day", key, counts), follows)
+
+    rows = lying(silver, derived)
+    averages = lying(ema.select("hash_key", *HASH_COLUMNS, average, day.alias("_day")), hashed).select("_day", SHARE, "hash_key", average)
+    means = dealt(avg_return_by_day(silver, "_day", security), "_day", key, counts)
+    met = rows.join(means.hint("shuffle_hash"), ["_day", SHARE, *security], "left").join(averages.hint("shuffle_hash"), ["_day", SHARE, "hash_key"], "left")
+    named = met.select(*[c for c in silver.columns if c != "_day"], "avg_pnl_percentage", average).withColumnsRenamed(GOLD_RENAMES)
+    return named.withColumn("gold_load_date_time", F.current_timestamp())
+
+
 def refresh_ema(silver: DataFrame, previous: DataFrame, period: int = 7) -> DataFrame:
     """Side table after new silver rows: equal to ``build_ema`` over all of them.
 
@@ -58,7 +92,7 @@ def refresh_ema(silver: DataFrame, previous: DataFrame, period: int = 7) -> Data
     """
     column = ema_column(period)
     narrow = silver.select("hash_key", "ISIN", "business_date", "closing_price")
-    marked = narrow.join(previous.withColumn("_known", F.lit(True)), "hash_key", "left")
+    marked = narrow.join(previous.select("hash_key", column).withColumn("_known", F.lit(True)), "hash_key", "left")
     known, place = F.coalesce("_known", F.lit(False)), F.struct("business_date", "hash_key")
     state = marked.groupBy("ISIN").agg(
         F.max_by(column, F.when(known, place)).alias("_last_ema"),
@@ -91,9 +125,10 @@ def refresh_gold(silver: DataFrame, ema: DataFrame, previous: DataFrame) -> Data
 
 
 def load_ema(spark: SparkSession, silver: str, table: str, period: int = 7, mode: str = "series") -> dict:
-    """All averages computed and published."""
+    """All averages computed and published, with the columns of the row hash, by which ``load_gold`` finds a row's date."""
     source = read_table(spark, silver)
-    ema, written = counted(build_ema(source, period, mode), "ema_written")
+    made_of = HASH_COLUMNS if _hashed(source) else ()
+    ema, written = counted(build_ema(source, period, mode, made_of=made_of), "ema_written")
     publish(ema, table)
     return {"rows_written": measured(written)["rows"]}
 
@@ -107,9 +142,11 @@ def load_ema_of(spark: SparkSession, gold: str, table: str, period: int = 7) ->
 
 def load_gold(spark: SparkSession, silver: str, ema: str | None, table: str, control: str, period: int = 7) -> dict:
     """All of gold computed and published, then its watermark.  The averages are those of the table ``ema``, or else computed on the way."""
-    gold = build_gold(read_table(spark, silver), read_table(spark, ema) if ema else None, period)
+    source, averages = read_table(spark, silver), read_table(spark, ema) if ema else None
+    gathered = averages is not None and _hashed(source, averages)
+    gold = gold_by_date(source, averages, period) if gathered else build_gold(source, averages, period)
     gold, written = counted(gold, "gold_written", "business_date")
-    publish(gold, table, ["business_date"], sort_by=["stock_code"])
+    publish(gold, table, ["business_date"], sort_by=["stock_code"], gathered=gathered)
     layer, name = table.split(".")
     put_watermark(spark, control, layer, name, measured(written)["last"])
     return {"rows_written": measured(written)["rows"]}

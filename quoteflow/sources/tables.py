@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +60,30 @@ def add_columns(spark: SparkSession, table: str, schema: T.StructType) -> None:
         spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({columns})")
 
 
+@contextmanager
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for the queries that run in the block."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _only_partitions_written(spark: SparkSession):
+    """Overwrites in the block replace the partitions they write, whatever the session says.
+
+    Writing into a catalog table, Spark takes this from the session alone: an option of the writer is not looked at.
+    """
+    return _set(spark, "spark.sql.sources.partitionOverwriteMode", "dynamic")
+
+
+def left_in_place(spark: SparkSession, gathered: bool = True):
+    """Joins of sides dealt alike by some of the join's keys leave both where they lie; by default Spark deals them again by all keys."""
+    return _set(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false") if gathered else nullcontext()
+
+
 def _laid_out(df: DataFrame, partition_by: Sequence[str], sort_by: Sequence[str] = (), gathered: bool = False) -> DataFrame:
     """Rows gathered per table partition in even-sized tasks: small ones merge, a heavy date is split.  Rows ``gathered`` already stay where they are.
 
@@ -79,33 +103,20 @@ def append(
     ensure_table(spark, table, df.schema, partition_by, format)
     add_columns(spark, table, df.schema)
     aligned = align_schema(df, spark.table(table).schema)
-    _laid_out(aligned, partition_by, sort_by, gathered).write.insertInto(table)
+    with left_in_place(spark, gathered):
+        _laid_out(aligned, partition_by, sort_by, gathered).write.insertInto(table)
 
 
 def overwrite(
-    df: DataFrame, table: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = (), format: str = "parquet"
+    df: DataFrame, table: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = (), format: str = "parquet", gathered: bool = False
 ) -> None:
     """Table dropped and rebuilt from ``df``, schema included."""
     ensure_database(df.sparkSession, table)
-    writer = _packed(_laid_out(df, partition_by, sort_by).write.format(format), format).mode("overwrite").option("overwriteSchema", "true")
+    writer = _packed(_laid_out(df, partition_by, sort_by, gathered).write.format(format), format).mode("overwrite").option("overwriteSchema", "true")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(table)
-
-
-@contextmanager
-def _only_partitions_written(spark: SparkSession) -> Iterator[None]:
-    """Overwrites in the block replace the partitions they write, whatever the session says.
-
-    Writing into a catalog table, Spark takes this from the session alone: an option of the writer is not looked at.
-    """
-    mode = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(mode)
-    spark.conf.set(mode, "dynamic")
-    try:
-        yield
-    finally:
-        spark.conf.set(mode, before)
+    with left_in_place(df.sparkSession, gathered):
+        writer.saveAsTable(table)
 
 
 def overwrite_partitions(
@@ -129,7 +140,7 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mo
 
 
 def publish(
-    df: DataFrame, table: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = (), keep: int = 1
+    df: DataFrame, table: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = (), keep: int = 1, gathered: bool = False
 ) -> str:
     """Full refresh that readers see all at once or not at all.
 
@@ -141,7 +152,7 @@ def publish(
     ensure_database(spark, table)
     database, name = table.rsplit(".", 1) if "." in table else ("default", table)
     version = f"{name}__{dt.datetime.now(dt.timezone.utc):%Y%m%d%H%M%S%f}_{uuid.uuid4().hex[:6]}"
-    overwrite(df, f"{database}.{version}", partition_by, sort_by)
+    overwrite(df, f"{database}.{version}", partition_by, sort_by, gathered=gathered)
     spark.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM {database}.{version}")
     versions = sorted(t.name for t in spark.catalog.listTables(database, f"{name}__*") if not t.isTemporary)
     for old in versions[: -(keep + 1)]:
