@@ -19,6 +19,7 @@ from quoteflow import audit, control, fixtures
 from quoteflow.functions import daily_return, row_hash
 from quoteflow.operators import align, dedup, ema, indicators, merge, quality, returns
 from quoteflow.plans import bronze, daily, gold, incremental, market, names, serving, silver, snapshot
+from quoteflow.schema import HASH_COLUMNS
 from quoteflow.session import shared_dir
 from quoteflow.sources import html, listing, nested, quotefiles, tables
 from quoteflow.streaming.dedup import dedup_into, dedup_within
@@ -306,7 +307,7 @@ def ema_resumed(spark, sf):
     """Averages up to a date, then continued from them: equal to one run over everything."""
     quotes = fixtures.silver_table(spark, sf)
     before = quotes.filter(F.col("business_date") <= F.lit(SINCE))
-    return gold.refresh_ema(quotes, gold.build_ema(before))
+    return gold.refresh_ema(quotes, gold.build_ema(before, made_of=HASH_COLUMNS))
 
 
 def gold_table(spark, sf):

@@ -423,6 +423,22 @@ def with_ema(
     return narrow.mapInArrow(run, _fields(narrow, *names, **{average: T.DoubleType()}))
 
 
+def ema_resumed(
+    df: DataFrame, period: int = 7, group_col: str = "ISIN", target_col: str = "business_date", value_col: str = "closing_price", row_id: str = "hash_key",
+) -> DataFrame:
+    """All columns of ``df`` and ``ema_<period>`` of rows that lie by series already, each series' in one task; no row moves.
+
+    Of a series, rows marked ``_again`` are folded from the average ``_opening`` it says; the others are passed, with an average of no meaning.
+    """
+    _checked(df, row_id, value_col)
+    folded = df.withColumns({
+        "_key": F.col(group_col), "_block": F.col("_again").cast("int"), "_x": F.col(value_col).cast("double"), "_before": F.when(F.col("_again"), F.col("_opening"))
+    })
+    ordered = folded.sortWithinPartitions("_key", "_block", target_col, row_id)
+    out = ordered.mapInArrow(_scan(2.0 / (period + 1.0), df.columns), _fields(ordered, *df.columns, _ema=T.DoubleType()))
+    return out.withColumnRenamed("_ema", ema_column(period))
+
+
 def ema_closing(
     df: DataFrame,
     period: int = 7,

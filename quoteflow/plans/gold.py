@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..audit import counted, measured
 from ..control import put_watermark
 from ..functions import daily_return, row_hash
-from ..operators.deal import SHARE, counts_of, dealt, restored, shed
-from ..operators.ema import DEFAULT_SPAN_DAYS, ema_column, ema_final, ema_series, ema_table, with_ema
+from ..operators.deal import ROWS_OF_A_SHARE, SHARE, counts_of, dealt, restored, shed
+from ..operators.ema import DEFAULT_SPAN_DAYS, ema_column, ema_final, ema_resumed, ema_series, ema_table, with_ema
 from ..operators.returns import avg_return_by_day, means_by_code, with_avg_return
 from ..schema import GOLD_RENAMES, HASH_COLUMNS
 from ..sources.tables import publish, read_since, read_table, table_exists
@@ -101,27 +101,39 @@ def refresh_ema(silver: DataFrame, previous: DataFrame, period: int = 7) -> Data
     ``previous`` is the side table before.  Silver rows it lacks are new.  A
     security whose new rows all follow its old ones continues from its last
     average; one that got an earlier row is computed again.
+
+    Rows move once, by security, and are looked at and folded there.  Where both sides have the columns of the row hash, these move in its place; else the old
+    averages meet the rows by hash first.
     """
-    column = ema_column(period)
-    narrow = silver.select("hash_key", "ISIN", "business_date", "closing_price")
-    marked = narrow.join(previous.select("hash_key", column).withColumn("_known", F.lit(True)), "hash_key", "left")
-    known, place = F.coalesce("_known", F.lit(False)), F.struct("business_date", "hash_key")
-    state = marked.groupBy("ISIN").agg(
-        F.max_by(column, F.when(known, place)).alias("_last_ema"),
-        F.coalesce(
-            F.min(F.when(~known, F.col("business_date"))) <= F.max(F.when(known, F.col("business_date"))),
-            F.lit(False),
-        ).alias("_late"),
-    )
-    # null-safe: rows without a security keep their null average
-    placed = marked.join(state.withColumnRenamed("ISIN", "_isin"), F.col("ISIN").eqNullSafe(F.col("_isin"))).drop("_isin")
-    computed = ema_series(
-        placed.filter(~known | F.col("_late")),
-        period,
-        opening=state.filter(~F.col("_late")).select("ISIN", "_last_ema"),
-    )
-    kept = placed.filter(known & ~F.col("_late")).select("hash_key", column)
-    return kept.unionByName(ema_table(computed))
+    column, held = ema_column(period), F.struct(F.col(ema_column(period)).alias("ema")).alias("_held")
+    measured = ["ISIN", "business_date", "closing_price"]
+    if holds_hash_columns(silver, previous):
+        rest = [c for c in HASH_COLUMNS if c not in measured]
+        rows = silver.select("hash_key", *measured, *rest, F.lit(None).cast("struct<ema:double>").alias("_held"), F.lit(False).alias("_old"))
+        none = F.lit(None).cast(silver.schema["closing_price"].dataType).alias("closing_price")
+        old = previous.select("hash_key", "ISIN", "business_date", none, *rest, held, F.lit(True).alias("_old"))
+        met, derived = rows.unionByName(old), {"hash_key": row_hash(HASH_COLUMNS)}
+    else:
+        met = silver.select("hash_key", *measured).join(previous.select("hash_key", held), "hash_key", "left")
+        derived = {}
+    # rows without a security are dealt out evenly: each is a series of its own
+    alone = F.when(F.col("ISIN").isNull(), F.xxhash64("hash_key"))
+    # by their number: the few bytes that a row takes in the shuffle say little of what a task has to sort
+    tasks = max(silver.sparkSession.sparkContext.defaultParallelism, 2 * silver.count() // ROWS_OF_A_SHARE + 1)
+    lying = restored(shed(met.withColumn("_alone", alone), derived).repartition(tasks, "ISIN", "_alone"), derived)
+    if derived:
+        # an average of before meets its row by the hash; a null is no hash
+        twins = Window.partitionBy("ISIN", "_alone", "hash_key")
+        known = F.max(F.when(F.col("_old") & F.col("hash_key").isNotNull(), F.col("_held"))).over(twins)
+        lying = lying.withColumn("_held", known).filter(~F.col("_old"))
+    known, place, series = F.col("_held").isNotNull(), F.struct("business_date", "hash_key"), Window.partitionBy("ISIN", "_alone")
+    late = F.min(F.when(~known, F.col("business_date"))).over(series) <= F.max(F.when(known, F.col("business_date"))).over(series)
+    last = F.max_by(F.col("_held.ema"), F.when(known, place)).over(series)
+    placed = lying.select("hash_key", *measured, "_held", F.coalesce(late, F.lit(False)).alias("_late"), last.alias("_last"))
+    kept = F.col("_held").isNotNull() & ~F.col("_late")
+    marked = placed.select("hash_key", *measured, "_held", (~kept).alias("_again"), F.when(~F.col("_late"), F.col("_last")).alias("_opening"))
+    averages = ema_resumed(marked, period)
+    return averages.select("hash_key", F.when(F.col("_again"), F.col(column)).otherwise(F.col("_held.ema")).alias(column))
 
 
 def refresh_gold(silver: DataFrame, ema: DataFrame, previous: DataFrame) -> DataFrame:
