@@ -84,3 +84,15 @@ def test_a_block_over_several_stretches_is_one_row(spark, monkeypatch):
             summaries = ema_block_summaries(rows, span_days=64, **how)
             assert values(summaries, "ISIN", "block", "n", "first", "last") == whole
             assert summaries._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_rows_are_sorted_in_tasks_by_their_number(spark):
+    from quoteflow.operators.ema import ema_closing, ema_series
+
+    rows = silver(spark).filter("hash_key != 'as it is'")
+    for made in (ema_series, ema_closing):
+        few, many = made(rows, span_days=64), made(rows, span_days=64, made_of=gold.HASH_COLUMNS, tasks=37)
+        plan = many._jdf.queryExecution().executedPlan().toString()
+        assert "_block" in plan and ", 37), REPARTITION_BY_NUM" in plan
+        shared = [c for c in few.columns if c in many.columns]
+        assert values(many, *shared) == values(few, *shared)
